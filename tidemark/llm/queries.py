@@ -7,10 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact, mixing, pii, quality, sharding, simhash
+from tidemark.llm import decontaminate, exact, lpf, mixing, pii, quality, sharding, simhash, templates, url_lists
 from tidemark.llm.common import read_table
 
 
+LISTS = ("adult", "malware", "spam")
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    """``pages`` has no fetch times: page p is fetched (37 p mod 8760) hours into 2024."""
+    hours = F.pmod(F.col("page_id") * 37, F.lit(8760))
+    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200) + hours * 3600).alias("fetched_at"))
+
+
+def _list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries on the hosts of ``pages``, whose first page is m: four turns
+    from day (11 m + 97 k) mod 365 on, on the host, its parent or its /en pages."""
+    hosts = pages.select(url_lists.host(F.col("url")).alias("host"), "page_id").where("host is not null").groupBy("host").agg(F.min("page_id").alias("m"))
+    kind = F.col("m") % 5
+    key = F.when(kind < 3, F.col("host")).when(kind == 3, F.regexp_replace("host", r"^[^.]*\.", "")).otherwise(F.concat("host", F.lit("/en")))
+    turns = hosts.where("m % 4 <> 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    day = F.pmod(F.col("m") * 11 + F.col("k") * 97, F.lit(365))
+    return turns.select(
+        F.element_at(F.array(*map(F.lit, LISTS)), (F.col("m") % 3 + 1).cast("int")).alias("list"),
+        key.alias("key"),
+        F.when(F.col("k") % 2 == 0, "add").otherwise("remove").alias("action"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + day * 86_400).alias("at"),
+    )
+
+
+def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_lists.filter_captures(_captures(pages), _list_entries(pages)).drop("url")
+
+
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf.remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.decontaminate(docs, items, keep=["doc_id"])
@@ -28,6 +62,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.drop_recurring_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -46,7 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_exact_dedup, op5_sharding, op6_mixing, op8_quality, op9_personal_data, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_lists, op2_repeated_passages, op3_decontamination, op4_exact_dedup, op5_sharding, op6_mixing, op7_line_templates, op8_quality, op9_personal_data, op10_simhash)}
 
 
 ORACLE_SQL = {
