@@ -23,7 +23,7 @@ the cut targets.
 Main path: DataFrame functions only.
 
 Defined results: a null text has size 0 and takes 0; the null source is a source,
-last in order; all sizes 0 gives targets 0; draws are hashes of the id and the
+last in order; all sizes 0 gives targets 0; draws are hashes of id, text and
 level, so reruns agree; repeated rows are documents of their own; extra columns
 are ignored.
 """
@@ -137,10 +137,9 @@ def mix(
     limit: float = LIMIT,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, copies, taken."""
-    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
-    # Rows are told apart by a running number, since ids may repeat; draws follow the id.
-    sized = sized.withColumn("uid", F.monotonically_increasing_id())
-    sized = written(sized.withColumn("seed", F.when(F.col(id_col).isNull(), -1 - F.col("uid")).otherwise(F.xxhash64(F.col(id_col), F.col("size")))), "sizes")
+    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("seed"))
+    # Rows are told apart by a running number, since ids may repeat; draws follow id and text.
+    sized = written(sized.withColumn("uid", F.monotonically_increasing_id()), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = written(sources, "sources")
     aimed = targets(sources.select("source", "source_size"), weights, share, limit)

@@ -71,13 +71,13 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
     rows = captures.withColumn("__row", F.monotonically_increasing_id())
     asked = rows.select("__row", F.col(time_col).alias("at"), F.explode(keys(F.col(url_col))).alias("key")).withColumn("period", _period(F.col("at")))
     active = asked.join(cut, ["key", "period"]).where("valid_from <= at and (valid_to is null or at < valid_to)")
-    found = active.groupBy("__row").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("key")).alias("keys"))
+    found = active.groupBy("__row").agg(F.count("*").alias("__n"), F.array_sort(F.collect_set("list")).alias("__lists"), F.array_sort(F.collect_set("key")).alias("__keys"))
     out = rows.join(found, "__row", "left")
     return out.select(
         *kept,
         host(F.col(url_col)).alias("host"),
-        F.col("n").isNotNull().alias("blocked"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_entries"),
-        F.coalesce(F.array_join("lists", ","), F.lit("")).alias("lists"),
-        F.coalesce(F.array_join("keys", ","), F.lit("")).alias("matched_keys"),
+        F.col("__n").isNotNull().alias("blocked"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("n_entries"),
+        F.coalesce(F.array_join("__lists", ","), F.lit("")).alias("lists"),
+        F.coalesce(F.array_join("__keys", ","), F.lit("")).alias("matched_keys"),
     )
