@@ -48,7 +48,7 @@ LENGTH = 50
 GRAM = 20
 SPREAD = LENGTH - GRAM  # an anchor's offset in a window: 0 .. SPREAD
 SIDE = LENGTH + SPREAD  # bytes around an anchor that its windows cover
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 128 << 10
 HOT = 4096
 LAST = np.iinfo(np.int64).max
@@ -306,27 +306,48 @@ class Asked:
         if len(flags) != len(distinct):
             raise ValueError("the answers do not fit the block")
         flag = flags[which] if len(which) else flags
-        docs = block.doc_ids[block.doc]
-        # Cold anchors: distinct surroundings with their masks.
-        self.cold = np.flatnonzero(flag == 1)
-        around = np.concatenate([block.surroundings(self.cold), block.mask[self.cold].reshape(-1, 1).view(np.uint8).reshape(-1, 4)], axis=1)
-        first, self.entry = _distinct(around, _owner(block.hash[self.cold], owners))
+        # Surroundings of the anchors that stand elsewhere too, each distinct one once.
+        self.at = np.flatnonzero(flag > 0)
+        self.docs = block.doc_ids[block.doc[self.at]]
+        owner = _owner(block.hash[self.at], owners)
+        around = np.concatenate([block.surroundings(self.at), block.mask[self.at].reshape(-1, 1).view(np.uint8).reshape(-1, 4)], axis=1)
+        first, self.entry = _distinct(around, owner)
         self.around = around[first]
-        self.owner = _owner(block.hash[self.cold][first], owners)
+        self.mask = block.mask[self.at][first]
         self.low = np.full(len(first), LAST, np.int64)
-        np.minimum.at(self.low, self.entry, docs[self.cold])
-        self.cold_doc = docs[self.cold]
-        # Hot anchors: distinct windows.
-        hot = np.flatnonzero(flag == 2)
-        at, offset = np.nonzero((block.mask[hot][:, None] >> np.arange(SPREAD + 1, dtype=np.uint32)) & np.uint32(1))
-        self.hot_start = np.unique(block.pos[hot][at] - offset)
-        windows = np.lib.stride_tricks.sliding_window_view(block.data, LENGTH)[self.hot_start] if len(self.hot_start) else np.zeros((0, LENGTH), np.uint8)
-        self.hot_doc = block.doc_ids[np.searchsorted(block.ends, self.hot_start, side="right")]
-        first, self.hot_entry = _distinct(windows, _owner(_row_hashes(windows), owners))
+        np.minimum.at(self.low, self.entry, self.docs)
+        hot = flag[self.at][first] == 2
+        self.cold, self.hot = np.flatnonzero(~hot), np.flatnonzero(hot)
+        self.owner = owner[first][self.cold]
+        # Of hot anchors, the distinct windows.
+        at, self.offset = _bits(self.mask[self.hot])
+        self.hot_entry = self.hot[at]
+        windows = np.lib.stride_tricks.sliding_window_view(self.around[:, :SIDE], LENGTH, axis=1)[self.hot_entry, SPREAD - self.offset]
+        first, self.window = _distinct(windows, _owner(_row_hashes(windows), owners))
         self.windows = windows[first]
-        self.hot_owner = _owner(_row_hashes(self.windows), owners)
-        self.hot_low = np.full(len(first), LAST, np.int64)
-        np.minimum.at(self.hot_low, self.hot_entry, self.hot_doc)
+        self.window_owner = _owner(_row_hashes(self.windows), owners)
+        self.window_low = np.full(len(first), LAST, np.int64)
+        np.minimum.at(self.window_low, self.window, self.low[self.hot_entry])
+
+    def earlier(self, bits: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Offsets (bits), for each place in ``at``, whose windows an earlier document has."""
+        if len(bits) != len(self.cold) or len(seen) != len(self.windows):
+            raise ValueError("the answers do not fit the block")
+        entries = np.zeros(len(self.low), np.uint32)
+        entries[self.cold] = bits
+        known = seen[self.window] | (self.low[self.hot_entry] > self.window_low[self.window])
+        np.bitwise_or.at(entries, self.hot_entry[known], np.uint32(1) << self.offset[known].astype(np.uint32))
+        return np.where(self.docs > self.low[self.entry], self.mask[self.entry], entries[self.entry])
+
+
+def _bits(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, offset) of each bit that is set."""
+    at, offset = [], []
+    for o in range(SPREAD + 1):
+        got = np.flatnonzero((masks >> np.uint32(o)) & np.uint32(1))
+        at.append(got)
+        offset.append(np.full(len(got), o, np.int64))
+    return np.concatenate(at), np.concatenate(offset)
 
 
 def _send(owners: int):
@@ -335,12 +356,12 @@ def _send(owners: int):
             return _table(_SEND, [])
         asked = Asked(Block(texts), told, owners)
         cold = {o: (a, b) for o, a, b in _slices(asked.owner)}
-        hot = {o: (a, b) for o, a, b in _slices(asked.hot_owner)}
+        hot = {o: (a, b) for o, a, b in _slices(asked.window_owner)}
         rows = []
         for o in sorted(cold.keys() | hot.keys()):
             (a, b), (c, d) = cold.get(o, (0, 0)), hot.get(o, (0, 0))
-            masks = asked.around[a:b, SIDE:].reshape(-1)
-            rows.append((o, texts.column("block")[0].as_py(), *map(_pack, (asked.around[a:b, :SIDE], masks, asked.low[a:b], asked.windows[c:d], asked.hot_low[c:d]))))
+            own = asked.cold[a:b]
+            rows.append((o, texts.column("block")[0].as_py(), *map(_pack, (asked.around[own, :SIDE], asked.mask[own], asked.low[own], asked.windows[c:d], asked.window_low[c:d]))))
         return _table(_SEND, rows)
 
     return run
@@ -362,12 +383,11 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     anchor = np.ascontiguousarray(every[first][:, SPREAD : SPREAD + GRAM]) if len(first) else np.zeros((0, GRAM), np.uint8)
     _, kind = _distinct(anchor, np.zeros(len(anchor), np.int64))
     several = np.flatnonzero(np.bincount(kind, minlength=1)[kind] > 1) if len(kind) else np.zeros(0, np.int64)
-    at, offset = np.nonzero((mask[first][several][:, None] >> np.arange(SPREAD + 1, dtype=np.uint32)) & np.uint32(1))
-    if len(at):
-        view = np.lib.stride_tricks.sliding_window_view(every, LENGTH, axis=1)
-        of = several[at]
-        earlier = repeats_earlier(view[first[of], SPREAD - offset], low[of])
-        np.bitwise_or.at(bits, of[earlier], np.uint32(1) << offset[earlier].astype(np.uint32))
+    view = np.lib.stride_tricks.sliding_window_view(every, LENGTH, axis=1)
+    for o in range(SPREAD + 1):  # equal windows have their anchor at the same offset
+        of = several[(mask[first[several]] >> np.uint32(o)) & np.uint32(1) == 1]
+        earlier = repeats_earlier(view[first[of], SPREAD - o], low[of])
+        bits[of[earlier]] |= np.uint32(1) << np.uint32(o)
     answer = np.where(doc > low[which], mask, bits[which]) if len(which) else np.zeros(0, np.uint32)
     windows = [_unpack(r["windows"], np.uint8).reshape(-1, LENGTH) for r in rows]
     hot = repeats_earlier(np.concatenate(windows), np.concatenate([_unpack(r["wdocs"], np.int64) for r in rows]))
@@ -389,12 +409,9 @@ def _finish(owners: int, with_text: bool):
         if rows:
             bits = np.concatenate([_unpack(r["flags"], np.uint32) for r in rows])
             seen = np.concatenate([_unpack(r["more"], bool) for r in rows])
-            if len(bits) != len(asked.low) or len(seen) != len(asked.hot_low):
-                raise ValueError("the answers do not fit the block")
-            mask = np.where(asked.cold_doc > asked.low[asked.entry], block.mask[asked.cold], bits[asked.entry])
+            mask = asked.earlier(bits, seen)
             for o in range(SPREAD + 1):
-                start[block.pos[asked.cold[(mask >> np.uint32(o)) & np.uint32(1) == 1]] - o] = True
-            start[asked.hot_start[(asked.hot_doc > asked.hot_low[asked.hot_entry]) | seen[asked.hot_entry]]] = True
+                start[block.pos[asked.at[(mask >> np.uint32(o)) & np.uint32(1) == 1]] - o] = True
         count = np.cumsum(start)
         removed = count[:-1].copy()
         removed[LENGTH:] -= count[: max(len(block.data) - LENGTH, 0)]
