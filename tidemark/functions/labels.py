@@ -39,12 +39,14 @@ def gallery_bin(height: Column) -> Column:
 
 def sector(degrees: Column) -> Column:
     """Eight sectors of 45 degrees, the first from 0 on."""
-    return F.element_at(F.array(*map(F.lit, SECTORS)), (F.floor(F.pmod(degrees, F.lit(360.0)) / 45) + 1).cast("int"))
+    at = F.floor(F.pmod(degrees, F.lit(360.0)) / 45).cast("int")
+    return F.when(degrees.isNotNull(), F.get(F.array(*map(F.lit, SECTORS)), at))
 
 
 def compass(degrees: Column) -> Column:
     """Sixteen points, each centred on its direction."""
-    return F.element_at(F.array(*map(F.lit, COMPASS)), (F.pmod(F.floor(degrees / 22.5 + 0.5), F.lit(16)) + 1).cast("int"))
+    at = F.pmod(F.floor(degrees / 22.5 + 0.5), F.lit(16)).cast("int")
+    return F.when(degrees.isNotNull(), F.get(F.array(*map(F.lit, COMPASS)), at))
 
 
 def steps(value: Column, limits: Sequence[float], labels: Sequence[str]) -> Column:

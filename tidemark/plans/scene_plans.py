@@ -203,3 +203,11 @@ def step_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     ok = (F.col("value") >= 0) | (F.col("event_type") == "error")
     return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("step")).agg(F.count("*").alias("n"), F.bool_and(ok).alias("all_ok"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: the streaming operator over the table."""
+    from tidemark.streaming import flags
+
+    return flags.windowed_counts(table(spark, sf_dir, "events"))
