@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 SHARDS_A_RACK = 4
 RACKS_A_REGION = 5
 OVERHEAD = 16
-CELL_ROWS = 1 << 16
+CELL_ROWS = 1 << 12
 _UNIT = float(1 << 53)
 
 
