@@ -72,7 +72,7 @@ def ray_hits(px: Column, py: Column, qx: Column, qy: Column, ax: Column, ay: Col
     return F.coalesce(far & (t <= 1) & (u >= 0) & (u <= 1), F.lit(False))
 
 
-def swell_exposure(orientation: Column, arc: Column, main: float = 180.0) -> Column:
+def swell_exposure(orientation: Column, arc: Column, main: float = 170.0) -> Column:
     """Facing the main swell, times the open arc, of 40 points. The steps at 30, 60
     and 90 degrees, with the jump just above 60, are part of the definition."""
     off = angular_distance(orientation, main)
@@ -90,6 +90,11 @@ def sinuosity_bonus(length: Column, straight: Column, points: Column) -> Column:
     return F.when((points >= 3) & (straight > 0), F.least((length / F.when(straight > 0, straight) - 1) * 5, F.lit(0.3))).otherwise(0.0)
 
 
+def shape_score(ring_length: Column, bonus: Column) -> Column:
+    """Coastline within the ring around a place, up to 6 km, and the bonus, of 25 points."""
+    return F.least((F.least(ring_length / 6000, F.lit(1.0)) + bonus) * 25, F.lit(25.0))
+
+
 def to_pixel(lat: Column, lon: Column, box: tuple[float, float, float, float], width: int, height: int, margin: float = 0.001) -> tuple[Column, Column]:
     """(x, y) in an image of the box (west, south, east, north); null outside by more than the margin."""
     w, s, e, n = box

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 SWELL_EDGES = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 8.0)
 SECTORS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
-GALLERY_EDGES = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 20.0)
+GALLERY_EDGES = (0.0, 0.3, 0.6, 0.8, 1.0, 1.2, 1.5, 1.8, 2.2, 2.8, 3.5, 5.0, 99.0)
+GALLERY_LABELS = ("glass", "flat", "small-", "small", "small+", "moderate", "moderate+", "big", "big+", "storm", "storm+", "xxl")
+SEGMENT_COLOURS = ((80, "#14b8a6"), (60, "#fb923c"), (40, "#eab308"), (20, "#64748b"), (None, "#475569"))
+SECTION_COLOURS = ((70, "#14b8a6"), (60, "#2dd4bf"), (50, "#fb923c"), (None, "#64748b"))
+BADGES = {3: "Satellite verified", 2: "Partial data", None: "Geometry only"}
 
 
 def band(value: Column, edges: Sequence[float], labels: Sequence[str], above: str | None = None) -> Column:
@@ -34,7 +38,7 @@ def swell_bin(height: Column) -> Column:
 
 def gallery_bin(height: Column) -> Column:
     """Twelve labels; null outside."""
-    return band(height, GALLERY_EDGES, band_labels(GALLERY_EDGES))
+    return band(height, GALLERY_EDGES, GALLERY_LABELS)
 
 
 def sector(degrees: Column) -> Column:
@@ -49,16 +53,16 @@ def compass(degrees: Column) -> Column:
     return F.when(degrees.isNotNull(), F.get(F.array(*map(F.lit, COMPASS)), at))
 
 
-def steps(value: Column, limits: Sequence[float], labels: Sequence[str]) -> Column:
-    """Label of the first limit that the value reaches, the last label if none."""
+def steps(value: Column, limits: Sequence[tuple[float | None, str]]) -> Column:
+    """Label of the first limit that the value reaches; the last one has no limit."""
     out = None
-    for limit, label in zip(limits, labels, strict=False):
+    for limit, label in limits[:-1]:
         out = F.when(value >= limit, label) if out is None else out.when(value >= limit, label)
-    return out.otherwise(labels[-1])
+    return out.otherwise(limits[-1][1])
 
 
 def confidence_badge(confidence: Column) -> Column:
-    return F.when(confidence == 3, "full").when(confidence == 2, "partial").otherwise("geometry")
+    return F.when(confidence == 3, BADGES[3]).when(confidence == 2, BADGES[2]).otherwise(BADGES[None])
 
 
 def percent(value: Column, most: float = 1.0) -> Column:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.rounding import rounded
+
 SIZE, STRIDE = 6, 5
 
 
@@ -21,8 +23,10 @@ def tiled(ordered: DataFrame, chain: str, order: list[str], size: int = SIZE, st
     return out.where(F.col("n") - F.col("g") * stride >= 2).drop("n")
 
 
-def sections(rows: DataFrame, chain: str, pad: float = 0.005) -> DataFrame:
-    """One row for each section."""
+def sections(rows: DataFrame, chain: str, pad: float = 0.005, frac: str | None = None, chain_degrees: str | None = None) -> DataFrame:
+    """One row for each section. Its length follows from the fractions of the chain it
+    spans, if they are known, and is 250 m a segment at least."""
+    span = (F.max(frac) - F.min(frac)) * F.max(chain_degrees) * 111_000 if frac and chain_degrees else F.lit(0.0)
     return rows.groupBy(chain, "g").agg(
         F.count("*").alias("segment_count"),
         F.round(F.avg("lat"), 6).alias("centroid_lat"),
@@ -31,8 +35,9 @@ def sections(rows: DataFrame, chain: str, pad: float = 0.005) -> DataFrame:
         F.round(F.min("lat") - pad, 6).alias("south"),
         F.round(F.max("lon") + pad, 6).alias("east"),
         F.round(F.max("lat") + pad, 6).alias("north"),
-        F.round(F.avg("total_score"), 1).alias("mean_score"),
-        F.round(F.max("total_score"), 1).alias("max_score"),
+        rounded(F.avg("total_score"), 1).alias("mean_score"),
+        F.max("total_score").alias("max_score"),
+        F.round(F.greatest(span, F.count("*") * 250.0), 0).alias("coastline_length_m"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "segment_id"))), lambda s: s["segment_id"].cast("string")), ",").alias("segment_ids"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores
+from tidemark.functions.rounding import rounded
 
 FLAT_SWELL, FLAT_FOAM, PENALTY = 0.5, 0.2, 5.0
 
@@ -25,9 +26,9 @@ def foam_evidence(detections: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.avg(F.when(ok & (swell >= 1.0), foam)), F.lit(0.0)).alias("mean_swell_foam"),
         (F.count(F.when(ok & (foam > 0.05), 1)) / F.when(F.count(F.when(ok, 1)) > 0, F.count(F.when(ok, 1)))).alias("consistency"),
         (F.max(F.when(ok, foam)) - F.min(F.when(ok, foam))).alias("foam_range"),
-        F.max(F.when(ok & (swell < FLAT_SWELL) & (foam > FLAT_FOAM), 1).otherwise(0)).alias("flat_day_foam"),
+        F.max(F.when(ok & (F.col("swell_height_m") < FLAT_SWELL) & (foam > FLAT_FOAM), 1).otherwise(0)).alias("flat_day_foam"),
     )
-    component = F.when(F.col("n_valid") > 0, scores.foam_score(F.col("max_foam"), F.col("mean_swell_foam"), F.col("consistency"), F.col("foam_range")))
+    component = F.when(F.col("n_valid") > 0, rounded(scores.foam_score(F.col("max_foam"), F.col("mean_swell_foam"), F.col("consistency"), F.col("foam_range")), 2))
     return agg.withColumn("foam_component", component).withColumn("penalty", F.col("flat_day_foam") * PENALTY)
 
 

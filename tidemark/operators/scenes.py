@@ -26,11 +26,11 @@ def scene_foam(detections: DataFrame, keys: list[str], order: str, min_water: in
         rounded(F.avg(foam), 4).alias("mean_foam"),
         F.get(values, F.floor(F.size(values) / 2).cast("int")).alias("median_foam"),
         first_by("swell_height_m", order).alias("swell_height_m"),
-        first_by("swell_period_s", order).alias("swell_period_s"),
+        F.coalesce(F.nullif(first_by("swell_period_s", order), F.lit(0.0)), F.lit(8.0)).alias("swell_period_s"),
         first_by("swell_direction_deg", order).alias("swell_direction_deg"),
         first_by("quality_score", order).alias("quality_score"),
     )
-    return agg.where("valid_segments > 0")
+    return agg.where("valid_segments > 0 and swell_height_m is not null")
 
 
 def top_in_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -45,12 +45,12 @@ def long_first() -> Column:
 
 
 def compare_dates(scenes: DataFrame, spot: str, date: str) -> DataFrame:
-    """One row a date: number of spots, upper median swell, and period and direction of the first spot that has them."""
+    """One row a date: number of spots, upper median swell, and period and direction of the first spot that has a period."""
     values = F.array_sort(F.collect_list("swell_height_m"))  # at most one scene a spot
     return scenes.groupBy(date).agg(
         F.count("*").alias("n_spots"),
         F.get(values, F.floor(F.size(values) / 2).cast("int")).alias("median_swell_m"),
         F.min_by("swell_period_s", F.when(F.col("swell_period_s").isNotNull(), F.col(spot))).alias("period_s"),
-        F.min_by("swell_direction_deg", F.when(F.col("swell_direction_deg").isNotNull(), F.col(spot))).alias("direction_deg"),
+        F.min_by("swell_direction_deg", F.when(F.col("swell_period_s").isNotNull(), F.col(spot))).alias("direction_deg"),
         F.array_join(F.array_sort(F.collect_list(F.col(spot).cast("string"))), ",").alias("spots"),
     )

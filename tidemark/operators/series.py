@@ -22,9 +22,9 @@ def nearest_in_day(readings: DataFrame, keys: list[str], ts: str, value: str, ho
 
 
 def tide_state(value: Column, low: Column, high: Column, n: Column, margin: float = 0.3) -> Column:
-    """High or low within ``margin`` of the range, else mid; unknown below two readings."""
-    span = high - low
-    return F.when(n < 2, "unknown").when(value >= high - margin * span, "high").when(value <= low + margin * span, "low").otherwise("mid")
+    """High or low if further than ``margin`` of the half range from the middle; unknown below two readings."""
+    middle = (low + high) / 2
+    return F.when(n < 2, "unknown").when(value > middle + (high - middle) * margin, "high").when(value < middle - (middle - low) * margin, "low").otherwise("mid")
 
 
 def asof_best(targets: DataFrame, candidates: DataFrame, target_day: str, ts: str, days: int, order: list[str], keep: list[str]) -> DataFrame:

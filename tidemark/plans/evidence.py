@@ -103,9 +103,9 @@ EVIDENCE_SQL = """, ev AS (SELECT segment_id, count(*) FILTER (ok) AS n_valid, m
         coalesce(avg(foam_fraction) FILTER (ok AND coalesce(swell_height_m, 0) >= 1), 0) AS mean_swell_foam,
         count(*) FILTER (ok AND foam_fraction > 0.05) / nullif(count(*) FILTER (ok), 0) AS consistency,
         max(foam_fraction) FILTER (ok) - min(foam_fraction) FILTER (ok) AS foam_range,
-        max(CASE WHEN ok AND coalesce(swell_height_m, 0) < 0.5 AND foam_fraction > 0.2 THEN 1 ELSE 0 END) AS flat_day_foam
+        max(CASE WHEN ok AND swell_height_m < 0.5 AND foam_fraction > 0.2 THEN 1 ELSE 0 END) AS flat_day_foam
         FROM (SELECT *, coalesce(quality_score, 0) >= 60 AND foam_fraction IS NOT NULL AS ok FROM det) GROUP BY segment_id),
-    foam AS (SELECT *, CASE WHEN n_valid > 0 THEN 40 * (0.35 * least(max_foam / 0.5, 1) + 0.3 * least(mean_swell_foam / 0.3, 1) + 0.2 * consistency + 0.15 * least(foam_range / 0.4, 1)) END AS foam_component,
+    foam AS (SELECT *, CASE WHEN n_valid > 0 THEN round(40 * (0.35 * least(max_foam / 0.5, 1) + 0.3 * least(mean_swell_foam / 0.3, 1) + 0.2 * consistency + 0.15 * least(foam_range / 0.4, 1)) + 1e-9, 2) END AS foam_component,
         flat_day_foam * 5.0 AS penalty FROM ev)"""
 
 
@@ -114,12 +114,12 @@ EVIDENCE_SQL = """, ev AS (SELECT segment_id, count(*) FILTER (ok) AS n_valid, m
         "det",
         EVIDENCE_SQL
         + """ SELECT segment_id, n_valid, round(max_foam + 1e-9, 4) AS max_foam, round(mean_swell_foam + 1e-9, 4) AS mean_swell_foam, round(consistency + 1e-9, 4) AS consistency,
-        round(foam_range + 1e-9, 4) AS foam_range, round(foam_component + 1e-9, 3) AS foam_component FROM foam""",
+        round(foam_range + 1e-9, 4) AS foam_range, foam_component FROM foam""",
     )
 )
 def foam_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ranking.foam_evidence(adapters.detections(spark, sf_dir), KEY)
-    return e.select("segment_id", "n_valid", *(rounded(c, 4).alias(c) for c in ("max_foam", "mean_swell_foam", "consistency", "foam_range")), rounded("foam_component", 3).alias("foam_component"))
+    return e.select("segment_id", "n_valid", *(rounded(c, 4).alias(c) for c in ("max_foam", "mean_swell_foam", "consistency", "foam_range")), "foam_component")
 
 
 @query(with_views("det", EVIDENCE_SQL + " SELECT segment_id, CAST(penalty AS DOUBLE) AS penalty FROM foam WHERE penalty > 0"))
@@ -135,7 +135,7 @@ PROFILE_SCORE_SQL = (
             WHERE swell_height_m IS NOT NULL AND foam_fraction IS NOT NULL GROUP BY segment_id HAVING count(*) >= 3),
         opt AS (SELECT segment_id, count(*) FILTER (n >= 2 AND round(mean_foam + 1e-9, 4) > 0.15) > 0 AS has_opt FROM binned GROUP BY segment_id),
         dirs AS (SELECT segment_id, count(*) FILTER (n >= 2 AND round(mean_foam + 1e-9, 4) > 0.05) AS nd FROM sectored GROUP BY segment_id),
-        ps AS (SELECT segment_id, 25 * (0.25 * CAST(has_on AS INT) + 0.25 * CAST(has_opt AS INT) + 0.25 * CASE WHEN nd > 0 THEN greatest(0, 1 - nd / 8) ELSE 0 END + 0.25 * least(obs / 30, 1)) AS profile_component
+        ps AS (SELECT segment_id, round(25 * (0.25 * CAST(has_on AS INT) + 0.25 * CAST(has_opt AS INT) + 0.25 * CASE WHEN nd > 0 THEN greatest(0, 1 - nd / 8) ELSE 0 END + 0.25 * least(obs / 30, 1)) + 1e-9, 2) AS profile_component
             FROM prof JOIN opt USING (segment_id) JOIN dirs USING (segment_id))"""
 )
 
@@ -146,12 +146,12 @@ def _profile_component(det: DataFrame) -> DataFrame:
     directions = profiles.responsive_sectors(profiles.direction_bins(det, KEY), KEY)
     joined = response.join(optimal, "segment_id").join(directions, "segment_id")
     score = scores.profile_score(F.col("turn_on_threshold_m").isNotNull(), F.col("optimal_min_m").isNotNull(), F.col("n_responsive"), F.col("observation_count"))
-    return joined.select("segment_id", score.alias("profile_component"))
+    return joined.select("segment_id", rounded(score, 2).alias("profile_component"))
 
 
-@query(with_views("det", PROFILE_SCORE_SQL + " SELECT segment_id, round(profile_component + 1e-9, 3) AS profile_component FROM ps"))
+@query(with_views("det", PROFILE_SCORE_SQL + " SELECT segment_id, profile_component FROM ps"))
 def profile_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profile_component(adapters.detections(spark, sf_dir)).withColumn("profile_component", rounded("profile_component", 3))
+    return _profile_component(adapters.detections(spark, sf_dir))
 
 
 COMPOSITE_SQL = (
@@ -267,21 +267,21 @@ def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_views(
         "seg",
-        """ SELECT segment_id, round(CASE WHEN o <= 30 THEN 1.0 WHEN o <= 60 THEN 1 - (o - 30) / 30 WHEN o <= 90 THEN 0.5 * (1 - (o - 60) / 30) ELSE 0 END * least(exposure_arc_deg / 120, 1) * 40 + 1e-9, 4) AS swell_exposure_score
-        FROM (SELECT *, abs(((orientation_deg - 180 + 180) % 360 + 360) % 360 - 180) AS o FROM seg)""",
+        """ SELECT segment_id, round(CASE WHEN o <= 30 THEN 1.0 WHEN o <= 60 THEN 1 - (o - 30) / 30 WHEN o <= 90 THEN 0.5 * (1 - (o - 60) / 30) ELSE 0 END * least(exposure_arc_deg / 120, 1) * 40 + 1e-9, 1) AS swell_exposure_score
+        FROM (SELECT *, abs(((orientation_deg - 170 + 180) % 360 + 360) % 360 - 180) AS o FROM seg)""",
     )
 )
 def swell_exposure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.functions import geometry
 
     s = adapters.segments(spark, sf_dir)
-    return s.select("segment_id", rounded(geometry.swell_exposure(F.col("orientation_deg"), F.col("exposure_arc_deg")), 4).alias("swell_exposure_score"))
+    return s.select("segment_id", rounded(geometry.swell_exposure(F.col("orientation_deg"), F.col("exposure_arc_deg")), 1).alias("swell_exposure_score"))
 
 
 @query(
     with_views(
         "seg",
-        """ SELECT segment_id, round(CASE WHEN d <= 200 THEN 15.0 WHEN d >= 5000 THEN 0 ELSE 15 * (1 - (d - 200) / 4800) END + 1e-9, 4) AS road_access_score
+        """ SELECT segment_id, round(CASE WHEN d <= 200 THEN 15.0 WHEN d >= 5000 THEN 0 ELSE 15 * (1 - (d - 200) / 4800) END + 1e-9, 1) AS road_access_score
         FROM (SELECT segment_id, CAST(segment_id * 31 % 6000 AS DOUBLE) AS d FROM seg)""",
     )
 )
@@ -289,7 +289,7 @@ def road_access_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.functions import geometry
 
     distance = (F.col("segment_id") * 31 % 6000).cast("double")
-    return adapters.segments(spark, sf_dir).select("segment_id", rounded(geometry.road_access(distance), 4).alias("road_access_score"))
+    return adapters.segments(spark, sf_dir).select("segment_id", rounded(geometry.road_access(distance), 1).alias("road_access_score"))
 
 
 @query(
@@ -297,7 +297,7 @@ def road_access_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seg",
         """, e AS (SELECT segment_id, unnest(range(5)) AS k FROM seg), d AS (SELECT segment_id, k, -CAST((segment_id * 13 + k * 29) % 60 - 5 AS DOUBLE) AS depth FROM e)
         SELECT segment_id, CASE WHEN count(*) FILTER (depth < 0) < 2 THEN 5.0 ELSE
-            round(least((arg_min(depth, k) FILTER (depth < 0) - arg_max(depth, k) FILTER (depth < 0)) / (count(*) FILTER (depth < 0)) / 5, 1) * 20, 4) END AS bathymetry_score
+            round(least((arg_min(depth, k) FILTER (depth < 0) - arg_max(depth, k) FILTER (depth < 0)) / (count(*) FILTER (depth < 0) * 500) / 0.05, 1) * 20 + 1e-9, 1) END AS bathymetry_score
         FROM d GROUP BY segment_id""",
     )
 )
@@ -309,8 +309,8 @@ def bathymetry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     wet = F.col("depth") < 0
     order = F.when(wet, F.col("k"))
     n = F.count(F.when(wet, 1))
-    slope = (F.min_by("depth", order) - F.max_by("depth", order)) / F.when(n > 0, n) / 5
-    score = F.when(n < 2, 5.0).otherwise(F.round(F.least(slope, F.lit(1.0)) * 20, 4))
+    slope = (F.min_by("depth", order) - F.max_by("depth", order)) / (F.when(n > 0, n) * 500)
+    score = F.when(n < 2, 5.0).otherwise(rounded(F.least(slope / 0.05, F.lit(1.0)) * 20, 1))
     return under.groupBy("segment_id").agg(score.alias("bathymetry_score"))
 
 

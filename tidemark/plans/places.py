@@ -100,13 +100,14 @@ def grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "poly",
         EDGE_SQL
         + ORIGIN_SQL
-        + """ SELECT origin, round(sum(length), 2) AS ring_length FROM origin, (SELECT (ax + bx) / 2 AS mx, (ay + yb) / 2 AS my, length FROM edge WHERE i % 8 = 0)
+        + """ SELECT origin, round(sum(length), 2) AS ring_length, round(least((least(sum(length) / 6000, 1) + 0.1) * 25, 25), 3) AS shape_score FROM origin, (SELECT (ax + bx) / 2 AS mx, (ay + yb) / 2 AS my, length FROM edge WHERE i % 8 = 0)
         WHERE sqrt((mx - x) * (mx - x) + (my - y) * (my - y)) BETWEEN 50 AND 100 GROUP BY origin""",
     )
 )
 def ring_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = spatial.annulus_length(_origins(spark, sf_dir), _edges(spark, sf_dir).where("i % 8 = 0"), "origin", 50.0, 100.0)
-    return r.withColumn("ring_length", F.round("ring_length", 2))
+    score = geometry.shape_score(F.col("ring_length"), F.lit(0.1))
+    return r.select("origin", F.round("ring_length", 2).alias("ring_length"), F.round(score, 3).alias("shape_score"))
 
 
 @query(
@@ -151,7 +152,7 @@ def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 TILE_SQL = """, o AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY segment_id) - 1 AS pos, count(*) OVER (PARTITION BY chain) AS n FROM seg),
     g AS (SELECT o.*, x.g FROM o JOIN (SELECT unnest(range(2000)) AS g) x ON x.g * 5 <= pos AND pos < x.g * 5 + 6 WHERE n - x.g * 5 >= 2),
     sec AS (SELECT chain, g, count(*) AS segment_count, round(avg(lat), 6) AS centroid_lat, round(avg(lon), 6) AS centroid_lon, round(min(lon) - 0.005, 6) AS west, round(min(lat) - 0.005, 6) AS south,
-        round(max(lon) + 0.005, 6) AS east, round(max(lat) + 0.005, 6) AS north, round(avg(total_score), 1) AS mean_score, round(max(total_score), 1) AS max_score, string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY pos) AS segment_ids FROM g GROUP BY chain, g)"""
+        round(max(lon) + 0.005, 6) AS east, round(max(lat) + 0.005, 6) AS north, round(avg(total_score) + 1e-9, 1) AS mean_score, max(total_score) AS max_score, count(*) * 250.0 AS coastline_length_m, string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY pos) AS segment_ids FROM g GROUP BY chain, g)"""
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,14 +163,14 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(
         "seg",
         TILE_SQL
-        + """ SELECT 'atlas-' || lpad(CAST(row_number() OVER (ORDER BY chain, g) AS VARCHAR), 4, '0') AS section_id, chain, CAST(g AS BIGINT) AS g, segment_count, centroid_lat, centroid_lon, west, south, east, north, mean_score, max_score, segment_ids
+        + """ SELECT 'atlas-' || lpad(CAST(row_number() OVER (ORDER BY chain, g) AS VARCHAR), 4, '0') AS section_id, chain, CAST(g AS BIGINT) AS g, segment_count, centroid_lat, centroid_lon, west, south, east, north, mean_score, max_score, CAST(coastline_length_m AS DOUBLE) AS coastline_length_m, segment_ids
         FROM sec WHERE max_score > 40""",
     )
 )
 def tile_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of six with one overlap whose best score is above 40, numbered in order."""
     s = atlas.numbered(_sections(spark, sf_dir).where("max_score > 40"), ["chain", "g"])
-    return s.withColumn("g", F.col("g").cast("long")).select("section_id", "chain", "g", "segment_count", "centroid_lat", "centroid_lon", "west", "south", "east", "north", "mean_score", "max_score", "segment_ids")
+    return s.withColumn("g", F.col("g").cast("long")).select("section_id", "chain", "g", "segment_count", "centroid_lat", "centroid_lon", "west", "south", "east", "north", "mean_score", "max_score", "coastline_length_m", "segment_ids")
 
 
 @query(

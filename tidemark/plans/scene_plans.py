@@ -13,10 +13,10 @@ from tidemark.sources.adapters import table, with_views
 
 KEYS = ["spot_id", "scene_date"]
 SCENE_SQL = """, sf AS (SELECT spot_id, scene_date, count(*) AS segment_count, count(foam) AS valid_segments, round(max(foam), 4) AS max_foam, round(avg(foam) + 1e-9, 4) AS mean_foam,
-        list_sort(list(foam) FILTER (foam IS NOT NULL))[count(foam) // 2 + 1] AS median_foam, arg_min(swell_height_m, pos) AS swell_height_m, arg_min(swell_period_s, pos) AS swell_period_s,
+        list_sort(list(foam) FILTER (foam IS NOT NULL))[count(foam) // 2 + 1] AS median_foam, arg_min(swell_height_m, pos) AS swell_height_m, coalesce(nullif(first(swell_period_s ORDER BY pos), 0), 8) AS swell_period_s,
         arg_min(swell_direction_deg, pos) AS swell_direction_deg, first(quality_score ORDER BY pos) AS quality_score
-        FROM (SELECT *, CASE WHEN coalesce(water_pixel_count, 0) >= 50 THEN foam_fraction END AS foam FROM scene) GROUP BY spot_id, scene_date HAVING count(foam) > 0)"""
-GALLERY_SQL = "CASE " + " ".join(f"WHEN swell_height_m >= {a} AND swell_height_m < {b} THEN '{n}'" for a, b, n in zip(labels.GALLERY_EDGES, labels.GALLERY_EDGES[1:], labels.band_labels(labels.GALLERY_EDGES), strict=False)) + " END"
+        FROM (SELECT *, CASE WHEN coalesce(water_pixel_count, 0) >= 50 THEN foam_fraction END AS foam FROM scene) GROUP BY spot_id, scene_date HAVING count(foam) > 0 AND first(swell_height_m ORDER BY pos) IS NOT NULL)"""
+GALLERY_SQL = "CASE " + " ".join(f"WHEN swell_height_m >= {a} AND swell_height_m < {b} THEN '{n}'" for a, b, n in zip(labels.GALLERY_EDGES, labels.GALLERY_EDGES[1:], labels.GALLERY_LABELS, strict=False)) + " END"
 LONG_SQL = "CASE WHEN coalesce(swell_period_s, 0) >= 8 THEN 0 ELSE 1 END"
 
 
@@ -66,14 +66,14 @@ def pick_scenes_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMPARE_SQL = SCENE_SQL + """, cmp AS (SELECT scene_date, count(*) AS n_spots, list_sort(list(swell_height_m))[count(*) // 2 + 1] AS median_swell_m, arg_min(swell_period_s, spot_id) AS period_s,
-        arg_min(swell_direction_deg, spot_id) AS direction_deg, array_to_string(list_sort(list(CAST(spot_id AS VARCHAR))), ',') AS spots FROM sf GROUP BY scene_date)"""
+        first(swell_direction_deg ORDER BY swell_period_s IS NULL, spot_id) AS direction_deg, array_to_string(list_sort(list(CAST(spot_id AS VARCHAR))), ',') AS spots FROM sf GROUP BY scene_date)"""
 _POINTS = "[" + ", ".join(f"'{p}'" for p in labels.COMPASS) + "]"
 
 
-@query(with_views("det scene", COMPARE_SQL + f" SELECT *, {_POINTS}[CAST(floor(direction_deg / 22.5 + 0.5) AS INT) % 16 + 1] AS direction FROM cmp WHERE n_spots >= 2 AND median_swell_m >= 1 AND median_swell_m < 5"))
+@query(with_views("det scene", COMPARE_SQL + f" SELECT *, {_POINTS}[CAST(floor(direction_deg / 22.5 + 0.5) AS INT) % 16 + 1] AS direction FROM cmp WHERE n_spots >= 3 AND median_swell_m >= 1 AND median_swell_m < 5"))
 def compare_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = scenes.compare_dates(_scenes(spark, sf_dir), "spot_id", "scene_date")
-    return c.where("n_spots >= 2 and median_swell_m >= 1 and median_swell_m < 5").withColumn("direction", labels.compass(F.col("direction_deg")))
+    return c.where("n_spots >= 3 and median_swell_m >= 1 and median_swell_m < 5").withColumn("direction", labels.compass(F.col("direction_deg")))
 
 
 @query(with_views("det scene", COMPARE_SQL + " SELECT scene_date, n_spots FROM cmp ORDER BY n_spots DESC, scene_date DESC LIMIT 25"))
@@ -87,7 +87,7 @@ def compare_dates_top(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hourly",
         """, d AS (SELECT station, CAST(ts AS DATE) AS day, value, ts, event_id, abs(epoch(ts) - epoch(date_trunc('day', ts)) - 54000) AS off FROM hourly),
         n AS (SELECT station, day, count(*) AS n, first(value ORDER BY CAST(floor(off) AS BIGINT), ts, event_id) AS value, min(value) AS low, max(value) AS high FROM d WHERE off <= 3600 GROUP BY station, day)
-        SELECT station, day, n, value, CASE WHEN n < 2 THEN 'unknown' WHEN value >= high - 0.3 * (high - low) THEN 'high' WHEN value <= low + 0.3 * (high - low) THEN 'low' ELSE 'mid' END AS state FROM n""",
+        SELECT station, day, n, value, CASE WHEN n < 2 THEN 'unknown' WHEN value > (low + high) / 2 + (high - (low + high) / 2) * 0.3::DOUBLE THEN 'high' WHEN value < (low + high) / 2 - ((low + high) / 2 - low) * 0.3::DOUBLE THEN 'low' ELSE 'mid' END AS state FROM n""",
     )
 )
 def tide_asof(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,10 +126,10 @@ def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("mean_score >= 45").withColumn("mean_score", F.round("mean_score", 4))
 
 
-@query(with_views("seg", " SELECT segment_id, CASE WHEN total_score >= 70 THEN 'green' WHEN total_score >= 50 THEN 'yellow' WHEN total_score >= 30 THEN 'orange' ELSE 'red' END AS colour, CAST(floor(total_score / 100 * 100 + 0.5) AS BIGINT) AS bar, CASE segment_id % 4 WHEN 3 THEN 'full' WHEN 2 THEN 'partial' ELSE 'geometry' END AS badge FROM seg"))
+@query(with_views("seg", " SELECT segment_id, CASE WHEN total_score >= 80 THEN '#14b8a6' WHEN total_score >= 60 THEN '#fb923c' WHEN total_score >= 40 THEN '#eab308' WHEN total_score >= 20 THEN '#64748b' ELSE '#475569' END AS colour, CASE WHEN total_score >= 70 THEN '#14b8a6' WHEN total_score >= 60 THEN '#2dd4bf' WHEN total_score >= 50 THEN '#fb923c' ELSE '#64748b' END AS section_colour, CAST(floor(total_score / 100 * 100 + 0.5) AS BIGINT) AS bar, CASE segment_id % 4 WHEN 3 THEN 'Satellite verified' WHEN 2 THEN 'Partial data' ELSE 'Geometry only' END AS badge FROM seg"))
 def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.col("total_score")
-    return adapters.segments(spark, sf_dir).select("segment_id", labels.steps(score, (70, 50, 30), ("green", "yellow", "orange", "red")).alias("colour"), labels.percent(score, 100.0).alias("bar"), labels.confidence_badge(F.col("segment_id") % 4).alias("badge"))
+    return adapters.segments(spark, sf_dir).select("segment_id", labels.steps(score, labels.SEGMENT_COLOURS).alias("colour"), labels.steps(score, labels.SECTION_COLOURS).alias("section_colour"), labels.percent(score, 100.0).alias("bar"), labels.confidence_badge(F.col("segment_id") % 4).alias("badge"))
 
 
 @query(with_views("det scene", SCENE_SQL + ", p AS (SELECT s_suppkey % 20 AS spot_id, min(s_name) AS name FROM supplier GROUP BY 1) SELECT name, count(scene_date) AS n_scenes, count(*) FILTER (swell_height_m >= 2) AS n_big, round(max(median_foam), 4) AS best FROM p LEFT JOIN sf USING (spot_id) GROUP BY name"))

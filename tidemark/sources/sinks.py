@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Header of the review sheet.
-REVIEW = ("location", "date", "cloud_pct", "wave_height_m", "wave_direction_deg", "wave_period_s", "swell_height_m", "swell_direction_deg", "swell_period_s", "wind_speed_kmh", "wind_direction_deg", "foam_visible", "confidence", "notes")
+REVIEW = ("spot", "slug", "date", "wave_height_m", "wave_direction_deg", "wave_period_s", "swell_height_m", "swell_direction_deg", "swell_period_s", "wind_speed_kmh", "wind_direction_deg", "wind_gusts_kmh", "observation_label", "notes")
 
 
 def as_json(*columns: Column | str) -> Column:
@@ -62,7 +62,7 @@ def empty_summary(detections: DataFrame, quality: float = 0.0) -> DataFrame:
     return run_summary(detections, []).na.fill(quality)
 
 
-def publishable(galleries: DataFrame, left_out: tuple[str, ...] = ("forevers",)) -> DataFrame:
+def publishable(galleries: DataFrame, left_out: tuple[str, ...] = ()) -> DataFrame:
     """Galleries for the site: some places left out, paths below the site's root."""
     from tidemark.operators.views import web_path
 
