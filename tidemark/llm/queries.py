@@ -38,7 +38,7 @@ def _list_entries(pages: DataFrame) -> DataFrame:
 
 def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_lists.filter_captures(_captures(pages), _list_entries(pages)).drop("url")
+    return url_lists.filter_captures(_captures(pages), _list_entries(pages)).drop("url", "fetched_at")
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    return decontaminate.decontaminate(docs, items, keep=["doc_id"])
+    return decontaminate.decontaminate(docs, items, keep=["doc_id"]).drop("spans")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_lists, op2_repeated_passages, op3_decontamination, op4_exact_dedup, op5_sharding, op6_mixing, op7_line_templates, op8_quality, op9_personal_data, op10_simhash)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op1_url_lists": r"""
+        WITH p AS (SELECT page_id, TIMESTAMP '2024-01-01' + to_hours(page_id * 37 % 8760) AS fetched_at,
+                nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
+                regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS seg FROM pages),
+        h AS (SELECT host, min(page_id) AS m FROM p WHERE host IS NOT NULL GROUP BY host),
+        e AS (SELECT ['adult', 'malware', 'spam'][m % 3 + 1] AS list, CASE WHEN m % 5 < 3 THEN host WHEN m % 5 = 3 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host || '/en' END AS key,
+                CASE WHEN k % 2 = 0 THEN 'add' ELSE 'remove' END AS action, TIMESTAMP '2024-01-01' + to_days(CAST((m * 11 + k * 97) % 365 AS INT)) AS since
+            FROM (SELECT *, unnest(range(4)) AS k FROM h WHERE m % 4 <> 0)),
+        o AS (SELECT list, key, since, max(action) AS action FROM e GROUP BY ALL),
+        t AS (SELECT *, lag(action) OVER w AS before FROM o WINDOW w AS (PARTITION BY list, key ORDER BY since)),
+        i AS (SELECT *, lead(since) OVER (PARTITION BY list, key ORDER BY since) AS valid_to FROM t WHERE before IS NULL OR before <> action),
+        a AS (SELECT page_id, fetched_at, unnest(list_distinct(list_concat(list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda x: array_to_string(string_split(host, '.')[x:], '.')),
+                CASE WHEN seg <> '' THEN [host || '/' || seg] ELSE [] END))) AS key FROM p WHERE host IS NOT NULL),
+        f AS (SELECT page_id, count(*) AS n, list_sort(list(DISTINCT list)) AS lists, list_sort(list(DISTINCT key)) AS keys
+            FROM a JOIN (SELECT * FROM i WHERE action = 'add') USING (key) WHERE since <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY page_id)
+        SELECT p.page_id, host, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_entries,
+            coalesce(array_to_string(lists, ','), '') AS lists, coalesce(array_to_string(keys, ','), '') AS matched_keys
+        FROM p LEFT JOIN f USING (page_id)
+    """,
+    "op3_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        b AS (SELECT item_id, iw, least(10, len(iw)) AS n FROM (SELECT item_id, {_WORDS} AS iw FROM benchmark) WHERE len(iw) > 0),
+        iwin AS (SELECT DISTINCT item_id, n, array_to_string(iw[k : k + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(iw) - n + 2)) AS k FROM b)),
+        dwin AS (SELECT doc_id, n, k, array_to_string(ws[k : k + n - 1], ' ') AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iwin))),
+        hit AS (SELECT doc_id, item_id, k, n FROM dwin JOIN iwin USING (n, win)),
+        hw AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM (SELECT DISTINCT doc_id, k, n FROM hit)) GROUP BY doc_id),
+        hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+    """,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

@@ -64,10 +64,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
     """``captures`` with host, blocked, n_entries, lists and matched_keys (sorted, comma-joined)."""
     kept = [c for c in captures.columns if c not in RESULT]
     spans = intervals(entries)
-    last = captures.agg(F.max(time_col).alias("last"))  # one row
-    upto = F.greatest(_period(F.coalesce("valid_to", "last")), _period(F.col("valid_from")))
-    cut = spans.crossJoin(F.broadcast(last)).where("last is not null and valid_from <= last")
-    cut = cut.withColumn("period", F.explode(F.sequence(_period(F.col("valid_from")), F.least(upto, _period(F.col("last")))))).drop("last")
+    last = F.lit(captures.agg(F.max(time_col)).first()[0]).cast("timestamp")
+    upto = F.greatest(_period(F.least(F.coalesce("valid_to", last), last)), _period(F.col("valid_from")))
+    cut = spans.where(F.col("valid_from") <= last).withColumn("period", F.explode(F.sequence(_period(F.col("valid_from")), upto)))
     rows = captures.withColumn("__row", F.monotonically_increasing_id())
     asked = rows.select("__row", F.col(time_col).alias("at"), F.explode(keys(F.col(url_col))).alias("key")).withColumn("period", _period(F.col("at")))
     active = asked.join(cut, ["key", "period"]).where("valid_from <= at and (valid_to is null or at < valid_to)")
