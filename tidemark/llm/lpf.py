@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import shared_dir, ship
 
 LENGTH = 50
 GRAM = 20
@@ -432,6 +432,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, if
     asked for, ``kept``: the remaining bytes."""
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import with_arrow_columns, written
+from tidemark.llm.common import ship, with_arrow_columns, written
 
 SEED = 42
 SEGMENTS = 9
@@ -185,6 +185,7 @@ def links(nodes: DataFrame, tau: int = 4, segments: int = SEGMENTS, bucket_rows:
 
     ``nodes`` has one row for each distinct fingerprint: fp and node, its
     smallest id."""
+    ship(nodes.sparkSession)
     keyed = nodes.select("fp", "node", F.explode(chain_keys(F.col("fp"), tau, segments)).alias("key"))
     large = keyed.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
