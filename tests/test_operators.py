@@ -191,8 +191,8 @@ def test_empty_results_keep_their_shape(spark):
 
 def test_galleries(spark):
     schema = "slug string, scenes array<struct<rgb_path:string,annotated_rgb_path:string>>"
-    df = spark.createDataFrame([("a", [("data/x.png", "y"), (None, None)]), ("forevers", [])], schema)
-    shown = sinks.publishable(df).collect()
+    df = spark.createDataFrame([("a", [("data/x.png", "y"), (None, None)]), ("gone", [])], schema)
+    shown = sinks.publishable(df, ("gone",)).collect()
     assert [[s["rgb_path"] for s in r["scenes"]] for r in shown] == [["/x.png", None]]
     assert [r["annotated_count"] for r in sinks.with_annotation_counts(df).orderBy("slug").collect()] == [1, 0]
 

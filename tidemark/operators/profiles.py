@@ -79,3 +79,35 @@ def responsive_sectors(binned: DataFrame, keys: list[str], threshold: float = RE
 def spot_profile(binned_segments: DataFrame, spot: str, name: str = "bin") -> DataFrame:
     """Unweighted mean, over the segments of a spot, of their bin means."""
     return binned_segments.groupBy(spot, name).agg(rounded(F.avg(rounded("mean_foam", 4)), 4).alias("mean_of_means"), F.sum("n").alias("n"))
+
+
+def component(detections: DataFrame, keys: list[str], extra: list[Column] = ()) -> DataFrame:
+    """Everything a profile score needs, in one aggregate and so one shuffle.
+
+    Bins and sectors are few and fixed, so their sums and counts are columns of
+    the aggregate and are combined before the shuffle, instead of two further
+    aggregates by (key, bin) and (key, sector). ``extra`` aggregates ride along.
+    Adds observation_count, has_turn_on, has_optimal and n_responsive."""
+    swell, foam, direction = F.col("swell_height_m"), F.col("foam_fraction"), F.col("swell_direction_deg")
+    known = swell.isNotNull() & foam.isNotNull()
+    edges = labels.SWELL_EDGES
+    in_bin = [known & (swell >= lo) & ((swell < hi) if hi is not None else F.lit(True)) for lo, hi in zip(edges, (*edges[1:], None), strict=True)]
+    turn = F.floor(F.pmod(direction, F.lit(360.0)) / 45)
+    in_sector = [known & (turn == k) for k in range(len(labels.SECTORS))]
+    sums = {f"__{kind}{i}": c for kind, cs in (("b", in_bin), ("s", in_sector)) for i, c in enumerate(cs)}
+    agg = detections.groupBy(*keys).agg(
+        *extra,
+        F.count(F.when(known, 1)).alias("observation_count"),
+        F.coalesce(F.bool_or(known & (foam > TURN_ON)), F.lit(False)).alias("has_turn_on"),
+        *(F.sum(F.when(c, foam)).alias(f"{n}_sum") for n, c in sums.items()),
+        *(F.count(F.when(c, 1)).alias(f"{n}_n") for n, c in sums.items()),
+    )
+
+    def above(names: list[str], threshold: float) -> Column:
+        good = lambda n: (F.col(f"{n}_n") >= 2) & (rounded(F.col(f"{n}_sum") / F.col(f"{n}_n"), 4) > threshold)
+        return sum((F.when(good(n), 1).otherwise(0) for n in names), F.lit(0))
+
+    bins_above = above([n for n in sums if n.startswith("__b")], OPTIMAL)
+    sectors_above = above([n for n in sums if n.startswith("__s")], RESPONSIVE)
+    out = agg.withColumns({"has_optimal": bins_above > 0, "n_responsive": sectors_above})
+    return out.drop(*(c for c in agg.columns if c.startswith("__")))

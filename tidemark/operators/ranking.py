@@ -16,20 +16,30 @@ def usable() -> Column:
     return (F.coalesce("quality_score", F.lit(0.0)) >= 60) & F.col("foam_fraction").isNotNull()
 
 
-def foam_evidence(detections: DataFrame, keys: list[str]) -> DataFrame:
-    """Foam component and its parts: one aggregate, null component without evidence."""
+def evidence_aggregates() -> list[Column]:
+    """Aggregates of the foam evidence, to be used alone or beside others."""
     foam, swell = F.col("foam_fraction"), F.coalesce("swell_height_m", F.lit(0.0))
     ok = usable()
-    agg = detections.groupBy(*keys).agg(
-        F.count(F.when(ok, 1)).alias("n_valid"),
+    n = F.count(F.when(ok, 1))
+    return [
+        n.alias("n_valid"),
         F.max(F.when(ok, foam)).alias("max_foam"),
         F.coalesce(F.avg(F.when(ok & (swell >= 1.0), foam)), F.lit(0.0)).alias("mean_swell_foam"),
-        (F.count(F.when(ok & (foam > 0.05), 1)) / F.when(F.count(F.when(ok, 1)) > 0, F.count(F.when(ok, 1)))).alias("consistency"),
+        (F.count(F.when(ok & (foam > 0.05), 1)) / F.when(n > 0, n)).alias("consistency"),
         (F.max(F.when(ok, foam)) - F.min(F.when(ok, foam))).alias("foam_range"),
         F.max(F.when(ok & (F.col("swell_height_m") < FLAT_SWELL) & (foam > FLAT_FOAM), 1).otherwise(0)).alias("flat_day_foam"),
-    )
-    component = F.when(F.col("n_valid") > 0, rounded(scores.foam_score(F.col("max_foam"), F.col("mean_swell_foam"), F.col("consistency"), F.col("foam_range")), 2))
-    return agg.withColumn("foam_component", component).withColumn("penalty", F.col("flat_day_foam") * PENALTY)
+    ]
+
+
+def with_foam_component(agg: DataFrame) -> DataFrame:
+    """Add the foam component (null without evidence) and the penalty."""
+    score = scores.foam_score(F.col("max_foam"), F.col("mean_swell_foam"), F.col("consistency"), F.col("foam_range"))
+    return agg.withColumns({"foam_component": F.when(F.col("n_valid") > 0, rounded(score, 2)), "penalty": F.col("flat_day_foam") * PENALTY})
+
+
+def foam_evidence(detections: DataFrame, keys: list[str]) -> DataFrame:
+    """Foam component and its parts: one aggregate."""
+    return with_foam_component(detections.groupBy(*keys).agg(*evidence_aggregates()))
 
 
 def cells(df: DataFrame, score: Column, low: float, high: float, n: int = 1024) -> DataFrame:

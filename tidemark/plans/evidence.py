@@ -140,18 +140,17 @@ PROFILE_SCORE_SQL = (
 )
 
 
-def _profile_component(det: DataFrame) -> DataFrame:
-    response = profiles.response(det, KEY).where("status = 'complete'")
-    optimal = profiles.optimal_range(profiles.swell_bins(det, KEY), KEY)
-    directions = profiles.responsive_sectors(profiles.direction_bins(det, KEY), KEY)
-    joined = response.join(optimal, "segment_id").join(directions, "segment_id")
-    score = scores.profile_score(F.col("turn_on_threshold_m").isNotNull(), F.col("optimal_min_m").isNotNull(), F.col("n_responsive"), F.col("observation_count"))
-    return joined.select("segment_id", rounded(score, 2).alias("profile_component"))
+def _components(det: DataFrame) -> DataFrame:
+    """Foam and profile components of every segment from one pass over the detections."""
+    agg = ranking.with_foam_component(profiles.component(det, KEY, ranking.evidence_aggregates()))
+    score = scores.profile_score(F.col("has_turn_on"), F.col("has_optimal"), F.col("n_responsive"), F.col("observation_count"))
+    complete = F.col("observation_count") >= profiles.MIN_OBSERVATIONS
+    return agg.select("segment_id", "foam_component", "penalty", F.when(complete, rounded(score, 2)).alias("profile_component"))
 
 
 @query(with_views("det", PROFILE_SCORE_SQL + " SELECT segment_id, profile_component FROM ps"))
 def profile_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profile_component(adapters.detections(spark, sf_dir))
+    return _components(adapters.detections(spark, sf_dir)).where("profile_component is not null").select("segment_id", "profile_component")
 
 
 COMPOSITE_SQL = (
@@ -167,9 +166,8 @@ COMPOSITE_SQL = (
 
 
 def scored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det = adapters.detections(spark, sf_dir)
-    foam = ranking.foam_evidence(det, KEY).select("segment_id", "foam_component", "penalty")
-    joined = adapters.segments(spark, sf_dir).where("total_score > 0").join(foam, "segment_id", "left").join(_profile_component(det), "segment_id", "left")
+    parts = _components(adapters.detections(spark, sf_dir))
+    joined = adapters.segments(spark, sf_dir).where("total_score > 0").join(parts, "segment_id", "left")
     penalty = F.coalesce("penalty", F.lit(0.0))
     score = scores.composite(F.col("total_score"), F.col("foam_component"), F.col("profile_component"), penalty=penalty)
     confidence = F.lit(1) + F.col("foam_component").isNotNull().cast("int") + F.col("profile_component").isNotNull().cast("int")
