@@ -61,6 +61,17 @@ def edge_fraction(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
 
 
+def length_inside(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column, radius: float) -> Column:
+    """Length of the part of the edge a-b that lies within ``radius`` of a point."""
+    dx, dy, fx, fy = bx - ax, by - ay, ax - px, ay - py
+    a, b, c = dx * dx + dy * dy, 2 * (fx * dx + fy * dy), fx * fx + fy * fy - radius * radius
+    root = b * b - 4 * a * c
+    half = F.sqrt(F.greatest(root, F.lit(0.0)))
+    first = F.greatest((-b - half) / (2 * a), F.lit(0.0))
+    last = F.least((-b + half) / (2 * a), F.lit(1.0))
+    return F.when((a > 0) & (root > 0), F.greatest(last - first, F.lit(0.0)) * F.sqrt(a)).otherwise(0.0)
+
+
 def ray_hits(px: Column, py: Column, qx: Column, qy: Column, ax: Column, ay: Column, bx: Column, by: Column, skip: float) -> Column:
     """Does the ray p-q meet the edge a-b further than ``skip`` from p? Null-free."""
     rx, ry, sx, sy = qx - px, qy - py, bx - ax, by - ay

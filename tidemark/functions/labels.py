@@ -65,6 +65,10 @@ def confidence_badge(confidence: Column) -> Column:
     return F.when(confidence == 3, BADGES[3]).when(confidence == 2, BADGES[2]).otherwise(BADGES[None])
 
 
+def range_label(low: Column, high: Column, unit: str = "m") -> Column:
+    return F.when(low.isNotNull(), F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit(unit)))
+
+
 def percent(value: Column, most: float = 1.0) -> Column:
     """Rounded half up."""
     return F.floor(value / most * 100 + 0.5).cast("long")

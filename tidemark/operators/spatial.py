@@ -93,9 +93,32 @@ def exposure_arc(origins: DataFrame, edge_table: DataFrame, origin: str, directi
 
 
 def annulus_length(points: DataFrame, edge_table: DataFrame, point: str, inner: float, outer: float) -> DataFrame:
-    """Length of the edges whose midpoint lies in the ring around each point."""
-    mid = edge_table.select("length", ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"))
-    mid = mid.withColumns({"cx": F.floor(F.col("mx") / outer), "cy": F.floor(F.col("my") / outer)})
-    p = points.select(point, "x", "y", F.explode(cells_of(F.col("x") - outer, F.col("x") + outer, F.col("y") - outer, F.col("y") + outer, outer)).alias("c")).select(point, "x", "y", "c.cx", "c.cy")
-    off = F.hypot(F.col("mx") - F.col("x"), F.col("my") - F.col("y"))
-    return p.join(mid, ["cx", "cy"]).where((off >= inner) & (off <= outer)).groupBy(point).agg(F.sum("length").alias("ring_length"))
+    """Length of the edges within the ring around each point, edges clipped at both circles."""
+    p = points.select(point, "x", "y", F.floor(F.col("x") / outer).alias("cx"), F.floor(F.col("y") / outer).alias("cy"))
+    ends = tuple(map(F.col, ("ax", "ay", "bx", "by")))
+    ring = geometry.length_inside(F.col("x"), F.col("y"), *ends, outer) - geometry.length_inside(F.col("x"), F.col("y"), *ends, inner)
+    met = p.join(_dealt(edge_table, outer), ["cx", "cy"]).withColumn("part", ring)
+    return met.where("part > 0").groupBy(point).agg(F.sum("part").alias("ring_length"))
+
+
+def _dealt(edge_table: DataFrame, radius: float) -> DataFrame:
+    """Edges in every cell from which one can be within ``radius`` of them: a point in
+    one of these cells meets the edge once."""
+    ax, ay, bx, by = map(F.col, ("ax", "ay", "bx", "by"))
+    low, high = (lambda a, b: F.least(a, b) - radius), (lambda a, b: F.greatest(a, b) + radius)
+    return edge_table.select("ax", "ay", "bx", "by", F.explode(cells_of(low(ax, bx), high(ax, bx), low(ay, by), high(ay, by), radius)).alias("c")).select("ax", "ay", "bx", "by", "c.cx", "c.cy")
+
+
+def seaward_normal(origins: DataFrame, edge_table: DataFrame, origin: str, bearing: str, reach: float, step: float = 200.0) -> DataFrame:
+    """Of the two normals of a line, the one whose test point, ``step`` away, is further
+    from the nearest edge; nothing within ``reach`` counts as furthest, ties go to +90."""
+    tests = origins.select(origin, "x", "y", bearing, F.explode(F.array(F.lit(90.0), F.lit(-90.0))).alias("turn"))
+    tx, ty = geometry.ray_end(F.col("x"), F.col("y"), step, F.col(bearing) + F.col("turn"))
+    tests = tests.select(origin, bearing, "turn", tx.alias("x"), ty.alias("y"))
+    placed = tests.withColumns({"cx": F.floor(F.col("x") / reach), "cy": F.floor(F.col("y") / reach)})
+    off = geometry.segment_distance(F.col("x"), F.col("y"), *map(F.col, ("ax", "ay", "bx", "by")))
+    near = placed.join(_dealt(edge_table, reach), ["cx", "cy"]).groupBy(origin, "turn").agg(F.min(off).alias("d"))
+    far = F.when(F.col("d") <= reach, F.col("d")).otherwise(F.lit(float("inf")))
+    joined = tests.join(near, [origin, "turn"], "left").withColumn("off", F.round(far, 6))
+    best = joined.groupBy(origin, bearing).agg(F.max(F.struct("off", "turn")).alias("best"))
+    return best.select(origin, F.pmod(F.col(bearing) + F.col("best.turn"), F.lit(360.0)).alias("normal_deg"))

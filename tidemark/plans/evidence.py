@@ -55,12 +55,13 @@ def best_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(
         "det",
         BINNED_SQL
-        + f""" SELECT segment_id, min(lo) FILTER (n >= 2 AND round(mean_foam + 1e-9, 4) > 0.15) AS optimal_min_m, max(hi) FILTER (n >= 2 AND round(mean_foam + 1e-9, 4) > 0.15) AS optimal_max_m
-        FROM (SELECT *, ({list(labels.SWELL_EDGES)}::DOUBLE[])[position + 1] AS lo, ({list(labels.SWELL_EDGES)}::DOUBLE[])[position + 2] AS hi FROM binned) GROUP BY segment_id""",
+        + f""" SELECT *, CAST(optimal_min_m AS VARCHAR) || '-' || CAST(optimal_max_m AS VARCHAR) || 'm' AS label FROM (SELECT segment_id, min(lo) FILTER (n >= 2 AND round(mean_foam + 1e-9, 4) > 0.15) AS optimal_min_m, max(hi) FILTER (n >= 2 AND round(mean_foam + 1e-9, 4) > 0.15) AS optimal_max_m
+        FROM (SELECT *, ({list(labels.SWELL_EDGES)}::DOUBLE[])[position + 1] AS lo, ({list(labels.SWELL_EDGES)}::DOUBLE[])[position + 2] AS hi FROM binned) GROUP BY segment_id)""",
     )
 )
 def optimal_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.optimal_range(profiles.swell_bins(adapters.detections(spark, sf_dir), KEY), KEY)
+    found = profiles.optimal_range(profiles.swell_bins(adapters.detections(spark, sf_dir), KEY), KEY)
+    return found.withColumn("label", labels.range_label(F.col("optimal_min_m"), F.col("optimal_max_m")))
 
 
 @query(

@@ -100,8 +100,14 @@ def grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "poly",
         EDGE_SQL
         + ORIGIN_SQL
-        + """ SELECT origin, round(sum(length), 2) AS ring_length, round(least((least(sum(length) / 6000, 1) + 0.1) * 25, 25), 3) AS shape_score FROM origin, (SELECT (ax + bx) / 2 AS mx, (ay + yb) / 2 AS my, length FROM edge WHERE i % 8 = 0)
-        WHERE sqrt((mx - x) * (mx - x) + (my - y) * (my - y)) BETWEEN 50 AND 100 GROUP BY origin""",
+        + """, q AS (SELECT origin, (bx - ax) * (bx - ax) + (yb - ay) * (yb - ay) AS a, 2 * ((ax - x) * (bx - ax) + (ay - y) * (yb - ay)) AS b, (ax - x) * (ax - x) + (ay - y) * (ay - y) AS c FROM origin, edge WHERE i % 8 = 0),
+        r AS (SELECT origin, a, """
+        + ", ".join(
+            f"CASE WHEN b * b - 4 * a * (c - {r * r}) > 0 THEN greatest(0, least(1, (-b + sqrt(greatest(b * b - 4 * a * (c - {r * r}), 0))) / (2 * a)) - greatest(0, (-b - sqrt(greatest(b * b - 4 * a * (c - {r * r}), 0))) / (2 * a))) * sqrt(a) ELSE 0 END AS in_{r}"
+            for r in (100, 50)
+        )
+        + """ FROM q WHERE a > 0)
+        SELECT origin, round(sum(in_100 - in_50), 2) AS ring_length, round(least((least(sum(in_100 - in_50) / 6000, 1) + 0.1) * 25, 25), 3) AS shape_score FROM r WHERE in_100 - in_50 > 0 GROUP BY origin""",
     )
 )
 def ring_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +116,21 @@ def ring_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("origin", F.round("ring_length", 2).alias("ring_length"), F.round(score, 3).alias("shape_score"))
 
 
+@query(
+    with_views(
+        "poly",
+        EDGE_SQL
+        + ORIGIN_SQL
+        + """, t AS (SELECT origin, facing, turn, x + sin(radians(facing + turn)) * 200 AS x, y + cos(radians(facing + turn)) * 200 AS y FROM (SELECT *, unnest([90, -90]) AS turn FROM origin)),
+        c AS (SELECT origin, facing, turn, x, y, ax, ay, bx, yb, greatest(0, least(1, coalesce(((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / nullif(length * length, 0), 0))) AS u FROM t, edge WHERE i % 8 = 0),
+        d AS (SELECT origin, facing, turn, min(sqrt((x - ax - u * (bx - ax)) * (x - ax - u * (bx - ax)) + (y - ay - u * (yb - ay)) * (y - ay - u * (yb - ay)))) AS d FROM c GROUP BY ALL)
+        SELECT origin, (facing + turn + 360) % 360 AS normal_deg FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY CASE WHEN d <= 100 THEN round(d, 6) ELSE 1e9 END DESC, turn DESC) AS r FROM d) WHERE r = 1""",
+    )
+)
+def seaward_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.seaward_normal(_origins(spark, sf_dir), _edges(spark, sf_dir).where("i % 8 = 0"), "origin", "facing", 100.0)
+
+
 @query(
     with_views(
         "seg known",

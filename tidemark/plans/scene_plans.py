@@ -108,6 +108,20 @@ def scene_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.asof_best(targets, candidates, "target", "ts", 3, ["cloud", "scene_id"], []).select("target", "scene_id", "cloud")
 
 
+@query(
+    """WITH t(target) AS (VALUES (DATE '1995-03-01'), (DATE '1996-07-15'), (DATE '1997-12-31'), (DATE '1890-01-01')), c AS (SELECT o_orderkey AS scene_id, o_orderdate AS ts, o_totalprice AS cloud FROM orders WHERE o_totalprice < 100000),
+    b AS (SELECT target, scene_id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY cloud, scene_id) AS r FROM t JOIN c ON ts >= target - INTERVAL 3 DAY AND ts < target + INTERVAL 3 DAY) WHERE r = 1)
+    SELECT strftime(target, '%Y-%m-%d') || '_' || combo || '.png' AS name, scene_id FROM b, (VALUES ('rgb'), ('nir'), ('swir')) AS k(combo)"""
+)
+def band_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every band combination for the best scene of each listed day; days without a scene are skipped."""
+    targets = spark.createDataFrame([("1995-03-01",), ("1996-07-15",), ("1997-12-31",), ("1890-01-01",)], "d string").select(F.to_date("d").alias("target"))
+    candidates = table(spark, sf_dir, "orders").where("o_totalprice < 100000").select(F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("cloud"))
+    best = series.asof_best(targets, candidates, "target", "ts", 3, ["cloud", "scene_id"], [])
+    combos = best.select("target", "scene_id", F.explode(F.array(F.lit("rgb"), F.lit("nir"), F.lit("swir"))).alias("combo"))
+    return combos.select(F.concat(F.date_format("target", "yyyy-MM-dd"), F.lit("_"), "combo", F.lit(".png")).alias("name"), "scene_id")
+
+
 @query("SELECT day, scene_id, cloud FROM (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey AS scene_id, o_totalprice AS cloud, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_totalprice, o_orderkey) AS r FROM orders) WHERE r = 1")
 def least_cloudy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least cloudy scene of each day: an aggregate, so that days need no sorting."""
