@@ -142,7 +142,7 @@ class Block:
         padded = np.concatenate([room, m, room])
         here = np.flatnonzero((_slide(padded, SPREAD + 1, np.maximum) == h) & (h != 0))
         pos.append(here + at)
-        hashes.append(h[here])
+        hashes.append(_mixed(h[here]))  # minima are small numbers; owners are ranges of all
         if masks:
             got = np.zeros(len(here), np.uint32)
             for o in range(SPREAD + 1):
