@@ -344,6 +344,9 @@ def test_simhash(spark):
     kept = simhash.keep_representatives(documents(spark, rows)).collect()
     assert {r["doc_id"] for r in kept} == set(comps.values())
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
+    loose = documents(spark, [(None, "a b c d e", None), (None, "a b c d e", None), (3, "q w e r t y", None), (None, "q w e r t y", None)])
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(loose).collect()) == [(0, 0), (0, 0), (0, 3), (3, 3)]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_representatives(loose).collect()) == [(0, "a b c d e"), (0, "a b c d e"), (3, "q w e r t y")]
 
 
 @pytest.mark.parametrize("bucket_rows", [3, 1 << 18])

@@ -19,8 +19,9 @@ compared in pairs of blocks, so that no task holds an unbounded group.
 
 Defined results: null and wordless texts have fingerprint 0 and link like any
 other; texts of fewer words than a shingle are hashed whole; repeated doc_ids
-are separate rows with one component; an empty table gives an empty result;
-extra columns are ignored, whatever their names.
+are separate rows with one component; a null id is larger than every id, and a
+component without any id has component_id null; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,13 +65,13 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
     return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
+    """(id, fp), or the columns ``keep`` with fp: the fingerprint as a signed long."""
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
-        return {"fp": np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)}
+        return {name: np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)}
 
-    return with_arrow_columns(docs, text_col, T.StructType([T.StructField("fp", T.LongType())]), run, [id_col])
+    return with_arrow_columns(docs, text_col, T.StructType([T.StructField(name, T.LongType())]), run, [id_col] if keep is None else keep)
 
 
 def _edges(segments: int) -> list[tuple[int, int]]:
@@ -183,8 +184,8 @@ def _bucket_links(tau: int, segments: int):
 def links(nodes: DataFrame, tau: int = 4, segments: int = SEGMENTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b) with a < b: links that connect the same nodes as all links do.
 
-    ``nodes`` has one row for each distinct fingerprint: fp and node, its
-    smallest id."""
+    ``nodes`` has one row for each distinct fingerprint: fp and node, a long
+    that tells it apart."""
     ship(nodes.sparkSession)
     keyed = nodes.select("fp", "node", F.explode(chain_keys(F.col("fp"), tau, segments)).alias("key"))
     large = keyed.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks"))
@@ -222,14 +223,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, tau: int = 4, segments: int = SEGMENTS) -> DataFrame:
     """One row per document: id, fp (signed long), component_id (smallest id reachable by links)."""
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("node"))
-    comps = components(links(nodes, tau, segments), "simhash-links")
-    named = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    lowest = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
+    comps = components(links(lowest.select("fp", F.col("fp").alias("node")), tau, segments), "simhash-links")
+    rooted = lowest.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, tau: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, all columns; of
-    repeated ids, all rows stay together."""
-    kept = near_duplicates(docs, id_col, text_col, words, tau).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    repeated ids, all rows stay together, and so do the rows of a group without any id."""
+    found = written(near_duplicates(docs, id_col, text_col, words, tau), "simhash-groups")
+    kept = docs.join(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col, "left_semi").select(*docs.columns)
+    loose = docs.where(F.col(id_col).isNull())
+    if loose.isEmpty():
+        return kept
+    nameless = found.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
+    marked = fingerprints(loose, text_col=text_col, words=words, keep=docs.columns, name="__fp")
+    return kept.union(marked.join(nameless, "__fp", "left_semi").select(*docs.columns))
