@@ -80,3 +80,19 @@ def test_run_is_the_stages(spark, tables):
     one = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, path).collect())
     two = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, path).collect())
     assert one == two and one
+
+
+def test_repeated_and_missing_ids(spark, tables):
+    """Rows of one id, or without one, stay rows of their own in every stage."""
+    path, _ = tables
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b", None, "s", 3), (1, "c d e", None, "s", 5), (None, "x y", None, "s", 3), (None, "z", None, "s", 1), (2, "a b", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, schema)
+    copies = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mixed(spark, docs, path).collect())
+    assert set(copies) == {r[:2] for r in rows} and set(copies.values()) <= {1, 2}
+    single = corpus_pipeline.without_near_duplicates(spark, docs, path).collect()
+    assert sorted(r["text"] for r in single) == ["a b", "c d e", "x y", "z"]
+    for stage in (corpus_pipeline.good_quality, corpus_pipeline.without_benchmark, corpus_pipeline.sharded):
+        assert stage(spark, docs, path).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0

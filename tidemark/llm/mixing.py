@@ -135,9 +135,12 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     limit: float = LIMIT,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target, copies, taken."""
-    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("seed"))
+    """One row per document: id, size, source_size, target, copies, taken, and
+    with ``keep`` the struct ``row`` of those columns of ``docs``."""
+    carried = [F.struct(*keep).alias("row")] if keep else []
+    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("seed"), *carried)
     # Rows are told apart by a running number, since ids may repeat; draws follow id and text.
     sized = written(sized.withColumn("uid", F.monotonically_increasing_id()), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -153,4 +156,4 @@ def mix(
     rounded = pivotal_rounding(parted.where("p > 0 and size > 0").select("source", *_ROW), largest)
     copies = F.col("whole") + F.coalesce("taken", F.lit(0))
     out = parted.join(rounded, "uid", "left")
-    return out.select(id_col, "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "source")
+    return out.select(id_col, "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "source", *(["row"] if keep else []))
