@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import brute_components, brute_decontaminate, brute_fingerprint, brute_shard, brute_targets
+from tidemark.llm import simhash
 
 ITEM = "which long and winding question was asked here by someone unknown before today"
 
@@ -96,3 +97,46 @@ def test_repeated_and_missing_ids(spark, tables):
         assert stage(spark, docs, path).count() == len(rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def brute_like(rows, words=5):
+    """Keeps one of each group linked by Jaccard likeness 0.8 of five-word shingles."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    for g, row in zip(group, rows, strict=True):
+        first[g] = min(first.get(g, row), row, key=lambda r: (r[0] is None, r[0] or 0))
+    return sorted(first.values(), key=str)
+
+
+@pytest.mark.parametrize("block", [100, 1 << 22])
+def test_near_duplicates_at_likeness(spark, tables, monkeypatch, block):
+    """Copies 0.8 to 0.95 alike go, less alike ones stay, with repeated and missing ids."""
+    path, _ = tables
+    monkeypatch.setattr(simhash.like_links, "__defaults__", (0.8, block))
+    rng = random.Random(21)
+    rows = []
+    for base in range(25):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 12, 90, 200]))]
+        for k in range(7):
+            mine = list(text)
+            for _ in range(rng.randint(0, max(1, len(mine) // 25))):
+                mine[rng.randrange(len(mine))] = f"x{rng.randrange(5000)}"
+            rows.append((None if k == 3 else base * 7 + k % 5, " ".join(mine)))
+    rows += [(900, None), (901, ""), (902, " "), (1, "another text of the id one")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema).repartition(3)
+    got = corpus_pipeline.without_near_duplicates(spark, docs, path).collect()
+    want = brute_like(rows)
+    # Which of two rows with one id stays may differ in text; ids and the number of rows may not.
+    assert sorted((str(r["doc_id"]) for r in got)) == sorted(str(i) for i, _ in want)
+    assert len(want) < len(rows) - 20
+    tight = simhash.keep_representatives(docs.where("doc_id is not null")).count()
+    assert len(want) < tight

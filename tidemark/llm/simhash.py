@@ -17,6 +17,17 @@ shuffled by key. A bucket never lists all its pairs: it returns a spanning
 forest of its links. Buckets of more than ``BUCKET_ROWS`` fingerprints are
 compared in pairs of blocks, so that no task holds an unbounded group.
 
+Fingerprints within 4 bits are a far tighter bond than likeness 0.8 of 5-word
+shingles. ``keep_unlike`` is the operator's mode for a pipeline's stage: distinct
+shingle sets meet on equal bands of MinHash values, buckets are compared by exact
+Jaccard likeness (again a spanning forest, again in pairs of blocks), and
+components follow as above. ``BANDS`` bands of ``BAND_ROWS`` values meet a pair of
+likeness 0.8 with probability 0.9993 and one of 0.85 with 0.99999; below 0.8 no
+pair is linked. Buckets of the same members are compared once. Null and wordless
+texts are alike; one row of each component stays, that of the smallest id, nulls
+last, then of the smallest running number, so repeated and missing ids need no
+other rule.
+
 Defined results: null and wordless texts have fingerprint 0 and link like any
 other; texts of fewer words than a shingle are hashed whole; repeated doc_ids
 are separate rows with one component; a null id is larger than every id, and a
@@ -43,6 +54,10 @@ SEGMENTS = 9
 BUCKET_ROWS = 1 << 18
 BLOCK = 1 << 16
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+BANDS = 24
+BAND_ROWS = 6
+SET_BLOCK = 1 << 22
+_TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -242,3 +257,116 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nameless = found.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
     marked = fingerprints(loose, text_col=text_col, words=words, keep=docs.columns, name="__fp")
     return kept.union(marked.join(nameless, "__fp", "left_semi").select(*docs.columns))
+
+
+def shingle_hashes(text: bytes | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; a shorter text is one."""
+    tokens = [w for w in _SPACES.split((text or b"").translate(_ASCII_LOWER)) if w]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))], np.uint64))
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[at : at + 512] * _TURNS).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def shingle_sets(docs: DataFrame, text_col: str = "text", words: int = 5) -> DataFrame:
+    """``docs`` with __node (tells shingle sets apart), __size, __bands and __set:
+    the set as sorted distinct 32-bit parts of its hashes."""
+
+    def run(texts: list[bytes | None]) -> dict[str, list]:
+        out: dict[str, list] = {"__node": [], "__size": [], "__bands": [], "__set": []}
+        for t in texts:
+            hashes = shingle_hashes(t, words)
+            short = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+            out["__node"].append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63))
+            out["__size"].append(len(short))
+            out["__bands"].append(_bands(hashes))
+            out["__set"].append(short.tobytes())
+        return out
+
+    fields = [("__node", T.LongType()), ("__size", T.LongType()), ("__bands", T.ArrayType(T.LongType())), ("__set", T.BinaryType())]
+    return with_arrow_columns(docs, text_col, T.StructType([T.StructField(*f) for f in fields]), run)
+
+
+def _set_forest(sets: list[np.ndarray], likeness: float) -> tuple[list[int], list[int]]:
+    """Spanning forest of the pairs of sets with at least ``likeness``, as ``_forest``."""
+    left, right = [], []
+    sizes = np.array([len(s) for s in sets])
+    rest = np.arange(len(sets))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            n = sizes[at]
+            tried = rest[np.minimum(sizes[rest], n) >= likeness * np.maximum(sizes[rest], n) - 1e-9]
+            if not len(tried):
+                continue
+            every = np.concatenate([sets[i] for i in tried])
+            place = np.minimum(np.searchsorted(sets[at], every), n - 1)
+            same = np.add.reduceat((sets[at][place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[tried])[:-1]]))
+            hit = tried[same >= likeness * (n + sizes[tried] - same) - 1e-9]
+            left += [at] * len(hit)
+            right += hit.tolist()
+            queue += hit.tolist()
+            rest = np.setdiff1d(rest, hit, assume_unique=True)
+    return left, right
+
+
+def _like_links(likeness: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            left, right = _set_forest(sets, likeness)
+            a, b = np.array(nodes, np.int64)[left], np.array(nodes, np.int64)[right]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(batch.column("key").to_pylist(), batch.column("pair").to_pylist(), strict=True)
+            for key, node, words in zip(keys, batch.column("node").to_pylist(), batch.column("set"), strict=True):
+                if key != at:
+                    if len(nodes) > 1:
+                        yield links()
+                    at, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(words.as_py(), np.uint32))
+        if len(nodes) > 1:
+            yield links()
+
+    return run
+
+
+def like_links(rows: DataFrame, likeness: float = 0.8, block: int = SET_BLOCK) -> DataFrame:
+    """(a, b) with a < b: links that connect the same nodes as all pairs that share
+    a band and are at least ``likeness`` alike. ``rows``: __row and ``shingle_sets``."""
+    ship(rows.sparkSession)
+    nodes = rows.groupBy("__node").agg(F.min("__row").alias("row"), F.first("__size").alias("size"), F.first("__bands").alias("bands"))
+    keyed = written(nodes.select(F.col("__node").alias("node"), "row", "size", F.explode("bands").alias("key")), "bands")
+    # Buckets of the same members are one: count and two digests tell members apart.
+    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    chosen = found.where("n > 1").groupBy("n", "total", "x", "y").agg(F.min("key").alias("key"))
+    chosen = chosen.select("key", F.ceil(F.col("total") / block).cast("int").alias("blocks"))
+    members = written(keyed.join(chosen, "key").select("key", "node", "row", "blocks"), "band-members")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    sets = rows.select(F.col("__row").alias("row"), F.col("__set").alias("set"))
+    sets = sets.join(members.select("row").distinct(), "row", "left_semi")
+    dealt = members.join(sets, "row").select("key", "node", "set", F.explode(pairs).alias("pair"))
+    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
+    return dealt.mapInArrow(_like_links(likeness), "a long, b long").distinct()
+
+
+def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8) -> DataFrame:
+    """One row of ``docs``, all columns, of each group linked by shingles at least ``likeness`` alike."""
+    rows = written(shingle_sets(docs, text_col, words).withColumn("__row", F.monotonically_increasing_id()), "shingles")
+    comps = components(like_links(rows, likeness), "like-links")
+    bare = rows.select("__row", "__node", F.col(id_col).alias("id"))
+    rooted = bare.join(comps, F.col("__node") == F.col("node"), "left").select("__row", "id", F.coalesce("component", "__node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = rooted.join(first.select("root", F.col("first.__row").alias("kept")), "root").where("__row <> kept").select("__row")
+    return rows.join(written(gone, "copies"), "__row", "left_anti").select(*docs.columns)
