@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, exact, mixing, pii, quality, sharding, simhash, templates, url_lists
 
@@ -286,6 +287,16 @@ def test_personal_data(spark):
     assert len(text) and all("other" in r["spans"] for r in secrets)
 
 
+def test_candidates_without_digits(spark):
+    """Each generator is tried on every text it can match: no digit is needed."""
+    texts = ["password: correcthorsebatterystaple", "at de:ad:be:ef:ca:fe", "me [at] host [dot] com", "call 555 123 4567", "nothing"]
+    text = F.col("text")
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    df = documents(spark, [(i, t, None) for i, t in enumerate(texts)]).select("doc_id", pii._candidates(text, none, pii.has_digit(text)).alias("c"))
+    got = {r["doc_id"]: [(c["start"], c["end"]) for c in r["c"]] for r in df.collect()}
+    assert got == {0: [(10, 35)], 1: [(3, 20)], 2: [(0, 22)], 3: [(5, 17)], 4: []}
+
+
 def test_personal_data_empty(spark):
     assert pii.find_personal_data(documents(spark, [])).count() == 0
 
