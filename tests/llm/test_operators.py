@@ -297,6 +297,36 @@ def test_candidates_without_digits(spark):
     assert got == {0: [(10, 35)], 1: [(3, 20)], 2: [(0, 22)], 3: [(5, 17)], 4: []}
 
 
+ADDED = {
+    "password: correcthorsebatterystaple": "other:10:35",
+    "at de:ad:be:ef:ca:fe now": "other:3:20",
+    "at 20aa:db8::ff00:42:8329 now": "other:3:25",
+    "me [at] host [dot] com": "other:0:22",
+    "call 555 123 4567": "other:5:17",
+    "seen 12:30:45:00:11": "",
+    "longwordswithoutanymeaning": "",
+    "room 12-34-5": "",
+}
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_each_generator_adds_its_spans(spark, copies):
+    """By format checks where a class is too small to fit, and by fitted trees."""
+    rng = random.Random(11)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda n: "".join(rng.choice("abcdefghijklm") for _ in range(n))
+    rows = [(t, t, None) for t in ADDED]
+    for _ in range(copies if copies > 1 else 0):
+        rows += [(None, t, None) for t in (
+            f"password: {word(25)}", f"at {':'.join(hexed(2) for _ in range(6))} now", f"at {hexed(4)}:{hexed(3)}::{hexed(4)}:{hexed(2)}:{hexed(4)} now",
+            f"{word(2)} [at] {word(4)} [dot] com", f"call {rng.randint(200, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}",
+            f"seen {rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}:00:11", word(26), f"room {rng.randint(10, 99)}-{rng.randint(10, 99)}-{rng.randint(1, 9)}",
+        )]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "name string, text string")
+    got = {r["name"]: r["spans"] for r in pii.find_personal_data(df).collect() if r["name"]}
+    assert got == ADDED
+
+
 def test_personal_data_empty(spark):
     assert pii.find_personal_data(documents(spark, [])).count() == 0
 
