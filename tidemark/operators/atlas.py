@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import rounded
+from tidemark.operators import graph, ranking
+from tidemark.sources.scratch import written
 
 SIZE, STRIDE = 6, 5
 
@@ -55,27 +55,24 @@ def numbered(df: DataFrame, order: list[str], name: str = "section_id", template
 
 def chains(edge_list: DataFrame) -> DataFrame:
     """(edge, chain): edges that meet in a point of exactly two edges form one chain,
-    named by its smallest edge. Rounds of joins until nothing changes; every round
-    is written to the shared folder, so that plans stay short."""
-    spark = edge_list.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{base}/tidemark-chains-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, k: str) -> DataFrame:
-        df.write.parquet(f"{path}/{k}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{k}")
+    named by its smallest edge.
 
-    ends = edge_list.select("edge", F.explode(F.array("u", "v")).alias("point"))
+    Of rows with one edge id, the one with the smallest ends counts; rows without an
+    id are ignored, and points that are null meet nothing."""
+    once = edge_list.where("edge is not null").groupBy("edge").agg(F.min(F.struct("u", "v")).alias("e")).select("edge", "e.u", "e.v")
+    once = written(once, "edges")
+    ends = once.select("edge", F.explode(F.array("u", "v")).alias("point")).where("point is not null")
     passing = ends.groupBy("point").agg(F.count("*").alias("n"), F.min("edge").alias("a"), F.max("edge").alias("b")).where("n = 2 and a <> b")
-    links = kept(passing.select("a", "b").union(passing.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = kept(edge_list.select("edge", F.col("edge").alias("chain")), "0")
-    k = 0
-    while True:
-        k += 1
-        near = links.join(labels, F.col("b") == F.col("edge")).groupBy("a").agg(F.min("chain").alias("low"))
-        lower = labels.join(near, F.col("edge") == F.col("a"), "left").select("edge", F.least("chain", "low").alias("chain"))
-        up = lower.select(F.col("edge").alias("chain"), F.col("chain").alias("above"))  # pointer jumping
-        jumped = kept(lower.join(up, "chain").select("edge", F.least("chain", "above").alias("chain")), str(k))
-        if jumped.join(labels, ["edge", "chain"], "left_anti").isEmpty():
-            return jumped
-        labels = jumped
+    found = graph.components(passing.select("a", "b"), "chains")
+    return once.join(found, F.col("edge") == F.col("node"), "left").select("edge", F.coalesce("component", "edge").alias("chain"))
+
+
+def measured(edge_list: DataFrame, least: float = 0.0) -> DataFrame:
+    """(chain, n_edges, length, place): chains of ``edge_list`` (edge, u, v, length) longer
+    than ``least``, and their place by falling length, the smaller chain first on ties."""
+    lengths = edge_list.where("edge is not null").groupBy("edge").agg(F.min(F.struct("u", "v", "length")).alias("e")).select("edge", "e.length")
+    whole = chains(edge_list).join(lengths, "edge").groupBy("chain").agg(F.count("*").alias("n_edges"), F.sum("length").alias("length"))
+    whole = written(whole.where(F.col("length") > least), "chain-lengths")
+    high = whole.agg(F.max("length")).first()[0] or 1.0
+    ranked = ranking.ranked(whole, "length", ["chain"], least, max(high, least + 1e-9))
+    return ranked.select("chain", "n_edges", "length", F.col("rank").alias("place"))

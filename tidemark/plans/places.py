@@ -207,13 +207,30 @@ def atlas_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(spark, sf_dir).agg(F.count("*").alias("n_sections"), F.sum("segment_count").alias("n_covered"), F.round(F.avg("mean_score"), 3).alias("mean_score"), *map(at, (40, 50, 60, 70)), F.min("south").alias("south"), F.max("north").alias("north"))
 
 
-@query()
+CHAIN_SQL = """WITH RECURSIVE e AS (SELECT l_partkey AS edge, l_partkey AS u, (l_partkey * 7 + 3) % 1000003 AS v, CAST(min(l_quantity) AS DOUBLE) AS length FROM lineitem GROUP BY l_partkey),
+    p AS (SELECT min(edge) AS a, max(edge) AS b FROM (SELECT edge, unnest([u, v]) AS point FROM e) GROUP BY point HAVING count(*) = 2 AND min(edge) <> max(edge)),
+    l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    r AS (SELECT edge, edge AS other FROM e UNION SELECT r.edge, l.b FROM r JOIN l ON l.a = r.other),
+    c AS (SELECT chain, count(*) AS n_edges, sum(length) AS length FROM (SELECT edge, min(other) AS chain FROM r GROUP BY edge) JOIN e USING (edge) GROUP BY chain)"""
+
+
+def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edge for each part that is sold, from its number to a number seven times as far."""
+    line = adapters.table(spark, sf_dir, "lineitem")
+    edge = line.groupBy(F.col("l_partkey").alias("edge")).agg(F.min("l_quantity").cast("double").alias("length"))
+    return edge.select("edge", F.col("edge").alias("u"), ((F.col("edge") * 7 + 3) % 1_000_003).alias("v"), "length")
+
+
+@query(CHAIN_SQL + " SELECT chain, n_edges FROM c")
 def chain_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between consecutive segments of one supplier, merged where exactly two meet."""
-    line = adapters.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    edge = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge"), F.col("l_partkey").alias("u"), ((F.col("l_partkey") * 7 + 3) % 1_000_003).alias("v"))
-    merged = atlas.chains(edge.groupBy("u", "v").agg(F.min("edge").alias("edge")))
-    return merged.groupBy("chain").agg(F.count("*").alias("n_edges"))
+    """Edges merged to chains where exactly two meet."""
+    return atlas.chains(_part_edges(spark, sf_dir)).groupBy("chain").agg(F.count("*").alias("n_edges"))
+
+
+@query(CHAIN_SQL + " SELECT chain, n_edges, length, row_number() OVER (ORDER BY length DESC, chain) AS place FROM c WHERE length > 3")
+def chain_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains longer than 3, in the order of their lengths."""
+    return atlas.measured(_part_edges(spark, sf_dir), 3.0)
 
 
 @query(with_views("seg", " SELECT segment_id, lat, lon FROM seg WHERE lat BETWEEN 44 AND 45 AND lon BETWEEN -64 AND -62"))
