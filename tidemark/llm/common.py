@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.scratch import clear, made, new_path, shared_dir, written  # noqa: F401
 
+HOT_ROWS = 512
+HOT_KEYS = 10_000
 _shipped: set[str] = set()
 
 
@@ -32,32 +34,40 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made and remembered in the session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
 
+def hot_limit(total: int, rows: int = HOT_ROWS, keys: int = HOT_KEYS) -> int:
+    """More rows than this make a key hot: at most ``keys`` keys of ``total`` rows can be."""
+    return max(rows, total // keys)
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there.
 
-    Unlike ``checkpoint()`` the plan runs once, and the files are columnar.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def join_by_size(rows: DataFrame, table: DataFrame, on: list[str], size: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows.join(table, on)`` where ``table`` has one row a key and its column ``size``
+    says how many of the ``total`` rows it meets (any bound from above may be given).
 
+    Hot keys are at most HOT_KEYS many, so their part of ``table`` is broadcast and
+    their rows stay where they are; only the other rows are shuffled by key. Both
+    sides are read twice and should be written tables. Keys must not be null."""
+    limit = hot_limit(total, hot_rows)
+    hot, cold = F.broadcast(table.where(F.col(size) > limit)), table.where(F.col(size) <= limit)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def numbered(rows: DataFrame, keys: list[str], row: str, size: str, name: str, cell_rows: int = 4096) -> DataFrame:
+    """Number the rows of each key from 0 without gaps, as the long ``name``.
+
+    ``size`` holds the number of rows of the key, ``row`` a number of the row's own.
+    A key of many rows is dealt into cells of about ``cell_rows`` rows, whose counts
+    shift the numbers within each cell, so that no task orders a whole key."""
+    dealt = rows.withColumn("__cell", F.pmod(F.xxhash64(row), 1 + F.floor(F.col(size) / F.lit(cell_rows))))
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "__cell").agg(F.count("*").alias("__c"))
+    offsets = counts.select(*keys, "__cell", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(row)) - 1
+    placed = dealt.withColumn("__within", within).join(offsets, [*keys, "__cell"])
+    return placed.withColumn(name, (F.col("__offset") + F.col("__within")).cast("long")).drop("__cell", "__within", "__offset")
 
 
 def with_arrow_columns(
