@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact, mixing, pii, quality, sharding, simhash, templates, url_lists
+from tidemark.llm import common, decontaminate, exact, mixing, pii, quality, sharding, simhash, templates, url_lists
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,23 +77,41 @@ def test_decontaminate_empty(spark):
 COPIES = [(1, "a", "s"), (2, None, "s"), (3, "", None), (4, "a", "t"), (4, "a", "t"), (5, "A", "s"), (6, "é" * 5000, "s"), (7, "é" * 5000, "s"), (None, "n", "s")]
 
 
-@pytest.mark.parametrize("bucket", [1, 1 << 16])
-def test_exact_duplicates(spark, bucket):
+@pytest.mark.parametrize(("bucket", "hot"), [(1, 512), (1, 1), (1 << 16, 512)])
+def test_exact_duplicates(spark, bucket, hot, monkeypatch):
+    monkeypatch.setattr(common.join_by_size, "__defaults__", (hot,))
     got = exact.exact_duplicates(documents(spark, COPIES), bucket_entries=bucket)
     groups = defaultdict(list)
     for i, t, _ in COPIES:
         groups[t or ""].append(i)
+    texts = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
     want = []
     for i, t, _ in COPIES:
         ids = groups[t or ""]
         keep = max((x for x in ids if x is not None), default=None)
-        want.append((i, keep, len(ids), None if i is None else i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
-    assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=str)
+        want.append((i, keep, len(ids), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert rows_of(got, "doc_id", "keep_id", "group_size", "text_sha256") == sorted(want, key=str)
+    # Exactly one row of a group stays, and it has the largest id; groups without ids keep a row too.
+    stays = got.where("kept").collect()
+    assert len(stays) == len(groups) == len({r["text_sha256"] for r in stays})
+    assert all(r["doc_id"] == r["keep_id"] for r in stays)
+    for r in got.collect():
+        assert r["bucket"] == f"{r['depth']}:{xxhash.xxh64_intdigest(texts[r['text_sha256']].encode(), 42) >> (64 - r['depth']) if r['depth'] else 0}"
     assert exact.exact_duplicates(documents(spark, [])).count() == 0
     if bucket == 1:
         assert got.agg({"depth": "max"}).first()[0] > 0
 
 
+def test_directory_splits_only_overfull_buckets(spark):
+    """Keys crowd one half: its buckets are deep, the other half is one bucket; copies split nothing."""
+    rows = [(1 << 62) + (k << 40) for k in range(64)] + [-1] * 500
+    cells, depth = exact.directory(spark.createDataFrame([(k,) for k in rows], "key long"), bucket_entries=20)
+    got = cells.collect()
+    assert max(r["depth"] for r in got) == depth > 1
+    assert {r["depth"] for r in got if r["cell"] >> (depth - 1)} == {1}
+    assert len({r["bucket"] for r in got}) >= 4
+
+
 # -- 5
 
 
@@ -387,7 +405,7 @@ def test_simhash(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     loose = documents(spark, [(None, "a b c d e", None), (None, "a b c d e", None), (3, "q w e r t y", None), (None, "q w e r t y", None)])
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(loose).collect()) == [(0, 0), (0, 0), (0, 3), (3, 3)]
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_representatives(loose).collect()) == [(0, "a b c d e"), (0, "a b c d e"), (3, "q w e r t y")]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_representatives(loose).collect()) == [(0, "a b c d e"), (3, "q w e r t y")]
 
 
 @pytest.mark.parametrize("bucket_rows", [3, 1 << 18])

@@ -26,7 +26,7 @@ likeness 0.8 with probability 0.9993 and one of 0.85 with 0.99999; below 0.8 no
 pair is linked. Buckets of the same members are compared once. Null and wordless
 texts are alike; one row of each component stays, that of the smallest id, nulls
 last, then of the smallest running number, so repeated and missing ids need no
-other rule.
+other rule. Copies are one row a shingle set before anything meets by component.
 
 Defined results: null and wordless texts have fingerprint 0 and link like any
 other; texts of fewer words than a shingle are hashed whole; repeated doc_ids
@@ -47,11 +47,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship, with_arrow_columns, written
+from tidemark.llm.common import join_by_size, ship, with_arrow_columns, written
+from tidemark.operators.graph import components
 
 SEED = 42
 SEGMENTS = 9
-BUCKET_ROWS = 1 << 18
+BUCKET_ROWS = 1 << 13
 BLOCK = 1 << 16
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BANDS = 24
@@ -212,51 +213,17 @@ def links(nodes: DataFrame, tau: int = 4, segments: int = SEGMENTS, bucket_rows:
     return dealt.mapInArrow(_bucket_links(tau, segments), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of every node in ``edges`` (a < b): the smallest node reachable.
-
-    Alternating large-star and small-star rounds; every round is a join with an
-    aggregate (no group is gathered), its result written to the shared folder.
-    """
-    edges = written(edges, name)
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
-        stars = small.select(F.col("m").alias("a"), "b").union(small.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        edges = written(stars, name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, tau: int = 4, segments: int = SEGMENTS) -> DataFrame:
     """One row per document: id, fp (signed long), component_id (smallest id reachable by links)."""
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    lowest = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
+    lowest = written(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
     comps = components(links(lowest.select("fp", F.col("fp").alias("node")), tau, segments), "simhash-links")
-    rooted = lowest.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, tau: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, all columns; of
-    repeated ids, all rows stay together, and so do the rows of a group without any id."""
-    found = written(near_duplicates(docs, id_col, text_col, words, tau), "simhash-groups")
-    kept = docs.join(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col, "left_semi").select(*docs.columns)
-    loose = docs.where(F.col(id_col).isNull())
-    if loose.isEmpty():
-        return kept
-    nameless = found.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    marked = fingerprints(loose, text_col=text_col, words=words, keep=docs.columns, name="__fp")
-    return kept.union(marked.join(nameless, "__fp", "left_semi").select(*docs.columns))
+    linked = written(lowest.join(comps, F.col("fp") == F.col("node")).select("fp", "low", "n", F.col("component").alias("root")), "linked")
+    smallest = written(linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")), "roots")
+    named = join_by_size(linked, smallest, ["root"], "members", linked.count()).select("fp", "n", "component_id")
+    alone = lowest.join(linked, "fp", "left_anti").select("fp", "n", F.col("low").alias("component_id"))
+    named = written(named.unionByName(alone), "components")
+    return join_by_size(prints, named, ["fp"], "n", prints.count()).select(id_col, "fp", "component_id")
 
 
 def shingle_hashes(text: bytes | None, words: int = 5) -> np.ndarray:
@@ -364,9 +331,27 @@ def like_links(rows: DataFrame, likeness: float = 0.8, block: int = SET_BLOCK) -
 def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8) -> DataFrame:
     """One row of ``docs``, all columns, of each group linked by shingles at least ``likeness`` alike."""
     rows = written(shingle_sets(docs, text_col, words).withColumn("__row", F.monotonically_increasing_id()), "shingles")
-    comps = components(like_links(rows, likeness), "like-links")
-    bare = rows.select("__row", "__node", F.col(id_col).alias("id"))
-    rooted = bare.join(comps, F.col("__node") == F.col("node"), "left").select("__row", "id", F.coalesce("component", "__node").alias("root"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = rooted.join(first.select("root", F.col("first.__row").alias("kept")), "root").where("__row <> kept").select("__row")
-    return rows.join(written(gone, "copies"), "__row", "left_anti").select(*docs.columns)
+    return _first_rows(rows, components(like_links(rows, likeness), "like-links"), id_col, docs.columns)
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, tau: int = 4, segments: int = SEGMENTS) -> DataFrame:
+    """One row of ``docs``, all columns, of each group linked by fingerprints."""
+    rows = fingerprints(docs, id_col, text_col, words, docs.columns, "__node").withColumn("__row", F.monotonically_increasing_id())
+    rows = written(rows, "fingerprints")
+    nodes = rows.select(F.col("__node").alias("fp")).distinct().withColumn("node", F.col("fp"))
+    return _first_rows(rows, components(links(nodes, tau, segments), "simhash-links"), id_col, docs.columns)
+
+
+def _first_rows(rows: DataFrame, comps: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """Of ``rows`` (with __row and __node) the first of each component of nodes, by id, nulls last, then __row."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("__row").alias("row"))
+    bare = rows.select("__node", F.col(id_col).alias("id"), "__row")
+    # Copies are one row a node before anything meets by component.
+    nodes = written(bare.groupBy("__node").agg(F.min(order).alias("first"), F.count("*").alias("n")), "first-rows")
+    linked = written(nodes.join(comps, F.col("__node") == F.col("node")).select("__node", "first", "n", "component"), "linked")
+    best = written(linked.groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("members")), "best")
+    stays = join_by_size(linked.select("__node", "n", "component"), best, ["component"], "members", linked.count())
+    alone = nodes.join(linked, "__node", "left_anti").where("n > 1").select("__node", "n", F.col("first").alias("best"))
+    stays = written(stays.select("__node", "n", "best").unionByName(alone), "stays")
+    gone = join_by_size(bare.select("__node", "__row"), stays, ["__node"], "n", rows.count()).where(F.col("__row") != F.col("best.row"))
+    return rows.join(written(gone.select("__row"), "copies"), "__row", "left_anti").select(*columns)
