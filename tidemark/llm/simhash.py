@@ -22,8 +22,9 @@ shingles. ``keep_unlike`` is the operator's mode for a pipeline's stage: distinc
 shingle sets meet on equal bands of MinHash values, buckets are compared by exact
 Jaccard likeness (again a spanning forest, again in pairs of blocks), and
 components follow as above. ``BANDS`` bands of ``BAND_ROWS`` values meet a pair of
-likeness 0.8 with probability 0.9993 and one of 0.85 with 0.99999; below 0.8 no
-pair is linked. Buckets of the same members are compared once. Null and wordless
+likeness 0.8 with probability 0.9998 and one of 0.85 with 0.999995; below 0.8 no
+pair is linked. Only the keys are grouped; sets move once to the documents that
+share one and once to their buckets. Buckets of the same members are compared once. Null and wordless
 texts are alike; one row of each component stays, that of the smallest id, nulls
 last, then of the smallest running number, so repeated and missing ids need no
 other rule. Copies are one row a shingle set before anything meets by component.
@@ -55,8 +56,8 @@ SEGMENTS = 9
 BUCKET_ROWS = 1 << 13
 BLOCK = 1 << 16
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-BANDS = 24
-BAND_ROWS = 6
+BANDS = 16
+BAND_ROWS = 4
 SET_BLOCK = 1 << 22
 _TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -313,17 +314,22 @@ def like_links(rows: DataFrame, likeness: float = 0.8, block: int = SET_BLOCK) -
     a band and are at least ``likeness`` alike. ``rows``: __row and ``shingle_sets``."""
     ship(rows.sparkSession)
     nodes = rows.groupBy("__node").agg(F.min("__row").alias("row"), F.first("__size").alias("size"), F.first("__bands").alias("bands"))
-    keyed = written(nodes.select(F.col("__node").alias("node"), "row", "size", F.explode("bands").alias("key")), "bands")
+    nodes = written(nodes.select(F.col("__node").alias("node"), "row", "size", "bands"), "nodes")
+    shared = nodes.select("node", F.explode("bands").alias("key")).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = written(shared.select("key"), "shared-bands")
+    keyed = nodes.select("node", "row", "size", F.explode("bands").alias("key"))
+    members = written(keyed.join(shared, "key").select("key", "node", "row", "size"), "band-members")
     # Buckets of the same members are one: count and two digests tell members apart.
-    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    chosen = found.where("n > 1").groupBy("n", "total", "x", "y").agg(F.min("key").alias("key"))
-    chosen = chosen.select("key", F.ceil(F.col("total") / block).cast("int").alias("blocks"))
-    members = written(keyed.join(chosen, "key").select("key", "node", "row", "blocks"), "band-members")
+    found = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    chosen = found.groupBy("n", "total", "x", "y").agg(F.min("key").alias("key"))
+    chosen = written(chosen.select("key", "n", F.ceil(F.col("total") / block).cast("int").alias("blocks")), "buckets")
+    members = join_by_size(members.select("key", "node", "row"), chosen, ["key"], "n", members.count())
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    sets = rows.select(F.col("__row").alias("row"), F.col("__set").alias("set"))
-    sets = sets.join(members.select("row").distinct(), "row", "left_semi")
-    dealt = members.join(sets, "row").select("key", "node", "set", F.explode(pairs).alias("pair"))
+    asked = written(members.select("row", "node", "key", F.explode(pairs).alias("pair")), "bucket-members")
+    # The sets of documents that share no band are as large as the texts: they are never broadcast.
+    sets = rows.select(F.col("__row").alias("row"), F.col("__set").alias("set")).hint("merge")
+    dealt = asked.join(sets, "row").select("key", "pair", "node", "set")
     dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
     return dealt.mapInArrow(_like_links(likeness), "a long, b long").distinct()
 
