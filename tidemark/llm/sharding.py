@@ -15,7 +15,8 @@ that region's weight; documents that move then stay within that region.)
 A document's place depends on its id and the shard count alone: no shuffle and
 no state. Only the slots (0, 1, ... within a shard) need a count: rows are
 numbered within small hashed cells of a shard and shifted by the cells' running
-totals, so no task orders a whole shard.
+totals, so no task orders a whole shard, and a cell that repeated rows overfill is
+numbered in pieces.
 
 Main path: DataFrame functions only.
 
@@ -27,10 +28,13 @@ extra columns are kept, those named like an added one are replaced.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import hot_limit, written
+
 SHARDS_A_RACK = 4
 RACKS_A_REGION = 5
 OVERHEAD = 16
@@ -93,18 +97,32 @@ def with_slots(df: DataFrame, shard_col: str, order: list[Column], name: str = "
     """Number the rows of each shard from 0 without gaps.
 
     Cells are hashed pieces of a shard of about ``cell_rows`` rows; the cells'
-    counts (one row each) give the offset of each cell."""
+    counts (one row each) give the offset of each cell. Only rows equal in ``order``
+    can overfill a cell: its rows are written with running numbers, which deal them
+    into pieces."""
     cells = 1 + F.floor(F.col("__n") / F.lit(cell_rows))
-    sizes = df.groupBy(shard_col).agg(F.count("*").alias("__n"))
+    sizes = written(df.groupBy(shard_col).agg(F.count("*").alias("__n")), "shards")
     # One row a shard: the number of shards is a parameter, so this is bounded.
-    dealt = df.join(F.broadcast(sizes), shard_col)
-    dealt = dealt.withColumn("__cell", F.pmod(F.xxhash64(*order), cells)).drop("__n")
-    counts = dealt.groupBy(shard_col, "__cell").agg(F.count("*").alias("__c"))
-    before = Window.partitionBy(shard_col).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard_col, "__cell", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"))
-    within = F.row_number().over(Window.partitionBy(shard_col, "__cell").orderBy(*order)) - 1
-    numbered = dealt.withColumn("__within", within).join(offsets, [shard_col, "__cell"])
-    return numbered.withColumn(name, (F.col("__offset") + F.col("__within")).cast("long")).drop("__cell", "__within", "__offset")
+    dealt = df.join(F.broadcast(sizes), shard_col).withColumn("__cell", F.pmod(F.xxhash64(*order), cells)).drop("__n")
+    counts = written(dealt.groupBy(shard_col, "__cell").agg(F.count("*").alias("__c")), "cells")
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    over = counts.where(F.col("__c") > hot_limit(total, 4 * cell_rows)).select(shard_col, "__cell", F.ceil(F.col("__c") / cell_rows).alias("__pieces"))
+    parts = [dealt.withColumn("__piece", F.lit(0).cast("long"))]
+    if not over.isEmpty():
+        hot = F.broadcast(over)  # at most HOT_KEYS cells
+        crowded = dealt.join(hot, [shard_col, "__cell"]).withColumn("__piece", F.monotonically_increasing_id())
+        crowded = written(crowded, "crowded").withColumn("__piece", F.pmod("__piece", "__pieces")).drop("__pieces")
+        parts = [parts[0].join(hot, [shard_col, "__cell"], "left_anti"), crowded]
+        pieces = crowded.groupBy(shard_col, "__cell", "__piece").agg(F.count("*").alias("__c"))
+        counts = counts.join(hot, [shard_col, "__cell"], "left_anti").withColumn("__piece", F.lit(0).cast("long")).unionByName(pieces)
+    else:
+        counts = counts.withColumn("__piece", F.lit(0).cast("long"))
+    at = [shard_col, "__cell", "__piece"]
+    before = Window.partitionBy(shard_col).orderBy("__cell", "__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*at, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"))
+    within = F.row_number().over(Window.partitionBy(*at).orderBy(*order)) - 1
+    numbered = reduce(DataFrame.unionByName, parts).withColumn("__within", within).join(offsets, at)
+    return numbered.withColumn(name, (F.col("__offset") + F.col("__within")).cast("long")).drop(*at[1:], "__within", "__offset")
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
