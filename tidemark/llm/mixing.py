@@ -24,8 +24,9 @@ Main path: DataFrame functions only.
 
 Defined results: a null text has size 0 and takes 0; the null source is a source,
 last in order; all sizes 0 gives targets 0; draws are hashes of id, text and
-level, so reruns agree; repeated rows are documents of their own; extra columns
-are ignored.
+level, so reruns agree; repeated rows are documents of their own, and those equal in
+source, id and text are rounded by their number, so they never gather; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import join_by_size, numbered, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -127,6 +128,28 @@ def pivotal_rounding(open_: DataFrame, largest: int, fan_in: int = FAN_IN) -> Da
         largest, level = groups, level + 1
 
 
+def _decided(open_: DataFrame, largest: int, total: int) -> DataFrame:
+    """(uid, taken) of the rows (source, size, seed, uid, p) with 0 < p < 1 and size > 0.
+
+    Rows of one source, size and seed are the same text under the same id. Pivots
+    among k of them take k * p rounded down and leave one open: that is done by
+    counting, and only the one that is left enters the tree."""
+    name = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")).alias("source_key")
+    key = ["source_key", "size", "seed"]
+    alike = open_.groupBy("source", name, "size", "seed").agg(F.min("p").alias("p"), F.min("uid").alias("uid"), F.count("*").alias("k"))
+    sure = F.floor(F.col("k") * F.col("p") + EPS)
+    alike = written(alike.withColumn("sure", sure).withColumn("p", F.col("k") * F.col("p") - F.col("sure")), "alike")
+    rounded = pivotal_rounding(alike.where(F.col("p") > EPS).select("source", *_ROW), largest)
+    several = alike.where("k > 1")
+    if several.isEmpty():
+        return rounded
+    met = written(several.join(rounded, "uid", "left").select(*key, "k", (F.col("sure") + F.coalesce("taken", F.lit(0))).alias("m")), "alike-taken")
+    members = join_by_size(open_.select(name, "size", "seed", "uid"), met, key, "k", total)
+    placed = numbered(written(members, "members"), key, "uid", "k", "at")
+    single = rounded.join(several.select("uid"), "uid", "left_anti").select("uid", "taken")
+    return single.unionByName(placed.select("uid", (F.col("at") < F.col("m")).cast("int").alias("taken")))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -152,8 +175,9 @@ def mix(
     parted = sized.join(aimed.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     parted = parted.withColumn("whole", F.when(near, F.round(rate)).otherwise(F.floor(rate)).cast("int"))
     parted = parted.withColumn("p", F.when(near, 0.0).otherwise(rate - F.floor(rate)))
-    largest = sources.agg(F.max("n")).first()[0] or 0
-    rounded = pivotal_rounding(parted.where("p > 0 and size > 0").select("source", *_ROW), largest)
+    totals = sources.agg(F.max("n"), F.sum("n")).first()
+    open_ = parted.where("p > 0 and size > 0").select("source", *_ROW)
+    rounded = _decided(open_, totals[0] or 0, totals[1] or 0)
     copies = F.col("whole") + F.coalesce("taken", F.lit(0))
     out = parted.join(rounded, "uid", "left")
     return out.select(id_col, "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "source", *(["row"] if keep else []))
