@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
+
 PERIOD_DAYS = 30
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
@@ -67,7 +69,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
     last = F.lit(captures.agg(F.max(time_col)).first()[0]).cast("timestamp")
     upto = F.greatest(_period(F.least(F.coalesce("valid_to", last), last)), _period(F.col("valid_from")))
     cut = spans.where(F.col("valid_from") <= last).withColumn("period", F.explode(F.sequence(_period(F.col("valid_from")), upto)))
-    rows = captures.withColumn("__row", F.monotonically_increasing_id())
+    # Running numbers are written before the plan branches: both branches then read the same ones.
+    rows = written(captures.withColumn("__row", F.monotonically_increasing_id()), "captures")
     asked = rows.select("__row", F.col(time_col).alias("at"), F.explode(keys(F.col(url_col))).alias("key")).withColumn("period", _period(F.col("at")))
     active = asked.join(cut, ["key", "period"]).where("valid_from <= at and (valid_to is null or at < valid_to)")
     found = active.groupBy("__row").agg(F.count("*").alias("__n"), F.array_sort(F.collect_set("list")).alias("__lists"), F.array_sort(F.collect_set("key")).alias("__keys"))
