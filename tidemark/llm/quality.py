@@ -15,7 +15,8 @@ shuffle of documents, one pass over whole texts.
 
 Defined results: null, empty and wordless texts get the share of label 1; with no
 usable labels every score is 0.5; rows with another label than 0 or 1 are not
-learned; repeated rows are scored alike; input columns named like an added one
+learned; of texts with one id the smallest is learned; an id with both labels
+is learned with both; repeated rows are scored alike; input columns named like an added one
 are replaced.
 """
 
@@ -127,17 +128,18 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Fit on at most ``per_class`` labelled rows of each class, never held-out ones."""
-    usable = labels.select(id_col, F.col(label_col).cast("int").alias("y")).where(~held_out(F.col(id_col)) & F.col("y").isin(0, 1) & F.col(id_col).isNotNull())
+    usable = labels.select(id_col, F.col(label_col).cast("int").alias("y")).where(~held_out(F.col(id_col)) & F.col("y").isin(0, 1) & F.col(id_col).isNotNull()).distinct()
     totals = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64(id_col), F.col(id_col)]
     picked = usable.where("y = 0").orderBy(*order).limit(per_class).union(usable.where("y = 1").orderBy(*order).limit(per_class))
     # Bounded by 2 * per_class rows, so it may be broadcast and, as counts, brought to the driver.
     found = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).where(F.length(F.trim(text_col)) > 0)
+    found = found.groupBy(id_col, "y").agg(F.min(text_col).alias(text_col))
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
         return {"counts": [row.tobytes() for row in term_counts(texts)]}
 
-    rows = with_arrow_columns(found, text_col, T.StructType([T.StructField("counts", T.BinaryType())]), run, [id_col, "y"]).limit(4 * per_class).collect()
+    rows = with_arrow_columns(found, text_col, T.StructType([T.StructField("counts", T.BinaryType())]), run, [id_col, "y"]).collect()
     rows.sort(key=lambda r: (r[0], r["y"], bytes(r["counts"])))
     counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in rows]) if rows else np.zeros((0, TERMS), np.float32)
     n = sum(totals.values())
