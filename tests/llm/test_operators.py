@@ -42,25 +42,27 @@ def brute_decontaminate(docs, items, window):
             for a in range(len(words) - n + 1) if n else ():
                 if tuple(words[a : a + n]) in wins:
                     hit.update(range(a, a + n))
-                    found.add(str(k))
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+                    found.add(k if k is None else str(k))
+        digest = hashlib.sha256(",".join(sorted(k for k in found if k is not None)).encode()).hexdigest()
         out.append((i, len(words), len(hit), len(found), digest, bool(hit)))
     return sorted(out, key=str)
 
 
-DECON = [(1, "One two THREE four five six seven eight nine ten eleven twelve"), (2, "é été, three-four"), (3, None), (4, ""), (5, "!!"), (6, "alpha beta " * 20), (10, "Three four")]
+LONG_ITEM = " ".join(f"long{k % 97} item{k}" for k in range(3000))
+DECON = [(None, "gamma delta"), (8, LONG_ITEM), (1, "One two THREE four five six seven eight nine ten eleven twelve"), (2, "é été, three-four"), (3, None), (4, ""), (5, "!!"), (6, "alpha beta " * 20), (10, "Three four")]
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 40])
+@pytest.mark.parametrize("part_bytes", [1 << 20, 40_000])
 def test_decontaminate(spark, part_bytes):
     rng = random.Random(3)
     bag = "one two three four five six seven eight nine ten eleven twelve alpha beta é été".split()
     docs = [(i, " ".join(rng.choice(bag) for _ in range(rng.randint(0, 60)))) for i in range(30)]
-    docs += [(30, "x. " + DECON[0][1].upper() + "?!"), (31, None), (32, ""), (33, "\0 . "), (30, "alpha-beta" * 9), (None, "THREE\nfour")]
-    df = spark.createDataFrame([(i, t, 7) for i, t in docs], "doc_id long, text string, n_hit long")
+    docs += [(30, "x. " + DECON[0][1].upper() + "?!"), (31, None), (32, ""), (33, "\0 . "), (30, "alpha-beta" * 9), (None, "THREE\nfour"), (34, "Gamma, delta!"), (35, LONG_ITEM[20_000:60_000]), (34, "Gamma, delta!")]
+    df = spark.createDataFrame([(i, t, 7, "r", "i") for i, t in docs], "doc_id long, text string, n_hit long, runs string, items string")
     items = spark.createDataFrame(DECON, "item_id long, text string")
     got = decontaminate.decontaminate(df, items, part_bytes=part_bytes)
     assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute_decontaminate(docs, DECON, 10)
+    assert got.columns[:4] == ["doc_id", "text", "runs", "items"] and {r["runs"] for r in got.collect()} == {"r"}
     spans = got.where("doc_id is null").first()["spans"]
     assert [(s["start"], s["end"]) for s in spans] == [(0, 10)]
 
@@ -159,6 +161,14 @@ def test_weight_change_stays_in_its_subtree(spark):
     assert sharding.place(df, "id", "after", weights=none).where("after = 39").count() == 0
 
 
+def test_slots_of_repeated_rows(spark):
+    """One row repeated far beyond a cell is numbered in pieces, without gaps."""
+    df = spark.createDataFrame([(1, k % 2) for k in range(900)] + [(k, 0) for k in range(2, 300)], "id long, shard int").repartition(5)
+    got = sharding.with_slots(df, "shard", [df["id"]], cell_rows=16).collect()
+    for k in range(2):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
 def test_many_small_cells(spark):
     df = spark.range(500).selectExpr("id", "id % 3 as shard")
     got = sharding.with_slots(df, "shard", [df["id"]], cell_rows=10).collect()
@@ -206,6 +216,20 @@ def test_mix(spark):
     assert sorted(key(r) for r in got if r["doc_id"] is not None) == sorted(key(r) for r in again if r["doc_id"] is not None)
 
 
+def test_mix_of_repeated_rows(spark):
+    """Rows with one id and text are rounded by their number: targets are met and reruns agree."""
+    rows = [(7, "w w w", "a")] * 700 + [(i, "w " * (i % 9), "a") for i in range(300)] + [(8, "w", "b")] * 3
+    seen = []
+    for parts in (3, 7):
+        got = mixing.mix(documents(spark, rows).repartition(parts)).collect()
+        assert len(got) == len(rows)
+        for source in "ab":
+            mine = [r for r in got if r["source"] == source]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 4
+        seen.append(sorted((r["doc_id"], r["taken"]) for r in got))
+    assert seen[0] == seen[1]
+
+
 def test_mix_nothing(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix(documents(spark, [(1, None, "a"), (2, "", None)])).collect()] == [0, 0]
