@@ -1,11 +1,10 @@
 """Removal of repeated passages by longest-previous-factor arrays.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a
-document with a smaller id. In suffix order, a suffix has such an earlier match
-exactly if, among the suffixes around it that share LENGTH bytes with it, the
-previous or the next smaller position (of an earlier document) exists: its
-longest previous factor is then at least LENGTH. ``repeats_earlier`` computes
-just that.
+document with a smaller id. In suffix order, the longest previous factor of a
+suffix is the longer of what it shares with the previous and with the next
+suffix of a smaller document (``previous_factors``, capped at LENGTH): where it reaches
+LENGTH, that string has an earlier match.
 
 The suffixes are not sorted as one array. Every window of LENGTH bytes holds an
 anchor: a place where the hash of ``GRAM`` bytes is the smallest of the window.
@@ -13,18 +12,23 @@ Equal windows have the same anchor at the same offset, so a suffix only needs
 to meet suffixes with its anchor, about one place in 16 bytes. Documents are
 dealt into blocks of about ``BLOCK_BYTES`` and three rounds follow.
 
-1. Each block sends the hashes of its anchors to their owners (a range of hashes
-   each), which answer whether an anchor stands in another document too.
+1. Each block sends its distinct anchor hashes, one row each, and Spark groups them by
+   hash: those in two documents or more are told to the blocks that have them.
 2. Each block sends the surroundings of such anchors, each distinct one once with
-   its smallest document: copies collapse before the shuffle. Owners sort the
-   suffixes and answer with the offsets whose windows an earlier document has.
-   An anchor in more than ``HOT`` places sends its windows to owners by the
-   window itself, so no anchor gathers its places in one task.
+   its smallest document: copies collapse before the shuffle. Grouped by anchor, the
+   suffixes are sorted and their previous factors computed. An anchor in more
+   than ``HOT`` places sends its distinct windows instead, grouped by the window
+   itself and sorted by document: the first row of each is the earliest, so
+   neither a common anchor nor a common passage has to be held in a task.
 3. Each block marks the bytes, and hashes and returns what remains.
 
-The texts move once, into a table bucketed by block; the rounds move packed
-hashes, distinct surroundings and bits. An owner holds a hash range that shrinks
-as the number of blocks grows.
+The texts move once, into a table bucketed by block; the rounds move rows whose
+number grows with the texts and with nothing else: an anchor hash a round 1 row, a
+distinct surrounding a round 2 row. No step needs more partitions, or larger
+ones, as blocks grow in number.
+
+Memory: a task holds one block, about 12 times its bytes. A document longer than
+BLOCK_BYTES is a block's part of its own size: its digest needs all its bytes in order.
 
 Defined results: null texts are empty, texts shorter than LENGTH stay whole; a null
 id counts as larger than every id; rows with one id do not remove from each
@@ -39,10 +43,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, ship
+from tidemark.llm.common import new_path, ship, written
 
 LENGTH = 50
 GRAM = 20
@@ -149,15 +154,14 @@ class Block:
                 got |= (padded[here + SPREAD - o] == h[here]).astype(np.uint32) << np.uint32(o)
             bits.append(got)
 
-    def unique_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct hashes, places of each (1 if all in one document), and which one each anchor has."""
+    def unique_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct hashes, smallest and largest document id of each, and its places."""
         distinct, which = np.unique(self.hash, return_inverse=True)
         low = np.full(len(distinct), LAST, np.int64)
-        high = np.full(len(distinct), -1, np.int64)
-        np.minimum.at(low, which, self.doc)
-        np.maximum.at(high, which, self.doc)
-        places = np.bincount(which, minlength=len(distinct))
-        return distinct, np.where(low == high, 1, np.minimum(places, 255)).astype(np.uint8), which
+        high = np.full(len(distinct), np.iinfo(np.int64).min, np.int64)
+        np.minimum.at(low, which, self.doc_ids[self.doc])
+        np.maximum.at(high, which, self.doc_ids[self.doc])
+        return distinct, low, high, np.bincount(which, minlength=len(distinct))
 
     def surroundings(self, at: np.ndarray) -> np.ndarray:
         """SIDE bytes from SPREAD before each place; zeros outside the document."""
@@ -176,10 +180,6 @@ class Block:
         return out
 
 
-def _owner(hashes: np.ndarray, owners: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
-
-
 def _row_hashes(rows: np.ndarray, salt: int = 0) -> np.ndarray:
     """A hash of each row of bytes."""
     width = -(-rows.shape[1] // 8) * 8
@@ -192,149 +192,133 @@ def _row_hashes(rows: np.ndarray, salt: int = 0) -> np.ndarray:
     return out
 
 
-def _distinct(rows: np.ndarray, key: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(rows: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first of each distinct row, which of those each row is).
 
     Rows are grouped by hash and compared byte by byte with their first; the
-    order is that of (key, hash) and so the same in every run."""
+    order is that of the hash and so the same in every run."""
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = _row_hashes(rows, salt)
-    order = np.lexsort((h, key))
-    fresh = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])])
+    order = np.argsort(h, kind="stable")
+    fresh = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     first = order[fresh]
     which = np.empty(len(rows), np.int64)
     which[order] = np.cumsum(fresh) - 1
     if not np.array_equal(rows[first[which]], rows):
-        return _distinct(rows, key, salt + 1)
+        return _distinct(rows, salt + 1)
     return first, which
 
 
-def repeats_earlier(windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which windows (rows of LENGTH bytes, heads of suffixes) also start in an earlier document.
-
-    Suffix order by the first LENGTH bytes; then the previous and the next
-    smaller document among suffixes that share all of them."""
-    n = len(windows)
-    if not n:
-        return np.zeros(0, bool)
-    heads = np.ascontiguousarray(windows).view(f"V{windows.shape[1]}").ravel()
-    order = np.argsort(heads, kind="stable")
-    shared = heads[order][1:] == heads[order][:-1]  # longest common prefix reaches LENGTH
-    run = np.concatenate([[0], np.cumsum(~shared)])
-    rank = np.unique(doc[order], return_inverse=True)[1].astype(np.int64)
-    down = rank - run * n  # falls from run to run: the running minimum stays within a run
-    up = rank + run * n
-    previous = np.minimum.accumulate(down) < down
-    following = np.minimum.accumulate(up[::-1])[::-1] < up
-    out = np.zeros(n, bool)
-    out[order] = previous | following
-    return out
-
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value before each, -1 if there is none.
 
-def _pack(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x).tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    What lies between an index and its pointer is never smaller, so pointers may
+    jump along pointers; runs without a smaller value are passed by doubling."""
+    at = np.arange(len(values)) - 1
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_):
+        open_ = open_[values[at[open_]] >= values[open_]]
+        at[open_] = at[at[open_]]
+        open_ = open_[at[open_] >= 0]
+    return at
 
 
-def _unpack(b: bytes, dtype) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], n, codec="zstd", asbytes=True) if n else b"", dtype)
+def previous_factors(heads: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix, as far as its head (a row of bytes) goes:
+    what it shares with the nearest suffixes, before and after it in suffix order,
+    of a smaller document."""
+    n, width = heads.shape
+    out = np.zeros(n, np.int64)
+    if not n:
+        return out
+    order = np.argsort(np.ascontiguousarray(heads).view(f"V{width}").ravel(), kind="stable")
+    rank = np.unique(doc[order], return_inverse=True)[1]
+    after = n - 1 - previous_smaller(rank[::-1])[::-1]
+    for near in (previous_smaller(rank), np.where(after == n, -1, after)):
+        has = np.flatnonzero(near >= 0)
+        differs = heads[order[has]] != heads[order[near[has]]]
+        shared = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+        out[order[has]] = np.maximum(out[order[has]], shared)
+    return out
 
 
-_ASK = "owner long, block long, hashes binary, places binary"
-_TELL = "block long, owner long, round int, flags binary, more binary"
-_SEND = "owner long, block long, around binary, masks binary, docs binary, windows binary, wdocs binary"
+_ANCHORS = "hash long, block int, low long, high long, places int"
+_TOLD = "block long, kind int, item long, bits int"
+_SENT = "kind int, hash long, block int, item int, around binary, mask int, low long"
 _OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+TOLD, COLD, WINDOW = 0, 1, 2  # kinds of rows: a shared hash; surroundings of an anchor; a window of a hot one
 
 
-def _table(schema: str, rows: list[tuple]) -> pa.Table:
-    names = [x.split()[0] for x in schema.split(",")]
+def _table(schema: str, columns: list) -> pa.Table:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.table([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(","), strict=True)], names=names)
-
-
-def _slices(owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(owner, from, to) of a sorted array of owners."""
-    if len(owner):
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            yield int(owner[a]), int(a), int(b)
+    fields = [x.split() for x in schema.split(",")]
+    return pa.table([c if isinstance(c, pa.Array) else pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
-def _ask(owners: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = Block(table)
-        block.anchors(masks=False)
-        distinct, places, _ = block.unique_hashes()
-        return _table(_ASK, [(o, key[0].as_py(), distinct[a:b].tobytes(), places[a:b].tobytes()) for o, a, b in _slices(_owner(distinct, owners))])
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary array."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
-    return run
-
-
-def _tell(hot: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _flags(key[0].as_py(), table, hot)
 
-    return run
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    """A binary array whose values all have ``width`` bytes, as rows of bytes."""
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + len(column) * width].reshape(-1, width)
 
 
-def _flags(owner: int, table: pa.Table, hot: int) -> pa.Table:
-    """Per block and hash: 0 in one document only, 1 in several, 2 in ``hot`` places or more."""
-    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    places = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("places").to_pylist()]).astype(np.int64)
-    distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(which, weights=places, minlength=len(distinct))[which]
-    flags = np.where(total >= hot, 2, np.where(total >= 2, 1, 0)).astype(np.uint8)
-    out, at = [], 0
-    for block, h in zip(table.column("block").to_pylist(), hashes, strict=True):
-        out.append((block, owner, 1, _pack(flags[at : at + len(h)]), None))
-        at += len(h)
-    return _table(_TELL, out)
+def _anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    block = Block(table)
+    block.anchors(masks=False)
+    distinct, low, high, places = block.unique_hashes()
+    return _table(_ANCHORS, [distinct.view(np.int64), np.full(len(distinct), key[0].as_py(), np.int32), low, high, places])
 
 
 class Asked:
     """What a block sends in round 2, in an order that round 3 finds again."""
 
-    def __init__(self, block: Block, told: pa.Table, owners: int):
+    def __init__(self, block: Block, told: pa.Table):
         block.anchors(masks=True)
         self.block = block
-        distinct, _, which = block.unique_hashes()
-        rows = sorted((r for r in told.to_pylist() if r["round"] == 1), key=lambda r: r["owner"])
-        flags = np.concatenate([_unpack(r["flags"], np.uint8) for r in rows]) if rows else np.zeros(0, np.uint8)
-        if len(flags) != len(distinct):
-            raise ValueError("the answers do not fit the block")
-        flag = flags[which] if len(which) else flags
+        rows = told.filter(pa.compute.equal(told.column("kind"), TOLD))
+        known = rows.column("item").to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        known, hot = known[order], rows.column("bits").to_numpy()[order]
+        flag = np.zeros(len(block.hash), np.int64)
+        if len(known):
+            near = np.minimum(np.searchsorted(known, block.hash), len(known) - 1)
+            flag = np.where(known[near] == block.hash, 1 + hot[near], 0)
         # Surroundings of the anchors that stand elsewhere too, each distinct one once.
         self.at = np.flatnonzero(flag > 0)
         self.docs = block.doc_ids[block.doc[self.at]]
-        owner = _owner(block.hash[self.at], owners)
         around = np.concatenate([block.surroundings(self.at), block.mask[self.at].reshape(-1, 1).view(np.uint8).reshape(-1, 4)], axis=1)
-        first, self.entry = _distinct(around, owner)
+        first, self.entry = _distinct(around)
         self.around = around[first]
         self.mask = block.mask[self.at][first]
+        self.hash = block.hash[self.at][first]
         self.low = np.full(len(first), LAST, np.int64)
         np.minimum.at(self.low, self.entry, self.docs)
-        hot = flag[self.at][first] == 2
-        self.cold, self.hot = np.flatnonzero(~hot), np.flatnonzero(hot)
-        self.owner = owner[first][self.cold]
+        is_hot = flag[self.at][first] == 2
+        self.cold, self.hot = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
         # Of hot anchors, the distinct windows.
         at, self.offset = _bits(self.mask[self.hot])
         self.hot_entry = self.hot[at]
         windows = np.lib.stride_tricks.sliding_window_view(self.around[:, :SIDE], LENGTH, axis=1)[self.hot_entry, SPREAD - self.offset]
-        first, self.window = _distinct(windows, _owner(_row_hashes(windows), owners))
+        first, self.window = _distinct(windows)
         self.windows = windows[first]
-        self.window_owner = _owner(_row_hashes(self.windows), owners)
         self.window_low = np.full(len(first), LAST, np.int64)
         np.minimum.at(self.window_low, self.window, self.low[self.hot_entry])
 
-    def earlier(self, bits: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    def earlier(self, told: pa.Table) -> np.ndarray:
         """Offsets (bits), for each place in ``at``, whose windows an earlier document has."""
-        if len(bits) != len(self.cold) or len(seen) != len(self.windows):
-            raise ValueError("the answers do not fit the block")
         entries = np.zeros(len(self.low), np.uint32)
-        entries[self.cold] = bits
+        answer = told.filter(pa.compute.equal(told.column("kind"), COLD))
+        entries[self.cold[answer.column("item").to_numpy()]] = answer.column("bits").to_numpy().view(np.uint32)
+        seen = np.zeros(len(self.windows), bool)
+        seen[told.filter(pa.compute.equal(told.column("kind"), WINDOW)).column("item").to_numpy()] = True
         known = seen[self.window] | (self.low[self.hot_entry] > self.window_low[self.window])
         np.bitwise_or.at(entries, self.hot_entry[known], np.uint32(1) << self.offset[known].astype(np.uint32))
         return np.where(self.docs > self.low[self.entry], self.mask[self.entry], entries[self.entry])
@@ -350,79 +334,111 @@ def _bits(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(offset)
 
 
-def _send(owners: int):
-    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, told: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return _table(_SEND, [])
-        asked = Asked(Block(texts), told, owners)
-        cold = {o: (a, b) for o, a, b in _slices(asked.owner)}
-        hot = {o: (a, b) for o, a, b in _slices(asked.window_owner)}
-        rows = []
-        for o in sorted(cold.keys() | hot.keys()):
-            (a, b), (c, d) = cold.get(o, (0, 0)), hot.get(o, (0, 0))
-            own = asked.cold[a:b]
-            rows.append((o, texts.column("block")[0].as_py(), *map(_pack, (asked.around[own, :SIDE], asked.mask[own], asked.low[own], asked.windows[c:d], asked.window_low[c:d]))))
-        return _table(_SEND, rows)
-
-    return run
+def _send(key: tuple[pa.Scalar, ...], texts: pa.Table, told: pa.Table) -> pa.Table:
+    if not texts.num_rows or not told.num_rows:
+        return _table(_SENT, [[]] * 7)
+    asked = Asked(Block(texts), told)
+    sent = []
+    for kind, hashes, around, masks, low in (
+        (COLD, asked.hash[asked.cold], asked.around[asked.cold, :SIDE], asked.mask[asked.cold], asked.low[asked.cold]),
+        (WINDOW, _row_hashes(asked.windows), asked.windows, np.zeros(len(asked.windows), np.uint32), asked.window_low),
+    ):
+        n = len(hashes)
+        sent.append(_table(_SENT, [np.full(n, kind, np.int32), hashes.view(np.int64), np.full(n, key[0].as_py(), np.int32), np.arange(n, dtype=np.int32), _bytes(around), masks.view(np.int32), low]))
+    return pa.concat_tables(sent)
+
+
+def _earlier_offsets(around: np.ndarray, mask: np.ndarray, low: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For surroundings sorted by anchor, the offsets (bits) whose windows have an earlier match."""
+    fresh = np.ones(len(around), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (mask[1:] != mask[:-1]) | (around[1:] != around[:-1]).any(axis=1)
+    first, which = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    # An anchor with one surrounding has no other suffixes to meet.
+    kind = np.cumsum(np.concatenate([[True], hashes[first][1:] != hashes[first][:-1]])) - 1
+    several = first[np.bincount(kind)[kind] > 1]
+    at, offset = _bits(mask[several])
+    own = several[at]
+    windows = np.lib.stride_tricks.sliding_window_view(around, LENGTH, axis=1)[own, SPREAD - offset]
+    repeated = previous_factors(windows, low[own]) >= LENGTH
+    bits = np.zeros(len(around), np.uint32)
+    np.bitwise_or.at(bits, own[repeated], np.uint32(1) << offset[repeated].astype(np.uint32))
+    # Rows with one surrounding are sorted by document: all of it is repeated in all but the first.
+    return np.where(low > low[first][which], mask, bits[first][which])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers for rows sorted by kind, hash, bytes, mask and document: surroundings by
+    whole anchors (fewer than HOT places each), windows as they come."""
+    carry: pa.RecordBatch | None = None
+    last: tuple[bytes, int] = (b"", 0)
+
+    def told(batch: pa.RecordBatch, kind: int, bits: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(bits)
+        block, item = (batch.column(c).to_numpy()[some] for c in ("block", "item"))
+        table = _table(_TOLD, [block.astype(np.int64), np.full(len(some), kind, np.int32), item.astype(np.int64), bits[some].view(np.int32)])
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.columns], names=table.column_names)
+
+    def cold(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mask, low, hashes = batch.column("mask").to_numpy().view(np.uint32), batch.column("low").to_numpy(), batch.column("hash").to_numpy()
+        return told(batch, COLD, _earlier_offsets(_rows(batch.column("around"), SIDE), mask, low, hashes))
+
+    for whole in batches:
+        kinds = whole.column("kind").to_numpy()
+        cut = int(np.searchsorted(kinds, WINDOW))
+        batch, windows = whole.slice(0, cut), whole.slice(cut)
+        if batch.num_rows:
+            if carry is not None:
+                batch = pa.concat_batches([carry, batch])
+            hashes = batch.column("hash").to_numpy()
+            end = int(np.searchsorted(hashes, hashes[-1])) if not windows.num_rows else len(hashes)
+            carry = batch.slice(end)
+            if end:
+                yield cold(batch.slice(0, end))
+        if windows.num_rows:
+            if carry is not None and carry.num_rows:
+                yield cold(carry)
+            carry = None
+            rows, low = _rows(windows.column("around"), LENGTH), windows.column("low").to_numpy()
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            fresh[0] = rows[0].tobytes() != last[0]
+            least = np.concatenate([[last[1]], low[fresh]])[np.cumsum(fresh)]
+            last = (rows[-1].tobytes(), int(least[-1]))
+            yield told(windows, WINDOW, (low > least).astype(np.int32))
+    if carry is not None and carry.num_rows:
+        yield cold(carry)
+
+
+def _covered(start: np.ndarray) -> np.ndarray:
+    """The bytes within LENGTH of a start, by doubling."""
+    out, reach = start.copy(), 1
+    while reach < LENGTH:
+        step = min(reach, LENGTH - reach)
+        out[step:] |= out[:-step].copy()
+        reach += step
+    return out
 
 
-def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The suffix order of one owner's anchors, and the windows with an earlier match."""
-    rows = table.to_pylist()
-    around = [_unpack(r["around"], np.uint8).reshape(-1, SIDE) for r in rows]
-    every = np.concatenate(around)
-    mask = np.concatenate([_unpack(r["masks"], np.uint32) for r in rows])
-    doc = np.concatenate([_unpack(r["docs"], np.int64) for r in rows])
-    full = np.concatenate([every, mask.reshape(-1, 1).view(np.uint8).reshape(-1, 4)], axis=1)
-    first, which = _distinct(full, np.zeros(len(full), np.int64))
-    low = np.full(len(first), LAST, np.int64)
-    np.minimum.at(low, which, doc)
-    bits = np.zeros(len(first), np.uint32)
-    # An anchor with one surrounding has no other suffixes to meet.
-    anchor = np.ascontiguousarray(every[first][:, SPREAD : SPREAD + GRAM]) if len(first) else np.zeros((0, GRAM), np.uint8)
-    _, kind = _distinct(anchor, np.zeros(len(anchor), np.int64))
-    several = np.flatnonzero(np.bincount(kind, minlength=1)[kind] > 1) if len(kind) else np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(every, LENGTH, axis=1)
-    for o in range(SPREAD + 1):  # equal windows have their anchor at the same offset
-        of = several[(mask[first[several]] >> np.uint32(o)) & np.uint32(1) == 1]
-        earlier = repeats_earlier(view[first[of], SPREAD - o], low[of])
-        bits[of[earlier]] |= np.uint32(1) << np.uint32(o)
-    answer = np.where(doc > low[which], mask, bits[which]) if len(which) else np.zeros(0, np.uint32)
-    windows = [_unpack(r["windows"], np.uint8).reshape(-1, LENGTH) for r in rows]
-    hot = repeats_earlier(np.concatenate(windows), np.concatenate([_unpack(r["wdocs"], np.int64) for r in rows]))
-    out, a, c = [], 0, 0
-    for r, x, w in zip(rows, around, windows, strict=True):
-        out.append((r["block"], r["owner"], 2, _pack(answer[a : a + len(x)].astype(np.uint32)), _pack(hot[c : c + len(w)])))
-        a, c = a + len(x), c + len(w)
-    return _table(_TELL, out)
-
-
-def _finish(owners: int, with_text: bool):
+def _finish(with_text: bool):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _table(_OUT, [])
+            return _table(_OUT, [[]] * 6)
         block = Block(texts)
-        asked = Asked(block, told, owners)
-        rows = sorted((r for r in told.to_pylist() if r["round"] == 2), key=lambda r: r["owner"])
-        start = np.zeros(len(block.data) + 1, bool)
-        if rows:
-            bits = np.concatenate([_unpack(r["flags"], np.uint32) for r in rows])
-            seen = np.concatenate([_unpack(r["more"], bool) for r in rows])
-            mask = asked.earlier(bits, seen)
+        start = np.zeros(len(block.data), bool)
+        if told.num_rows:
+            asked = Asked(block, told)
+            mask = asked.earlier(told)
             for o in range(SPREAD + 1):
                 start[block.pos[asked.at[(mask >> np.uint32(o)) & np.uint32(1) == 1]] - o] = True
-        count = np.cumsum(start)
-        removed = count[:-1].copy()
-        removed[LENGTH:] -= count[: max(len(block.data) - LENGTH, 0)]
-        removed = removed > 0
-        out = []
+        removed = _covered(start)
+        out: list[list] = [[] for _ in range(6)]
         for i, (a, b) in enumerate(zip(block.starts, block.ends, strict=True)):
             gone = removed[a:b]
             n = int(gone.sum())
             kept = block.data[a:b][~gone].tobytes() if n else block.texts[i]
             spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]) if n else 0
-            out.append((block.ids[i], int(b - a), n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            for column, value in zip(out, (block.ids[i], int(b - a), n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
+                column.append(value)
         return _table(_OUT, out)
 
     return run
@@ -436,22 +452,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    owners = blocks
     # Rows of one id are spread by their text, too.
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(blocks)).cast("long"))
     name = f"tidemark_blocks_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/tidemark/{name}"
-    dealt.repartition(blocks, "block").write.option("path", path).option("compression", "zstd").bucketBy(blocks, "block").format("parquet").saveAsTable(name)
+    dealt.repartition(blocks, "block").write.option("path", new_path(spark, "blocks")).option("compression", "zstd").bucketBy(blocks, "block").format("parquet").saveAsTable(name)
     texts = spark.table(name)
-    asked = texts.groupBy("block").applyInArrow(_ask(owners), _ASK)
-    told = _kept(asked.groupBy("owner").applyInArrow(_tell(hot), _TELL), path + "_told")
-    sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(owners), _SEND)
-    answers = _kept(sent.groupBy("owner").applyInArrow(_answer, _TELL), path + "_answers")
-    done = texts.groupBy("block").cogroup(told.union(answers).groupBy("block")).applyInArrow(_finish(owners, with_text), _OUT)
+    anchors = texts.groupBy("block").applyInArrow(_anchors, _ANCHORS)
+    told = written(_shared(anchors, hot), "shared-anchors")
+    sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send, _SENT)
+    sent = sent.repartition("hash").sortWithinPartitions("kind", "hash", "around", "mask", "low")
+    answers = sent.mapInArrow(_answer, _TOLD)
+    done = texts.groupBy("block").cogroup(told.union(answers).groupBy("block")).applyInArrow(_finish(with_text), _OUT)
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
-    return done.select(F.col("id").alias(id_col), *columns)
+    # The result reads the table's files; its name is needed for the plan alone.
+    out = done.select(F.col("id").alias(id_col), *columns)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _shared(anchors: DataFrame, hot: int) -> DataFrame:
+    """The anchors that stand in two documents or more, for each of their blocks."""
+    # A hash has at most one row a block, of a few bytes; Spark spills a long run of them.
+    same = Window.partitionBy("hash")
+    found = anchors.select("hash", "block", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.sum("places").over(same).alias("places"))
+    found = found.where("low < high")
+    return found.select(F.col("block").cast("long").alias("block"), F.lit(TOLD).alias("kind"), F.col("hash").alias("item"), (F.col("places") >= hot).cast("int").alias("bits"))
