@@ -67,6 +67,37 @@ def test_empty_table(spark):
     assert lpf.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_earlier_in_suffix_order():
-    windows = np.array([list(b"aa"), list(b"ab"), list(b"aa"), list(b"ab"), list(b"zz")], np.uint8)
-    assert lpf.repeats_earlier(windows, np.array([5, 2, 3, 2, 1])).tolist() == [True, False, False, False, False]
+def test_previous_factors():
+    """Against all pairs: the longest prefix shared with a suffix of a smaller document."""
+    rng = random.Random(6)
+    for n in (0, 1, 2, 40, 300):
+        heads = np.array([[rng.choice(b"ab") for _ in range(7)] for _ in range(n)], np.uint8).reshape(n, 7)
+        doc = np.array([rng.randrange(9) for _ in range(n)], np.int64)
+        shared = lambda a, b: next((k for k in range(7) if a[k] != b[k]), 7)
+        want = [max((shared(heads[i], heads[j]) for j in range(n) if doc[j] < doc[i]), default=0) for i in range(n)]
+        assert lpf.previous_factors(heads, doc).tolist() == want
+
+
+def test_previous_smaller():
+    rng = random.Random(7)
+    for values in ([], [3], [1, 1, 1], list(range(50)), list(range(50, 0, -1)), [rng.randrange(8) for _ in range(400)]):
+        want = [max((j for j in range(i) if values[j] < v), default=-1) for i, v in enumerate(values)]
+        assert lpf.previous_smaller(np.array(values, np.int64)).tolist() == want
+
+
+def test_messages_grow_with_the_texts(spark):
+    """Rows of round 1 for each byte are the same at two sizes, whatever the number of blocks."""
+    rng = random.Random(8)
+    sent = {}
+    for n in (40, 160):
+        rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(2000)), i % (n // 4)) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, text string, block long").selectExpr("id", "cast(text as binary) as text", "block")
+        sent[n] = df.groupBy("block").applyInArrow(lpf._anchors, lpf._ANCHORS).count() / n
+    assert abs(sent[40] - sent[160]) < 0.02 * sent[40]
+
+
+def test_no_table_is_left(spark):
+    df = spark.createDataFrame([(1, "a" * 80), (2, "a" * 80)], "doc_id long, text string")
+    got = lpf.remove_repeats(df)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_blocks")]
+    assert sorted(r["n_removed"] for r in got.collect()) == [0, 80]
