@@ -455,52 +455,72 @@ def brute_templates(rows, min_docs=3):
     def mask(line):
         return " ".join(templates.WILD if any("0" <= c <= "9" for c in w) else w for w in re.split(r"[\x20\x09-\x0D]+", line) if w)
 
-    lines = defaultdict(set)  # masked line -> documents
-    for i, text in rows:
-        for line in (text or "").split("\n"):
-            if mask(line):
-                lines[mask(line)].add(i)
+    held = defaultdict(list)  # masked line -> rows
+    unit = [i if i is not None else f"row {k}" for k, (i, _) in enumerate(rows)]
+    for k, (_, text) in enumerate(rows):
+        for line in {mask(x) for x in (text or "").split("\n")} - {""}:
+            held[line].append(k)
     leaves = defaultdict(list)
-    for line in lines:
+    for line in held:
         words = line.split(" ")
         leaves[len(words), tuple(words[: templates.DEPTH])].append(line)
-    docs = defaultdict(set)
-    of = {}
+    docs, of = defaultdict(set), defaultdict(set)
     for leaf, members in leaves.items():
-        if len(set().union(*(lines[m] for m in members))) < min_docs:
+        if len({unit[k] for m in members for k in held[m]}) < min_docs:
             continue
-        fixed = []
-        for pos in range(leaf[0]):
-            count = defaultdict(int)
-            for m in members:
-                count[m.split(" ")[pos]] += len(lines[m])
-            n, word = min((-c, w.encode()) for w, c in count.items())
-            fixed.append(word.decode() if -n >= templates.SHARE * sum(count.values()) else None)
+        every = sum(len(held[m]) for m in members)
+        count = defaultdict(int)
+        for m in members:
+            for pos, w in enumerate(m.split(" ")):
+                count[pos, w] += len(held[m])
         for m in members:
-            same = sum(w == f for w, f in zip(m.split(" "), fixed))
-            of[m] = ("tree", leaf) if same >= templates.SIMILAR * leaf[0] else ("line", m)
-            docs[of[m]] |= lines[m]
-    gone = {m for m, t in of.items() if len(docs[t]) >= min_docs}
+            words = m.split(" ")
+            of[m].add((leaf, tuple(words)))
+            for share in templates.SHARES:
+                shape = tuple(w if count[p, w] >= max(min_docs, share * every) else None for p, w in enumerate(words))
+                if sum(w is not None for w in shape) >= templates.SIMILAR * len(words):
+                    of[m].add((leaf, shape))
+            for t in of[m]:
+                docs[t] |= {unit[k] for k in held[m]}
+    gone = {m for m, ts in of.items() if any(len(docs[t]) >= min_docs for t in ts)}
     out = []
     for i, text in rows:
-        every = (text or "").split("\n")
-        kept = [x for x in every if mask(x) not in gone]
-        out.append((i, len(every) if text else 0, len(every) - len(kept), "\n".join(kept)))
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if mask(x) not in gone]
+        out.append((i, len(lines) if text else 0, len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 
 
-def test_line_templates(spark):
+@pytest.mark.parametrize("hot", [512, 2])
+def test_line_templates(spark, hot, monkeypatch):
+    monkeypatch.setattr(common.join_by_size, "__defaults__", (hot,))
     rng = random.Random(10)
     rows = []
     for i in range(40):
         lines = [f"Copyright {rng.randint(1990, 2024)} by {rng.choice(['Ann', 'Bob', 'Cy'])} all rights reserved", "".join(rng.choice("abc ") for _ in range(rng.randint(0, 20))), f"page {i} of {rng.choice(['many', 'few', 'some'])} shown", "same  line\there"]
+        lines.append(f"this is a text by {rng.choice('abcdefghijklmn') * 3} for {rng.choice(['all', 'us'])} of my best friends here")
+        lines.append(f"this is a {rng.choice(['book', 'song'])} by {rng.choice('abcdefghijklmn') * 3} on {rng.choice(['her', 'his'])} long way back home again")
         rng.shuffle(lines)
-        rows.append((i, "\n".join(lines[: rng.randint(0, 4)])))
+        rows.append((i, "\n".join(lines[: rng.randint(0, 6)])))
     rows += [(100, None), (101, ""), (102, "\n\n"), (3, "same line here"), (103, "x9" * 5000), (104, "w " * 3000)]
+    rows += [(None, "no id line"), (None, "no id line\r"), (None, "no id  line\nsame line here"), (105, "twice here now"), (105, "twice here now"), (105, "twice here now")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, id long")
     got = templates.drop_recurring_lines(df, min_docs=3)
-    assert rows_of(got, "doc_id", "n_lines", "n_dropped", "kept_text") == brute_templates(rows)
+    want = brute_templates(rows)
+    assert rows_of(got, "doc_id", "n_lines", "n_dropped", "kept_text") == want
     assert templates.drop_recurring_lines(df.limit(0)).count() == 0
+    assert any(t == "twice here now" for *_, t in want) and not any("no id" in t for *_, t in want)
+
+
+def test_several_templates_in_a_leaf(spark):
+    """Two frequent templates with varying names share a leaf: both are found, whatever their shares."""
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
+    first = [f"written by the {name(k)} team of our newspaper for all readers" for k in range(40)]
+    second = [f"written by the {name(k)} office in this country near two rivers" for k in range(100, 160)]
+    rest = [f"written by the {name(k)} {name(k + 1)} {name(k + 2)} {name(k + 3)} {name(k + 4)} {name(k + 5)} {name(k + 6)} {name(k + 7)}" for k in range(200, 800, 9)]
+    rows = list(enumerate(first + second + rest))
+    got = templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["n_dropped"]} == set(range(100))
 
 
 # -- 1
