@@ -15,12 +15,14 @@ for each *distinct* fingerprint, then joins of linked fingerprints only. Copies
 share a fingerprint, so a group of copies is one row before anything is
 shuffled by key. A bucket never lists all its pairs: it returns a spanning
 forest of its links. Buckets of more than ``BUCKET_ROWS`` fingerprints are
-compared in pairs of blocks, so that no task holds an unbounded group.
+compared in blocks, then by the roots of the blocks' trees, and only if that leaves
+several trees in pairs of blocks: no task holds an unbounded group, and a large
+group of near copies costs what its size is.
 
 Fingerprints within 4 bits are a far tighter bond than likeness 0.8 of 5-word
 shingles. ``keep_unlike`` is the operator's mode for a pipeline's stage: distinct
 shingle sets meet on equal bands of MinHash values, buckets are compared by exact
-Jaccard likeness (again a spanning forest, again in pairs of blocks), and
+Jaccard likeness (again a spanning forest, again in blocks), and
 components follow as above. ``BANDS`` bands of ``BAND_ROWS`` values meet a pair of
 likeness 0.8 with probability 0.9998 and one of 0.85 with 0.999995; below 0.8 no
 pair is linked. Only the keys are grouped; sets move once to the documents that
@@ -40,6 +42,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +56,13 @@ from tidemark.operators.graph import components
 
 SEED = 42
 SEGMENTS = 9
-BUCKET_ROWS = 1 << 13
+BUCKET_ROWS = 1 << 11
 BLOCK = 1 << 16
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BANDS = 16
 BAND_ROWS = 4
-SET_BLOCK = 1 << 22
+SET_BLOCK = 1 << 18
+SET_ROWS = 1 << 9
 _TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -143,7 +147,8 @@ def _linked(x: np.ndarray, tau: int, segments: int) -> np.ndarray:
 
 
 def _forest(fps: np.ndarray, tau: int, segments: int) -> tuple[list[int], list[int]]:
-    """Spanning forest of the links in one bucket, by breadth-first search.
+    """Spanning forest of the links in one bucket, by breadth-first search, and a loop
+    (a node linked to itself) at the root of each tree.
 
     Each step compares one fingerprint with those not reached yet, so a dense
     group costs little more than its size."""
@@ -151,6 +156,8 @@ def _forest(fps: np.ndarray, tau: int, segments: int) -> tuple[list[int], list[i
     rest = np.arange(len(fps))
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
+        left.append(queue[0])
+        right.append(queue[0])
         while queue and len(rest):
             at = queue.pop()
             near = _linked(fps[rest] ^ fps[at], tau, segments)
@@ -170,15 +177,20 @@ def _bucket_links(tau: int, segments: int):
             bounds = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
             starts, ends = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(key)]])
             sizes = ends - starts
-            two = starts[sizes == 2]
+            one, two = starts[sizes == 1], starts[sizes == 2]
             ok = _linked(fp[two] ^ fp[two + 1], tau, segments)
-            a, b = [node[two[ok]]], [node[two[ok] + 1]]
+            # Roots: single nodes, first nodes of twos, and second ones that are not linked.
+            a, b = [node[one], node[two], node[two]], [node[one], node[two], np.where(ok, node[two + 1], node[two])]
+            a.append(node[two[~ok] + 1])
+            b.append(node[two[~ok] + 1])
+            of = [key[one], key[two], key[two], key[two[~ok]]]
             for s, e in zip(starts[sizes > 2], ends[sizes > 2], strict=True):
                 left, right = _forest(fp[s:e], tau, segments)
                 a.append(node[s:e][left])
                 b.append(node[s:e][right])
+                of.append(key[s:e])  # as many links and loops as nodes
             a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(of)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
 
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "pair", "fp", "node")]
@@ -192,12 +204,38 @@ def _bucket_links(tau: int, segments: int):
             carry = [c[cut:] for c in cols]
             if cut:
                 yield links(*[c[:cut] for c in cols])
-        if carry is not None:
+        if carry is not None and len(carry[0]):
             yield links(*carry)
 
     return run
 
 
+def _meet(members: DataFrame, compare, room: int) -> DataFrame:
+    """(a, b) with a < b: links that connect, in every bucket, what all its links connect.
+
+    ``members`` (key, node, size, blocks and what ``compare`` needs), written, in buckets of
+    ``blocks`` blocks; ``compare`` takes members with their ``pair`` and returns (key, a, b), a
+    spanning forest of each (key, pair) with loops at its roots.
+
+    A block is compared alone first. Of a bucket of several blocks, the roots follow
+    if they fit into ``room``; where they form one tree, as in a large group of near
+    copies, the whole bucket is connected, for a cost in proportion to it. Only what is
+    left is compared in pairs of blocks."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    first = written(compare(members.withColumn("pair", own)), "block-links")
+    parts, large = [first], members.where("blocks > 1")
+    if not large.isEmpty():
+        roots = first.where("a = b").select("key", F.col("a").alias("node"))
+        top = written(large.join(roots, ["key", "node"], "left_semi"), "roots")
+        fits = top.groupBy("key").agg(F.sum("size").alias("all")).where(F.col("all") <= room).select("key")
+        second = written(compare(top.join(fits, "key").withColumn("pair", F.lit(0))), "root-links")
+        whole = second.where("a = b").groupBy("key").agg(F.count("*").alias("trees")).where("trees = 1").select("key")
+        rest = large.join(written(whole, "connected"), "key", "left_anti")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+        parts += [second, compare(rest.withColumn("pair", F.explode(F.filter(pairs, lambda p: p % F.col("blocks") != F.floor(p / F.col("blocks"))))))]
+    return reduce(DataFrame.union, parts).where("a < b").select("a", "b").distinct()
+
+
 def links(nodes: DataFrame, tau: int = 4, segments: int = SEGMENTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b) with a < b: links that connect the same nodes as all links do.
 
@@ -205,13 +243,17 @@ def links(nodes: DataFrame, tau: int = 4, segments: int = SEGMENTS, bucket_rows:
     that tells it apart."""
     ship(nodes.sparkSession)
     keyed = nodes.select("fp", "node", F.explode(chain_keys(F.col("fp"), tau, segments)).alias("key"))
-    large = keyed.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
-    dealt = keyed.join(large, "key", "left").select("key", "fp", "node", F.explode(pairs).alias("pair"))
-    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(_bucket_links(tau, segments), "a long, b long").distinct()
+    large = keyed.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", "count", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks"))
+    large = written(large, "large-buckets")
+
+    def compare(asked: DataFrame) -> DataFrame:
+        dealt = asked.select("key", "pair", "fp", "node").repartition("key", "pair").sortWithinPartitions("key", "pair")
+        return dealt.mapInArrow(_bucket_links(tau, segments), "key long, a long, b long")
+
+    members = keyed.join(large, "key", "left").select("key", "node", "fp", F.lit(1).alias("size"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    if large.isEmpty():
+        return compare(members.withColumn("pair", F.lit(0))).where("a < b").select("a", "b").distinct()
+    return _meet(written(members, "bucket-members"), compare, bucket_rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, tau: int = 4, segments: int = SEGMENTS) -> DataFrame:
@@ -262,12 +304,14 @@ def shingle_sets(docs: DataFrame, text_col: str = "text", words: int = 5) -> Dat
 
 
 def _set_forest(sets: list[np.ndarray], likeness: float) -> tuple[list[int], list[int]]:
-    """Spanning forest of the pairs of sets with at least ``likeness``, as ``_forest``."""
+    """Spanning forest of the pairs of sets with at least ``likeness``, with loops at roots, as ``_forest``."""
     left, right = [], []
     sizes = np.array([len(s) for s in sets])
     rest = np.arange(len(sets))
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
+        left.append(queue[0])
+        right.append(queue[0])
         while queue and len(rest):
             at = queue.pop()
             n = sizes[at]
@@ -292,24 +336,24 @@ def _like_links(likeness: float):
         def links() -> pa.RecordBatch:
             left, right = _set_forest(sets, likeness)
             a, b = np.array(nodes, np.int64)[left], np.array(nodes, np.int64)[right]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), at[0], np.int64)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
 
         for batch in batches:
             keys = zip(batch.column("key").to_pylist(), batch.column("pair").to_pylist(), strict=True)
             for key, node, words in zip(keys, batch.column("node").to_pylist(), batch.column("set"), strict=True):
                 if key != at:
-                    if len(nodes) > 1:
+                    if nodes:
                         yield links()
                     at, nodes, sets = key, [], []
                 nodes.append(node)
                 sets.append(np.frombuffer(words.as_py(), np.uint32))
-        if len(nodes) > 1:
+        if nodes:
             yield links()
 
     return run
 
 
-def like_links(rows: DataFrame, likeness: float = 0.8, block: int = SET_BLOCK) -> DataFrame:
+def like_links(rows: DataFrame, likeness: float = 0.8, block: int = SET_BLOCK, block_rows: int = SET_ROWS) -> DataFrame:
     """(a, b) with a < b: links that connect the same nodes as all pairs that share
     a band and are at least ``likeness`` alike. ``rows``: __row and ``shingle_sets``."""
     ship(rows.sparkSession)
@@ -322,16 +366,16 @@ def like_links(rows: DataFrame, likeness: float = 0.8, block: int = SET_BLOCK) -
     # Buckets of the same members are one: count and two digests tell members apart.
     found = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     chosen = found.groupBy("n", "total", "x", "y").agg(F.min("key").alias("key"))
-    chosen = written(chosen.select("key", "n", F.ceil(F.col("total") / block).cast("int").alias("blocks")), "buckets")
-    members = join_by_size(members.select("key", "node", "row"), chosen, ["key"], "n", members.count())
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    asked = written(members.select("row", "node", "key", F.explode(pairs).alias("pair")), "bucket-members")
+    chosen = written(chosen.select("key", "n", F.ceil(F.greatest(F.col("total") / block, F.col("n") / block_rows)).cast("int").alias("blocks")), "buckets")
+    members = written(join_by_size(members, chosen, ["key"], "n", members.count()).select("key", "node", "row", "size", "blocks"), "bucket-members")
     # The sets of documents that share no band are as large as the texts: they are never broadcast.
     sets = rows.select(F.col("__row").alias("row"), F.col("__set").alias("set")).hint("merge")
-    dealt = asked.join(sets, "row").select("key", "pair", "node", "set")
-    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(_like_links(likeness), "a long, b long").distinct()
+
+    def compare(asked: DataFrame) -> DataFrame:
+        dealt = asked.join(sets, "row").select("key", "pair", "node", "set")
+        return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_like_links(likeness), "key long, a long, b long")
+
+    return _meet(members, compare, block)
 
 
 def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8) -> DataFrame:
