@@ -120,7 +120,7 @@ def brute_like(rows, words=5):
 def test_near_duplicates_at_likeness(spark, tables, monkeypatch, block):
     """Copies 0.8 to 0.95 alike go, less alike ones stay, with repeated and missing ids."""
     path, _ = tables
-    monkeypatch.setattr(simhash.like_links, "__defaults__", (0.8, block))
+    monkeypatch.setattr(simhash.like_links, "__defaults__", (0.8, block, 2 if block == 100 else 512))
     rng = random.Random(21)
     rows = []
     for base in range(25):
