@@ -1,13 +1,15 @@
 """Boundary rows, sources, sinks and streams."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import geometry, labels, scores
-from tidemark.operators import atlas, profiles, ranking, scenes, series, spatial, views
-from tidemark.sources import documents, sinks
+from tidemark.functions import geometry, labels, rounding, scores
+from tidemark.operators import atlas, graph, profiles, ranking, scenes, series, spatial, views
+from tidemark.sources import documents, scratch, sinks
 from tidemark.streaming import flags
 
 
@@ -210,3 +212,94 @@ def test_flag_stream(spark, tmp_path):
     flags.upsert_flags(stream, f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination(120)
     state = flags.current_flags(spark.read.parquet(f"{tmp_path}/log"))
     assert sorted((r["id"], r["at"]) for r in state.collect()) == [("2", 2), ("3", 5)]
+
+
+def test_chains_of_repeated_and_missing_edges(spark):
+    """A long path, numbered at random, is one chain; a repeated id is one edge, edges without ids are ignored."""
+    ids = list(range(2000))
+    random.Random(1).shuffle(ids)
+    rows = [(ids[k], k, k + 1) for k in range(2000)] + [(ids[5], 90_000, 90_001), (None, 7, 8), (5000, 50_000, 50_001), (5001, 60_000, None)]
+    got = {r["edge"]: r["chain"] for r in atlas.chains(spark.createDataFrame(rows, "edge long, u long, v long")).collect()}
+    assert got == {i: 0 for i in ids} | {5000: 5000, 5001: 5001}
+    none = spark.createDataFrame([], "edge long, u long, v long")
+    assert atlas.chains(none).count() == 0
+
+
+def test_chain_lengths_and_places(spark):
+    rows = [(1, 1, 2, 2.0), (2, 2, 3, 3.0), (3, 10, 11, 5.0), (4, 20, 21, 1.0), (3, 10, 11, 5.0)]
+    got = atlas.measured(spark.createDataFrame(rows, "edge long, u long, v long, length double"), 1.0).orderBy("place").collect()
+    assert [(r["chain"], r["n_edges"], r["length"], r["place"]) for r in got] == [(1, 2, 5.0, 1), (3, 1, 5.0, 2)]
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(7, 7), (None, 3), (1000, 1001), (1001, 1000)] + [(500, 500 + k) for k in range(1, 60)] + [(900, 900)]
+    group = {}
+    for a, b in edges:
+        if a is not None:
+            group.setdefault(a, {a}), group.setdefault(b, {b})
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for k in group[b]:
+                    group[k] = group[a]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: min(v) for k, v in group.items()}
+
+
+def test_nearest_in_growing_rings(spark):
+    rng = random.Random(3)
+    targets = [(k, rng.random(), rng.random()) for k in range(80)] + [(200, 50.0, 50.0), (201, 50.0, 50.0)]
+    points = [(k, rng.random() * 3, rng.random() * 3) for k in range(60)] + [(100, 49.0, 50.0), (101, None, 0.0), (102, 0.5, 0.5), (102, 0.5, 0.5)]
+    t, p = spark.createDataFrame(targets, "t long, x double, y double"), spark.createDataFrame(points, "p long, x double, y double")
+    want = {k: min((math.hypot(a - x, b - y), i) for i, a, b in targets) for k, x, y in points if x is not None}
+    got = {r["p"]: (r["distance"], r["t"]) for r in spatial.nearest(p, t, "p", "t").collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+    near = {r["p"] for r in spatial.nearest(p, t, "p", "t", cap=0.4).collect()}
+    assert near == {k for k, (d, _) in want.items() if d <= 0.4}
+    assert spatial.nearest(p, t.limit(0), "p", "t").count() == 0 == spatial.nearest(p.limit(0), t, "p", "t").count()
+
+
+def test_nearest_line_and_fraction(spark):
+    lines = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 10.0, 0.0), (1, 2, 10.0, 10.0), (2, 0, 0.0, 30.0), (2, 1, 20.0, 30.0)], "line long, i int, x double, y double")
+    points = spark.createDataFrame([(1, 5.0, 2.0), (2, 12.0, 5.0), (3, 5.0, 28.0), (4, 500.0, 0.0), (5, -3.0, 0.0)], "p long, x double, y double")
+    got = {r["p"]: (r["line"], round(r["distance"], 6), round(r["fraction"], 6)) for r in spatial.nearest_line(points, spatial.edges(lines, "line", "i"), "p", "line", 40.0, 1.0).collect()}
+    assert got == {1: (1, 2.0, 0.25), 2: (1, 2.0, 0.75), 3: (2, 2.0, 0.25), 5: (1, 3.0, 0.0)}
+
+
+def test_seaward_side(spark):
+    lines = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1000.0, 0.0)], "line long, i int, x double, y double")
+    faced = spatial.edges(lines, "line", "i").withColumn("facing", F.lit(0.0))
+    points = spark.createDataFrame([(1, 500.0, 50.0), (2, 500.0, -50.0), (3, 500.0, -150.0), (4, 500.0, 210.0), (5, 500.0, -95.0)], "p long, x double, y double")
+    assert {r["p"] for r in spatial.seaward_side(points, faced, "p", "line", "facing", 200.0).collect()} == {1, 2, 5}
+
+
+def test_depth_profile_at_the_edge(spark):
+    raster = spark.createDataFrame([(y, 0, -10.0 * y) for y in range(4)], "iy int, ix int, elevation double")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 0.3), (3, 0.0, -5.0), (4, None, None)], "p long, lon double, lat double")
+    got = {r["p"]: (r["n_wet"], r["slope"]) for r in spatial.depth_profile(points, raster, "p", (0.0, 0.0), (1.0, 0.1), (1, 4)).collect()}
+    assert got[1] == (4, pytest.approx(20.0 / 2000)) and got[2] == (5, 0.0) and got[3] == got[1]
+
+
+def test_binary_rounding_prints_as_python(spark):
+    rows = [k / 2000 for k in range(-200, 200)] + [0.0125, 2.675, 1e9 + 0.0005, 0.1 + 0.2]
+    got = values(spark, F.format_string("%.3f", rounding.binary_rounded(F.col("v"), 3)), rows)
+    assert got == [f"{x:.3f}" for x in rows]
+
+
+def test_display_texts(spark):
+    text = ["2024-03-05", "2024-02-30", "n/a", None]
+    assert values(spark, labels.long_date(F.col("v")), text, "v string") == ["March 5, 2024", "2024-02-30", "n/a", None]
+    assert values(spark, views.is_date(F.col("v")), text, "v string") == [True, False, False, False]
+    assert values(spark, labels.head_of(F.col("v")), [["a"], ["a", "b", "c"], ["a", "b", "c", "d", "e"]], "v array<string>") == ["a", "a, b, c", "a, b, c +2 more"]
+    assert values(spark, documents.slug_of(F.col("v"), "_scene_inventory"), ["x/y/hell-point_scene_inventory.json", "other.json"], "v string") == ["hell-point", ""]
+    assert values(spark, labels.road_text(F.col("v")), [None, 120.5, 4321.0]) == ["No road within 5km", "Road access within 120m", "Road 4321m away"]
+    assert values(spark, labels.slope_text(F.col("v"), F.lit(0.0125)), [None, 1, 3], "v int")[1:] == ["Shallow nearshore area", "Nearshore gradient: 0.013 m/m"]
+
+
+def test_scratch_is_cleared(spark):
+    since = scratch.made(spark)
+    path = scratch.written(spark.range(3), "x").inputFiles()[0]
+    scratch.clear(spark, since)
+    assert scratch.made(spark) == since
+    with pytest.raises(Exception, match="."):
+        spark.read.parquet(path).count()

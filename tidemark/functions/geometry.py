@@ -86,9 +86,13 @@ def ray_hits(px: Column, py: Column, qx: Column, qy: Column, ax: Column, ay: Col
 def swell_exposure(orientation: Column, arc: Column, main: float = 170.0) -> Column:
     """Facing the main swell, times the open arc, of 40 points. The steps at 30, 60
     and 90 degrees, with the jump just above 60, are part of the definition."""
+    return facing_share(orientation, main) * F.least(arc / 120, F.lit(1.0)) * 40
+
+
+def facing_share(orientation: Column, main: float = 170.0) -> Column:
+    """How well a place faces the main swell, 0 to 1."""
     off = angular_distance(orientation, main)
-    facing = F.when(off <= 30, 1.0).when(off <= 60, 1 - (off - 30) / 30).when(off <= 90, 0.5 * (1 - (off - 60) / 30)).otherwise(0.0)
-    return facing * F.least(arc / 120, F.lit(1.0)) * 40
+    return F.when(off <= 30, 1.0).when(off <= 60, 1 - (off - 30) / 30).when(off <= 90, 0.5 * (1 - (off - 60) / 30)).otherwise(0.0)
 
 
 def road_access(distance: Column) -> Column:
@@ -96,6 +100,17 @@ def road_access(distance: Column) -> Column:
     return F.when(distance.isNull(), 0.0).when(distance <= 200, 15.0).when(distance >= 5000, 0.0).otherwise(15 * (1 - (distance - 200) / 4800))
 
 
+def landward_offset(facing: Column, reach: float = 200.0, lat: float = 44.6) -> tuple[Column, Column]:
+    """Degrees east and north that move a place ``reach`` metres away from the sea, at the scale of one latitude."""
+    turn = F.radians(F.pmod(facing + 180, F.lit(360.0)))
+    return F.sin(turn) * (reach / (111_000 * math.cos(math.radians(lat)))), F.cos(turn) * (reach / 111_000)
+
+
+def bathymetry(n_wet: Column, slope: Column) -> Column:
+    """20 points for a slope of 5 % and more; 5 points with fewer than two cells under water."""
+    return F.when(n_wet >= 2, F.least(slope / 0.05, F.lit(1.0)) * 20).otherwise(5.0)
+
+
 def sinuosity_bonus(length: Column, straight: Column, points: Column) -> Column:
     """How much longer than straight the line is, up to 0.3; three points at least."""
     return F.when((points >= 3) & (straight > 0), F.least((length / F.when(straight > 0, straight) - 1) * 5, F.lit(0.3))).otherwise(0.0)

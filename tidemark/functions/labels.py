@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.rounding import binary_rounded
+
 # Bin limits and labels.
 SWELL_EDGES = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 8.0)
 SECTORS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
@@ -81,3 +83,52 @@ def tide_glyph(state: Column) -> Column:
 def scene_name(slug: Column, day: Column, height: Column, kind: str, suffix: str = "") -> Column:
     """File name of a scene's picture."""
     return F.concat(slug, F.lit("_"), F.date_format(day, "yyyy-MM-dd"), F.lit("_"), F.round(height, 1).cast("string"), F.lit(f"m_{kind}{suffix}.png"))
+
+
+def long_date(text: Column) -> Column:
+    """'March 5, 2024' for an ISO date; a text without three parts stays as it is."""
+    day = F.try_to_date(text)
+    return F.when(day.isNotNull(), F.date_format(day, "MMMM d, yyyy")).otherwise(text)
+
+
+def head_of(ids: Column, n: int = 3, size: Column | None = None) -> Column:
+    """The first ``n`` of a list and how many more there are; ``size``, if not all are in the list."""
+    more = (F.size(ids) if size is None else size) - n
+    return F.concat(F.array_join(F.slice(ids, 1, n), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+# Texts of the score explanations, with the least score or share each is for.
+FACING = ((0.8, "directly into Atlantic swell window"), (0.4, "oblique to primary swell"), (None, "poor alignment with Atlantic swell"))
+HIGHLIGHTS = {"swell": ((30, "Excellent swell exposure"), (20, "Good swell alignment")), "shape": ((15, "Favorable coastal geometry"),), "road": ((10, "Good road access"),)}
+CAVEATS = {"bathymetry": "No bathymetry data available", "road": "Remote — no nearby road access", "arc": "Limited ocean exposure"}
+LEAST_ARC = 60
+
+
+def facing_text(orientation: Column, share: Column) -> Column:
+    """How the place faces the swell; ``share`` is the direction part of its score, 0 to 1."""
+    return F.concat(F.lit("Faces "), F.bround(orientation).cast("long").cast("string"), F.lit("° — "), steps(share, FACING))
+
+
+def slope_text(n_wet: Column, slope: Column) -> Column:
+    return F.when(n_wet.isNull(), "Bathymetry data not available (GEBCO not loaded)").when(n_wet < 2, "Shallow nearshore area").otherwise(F.format_string("Nearshore gradient: %.3f m/m", binary_rounded(slope, 3)))
+
+
+def road_text(distance: Column) -> Column:
+    metres = F.bround(distance).cast("long").cast("string")
+    return F.when(distance.isNull(), "No road within 5km").when(distance <= 200, F.concat(F.lit("Road access within "), metres, F.lit("m"))).otherwise(F.concat(F.lit("Road "), metres, F.lit("m away")))
+
+
+def highlights(swell: Column, shape: Column, road: Column) -> Column:
+    """Texts of what is good about a place, in order."""
+    found = []
+    for name, value in (("swell", swell), ("shape", shape), ("road", road)):
+        text = F.lit(None).cast("string")
+        for least, label in reversed(HIGHLIGHTS[name]):
+            text = F.when(value >= least, label).otherwise(text)
+        found.append(text)
+    return F.array_compact(F.array(*found))
+
+
+def caveats(bathymetry: Column, road: Column, arc: Column) -> Column:
+    """Texts of what is not, in order."""
+    return F.array_compact(F.array(F.when(bathymetry == 0, CAVEATS["bathymetry"]), F.when(road == 0, CAVEATS["road"]), F.when(arc < LEAST_ARC, CAVEATS["arc"])))

@@ -14,7 +14,7 @@ def first_by(value: str, order: Column | str) -> Column:
     return F.min_by(value, order)
 
 
-def scene_foam(detections: DataFrame, keys: list[str], order: str, min_water: int = MIN_WATER) -> DataFrame:
+def scene_foam(detections: DataFrame, keys: list[str], order: Column | str, min_water: int = MIN_WATER) -> DataFrame:
     """Foam of each scene over reliable rows; swell, period and direction of its first row of all."""
     reliable = F.coalesce("water_pixel_count", F.lit(0)) >= min_water
     foam = F.when(reliable, F.col("foam_fraction"))

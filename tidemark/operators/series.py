@@ -46,3 +46,11 @@ def at_hour(values: Column, hour: int) -> Column:
 def monthly_ranges(dates: DataFrame, keys: list[str], day: str) -> DataFrame:
     """First and last date of each month: what one request has to fetch."""
     return dates.groupBy(*keys, F.date_format(day, "yyyy-MM").alias("month")).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.countDistinct(day).alias("n_days"))
+
+
+def request_batches(days: DataFrame, place: str, day: str, today: Column, lag: int = 5) -> DataFrame:
+    """(place, source, month, first_day, last_day, n_days): one request for each place, source and
+    month. Days before ``today`` less ``lag`` days come from the archive, others from the forecast."""
+    source = F.when(F.col(day) < F.date_sub(today, lag), "archive").otherwise("forecast")
+    rows = days.where(F.col(day).isNotNull()).select(place, source.alias("source"), F.date_format(day, "yyyy-MM").alias("month"), day)
+    return rows.groupBy(place, "source", "month").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.countDistinct(day).alias("n_days"))

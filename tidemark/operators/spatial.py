@@ -6,10 +6,14 @@ the join is on cell equality and spreads over the map."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry
+from tidemark.sources.scratch import written
 
 
 def edges(vertices: DataFrame, line: str, order: str) -> DataFrame:
@@ -37,16 +41,86 @@ def within(points: DataFrame, edge_table: DataFrame, point: str, line: str, radi
     return met.groupBy(point, line).agg(F.min("distance").alias("distance"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, point: str, target: str) -> DataFrame:
-    """The nearest target point of each of a few points, the smaller id on ties.
-
-    ``points`` is the small side (known places) and is broadcast by Spark if its
-    measured size allows; each task reduces its targets before the shuffle."""
-    t = targets.select(target, F.col("x").alias("tx"), F.col("y").alias("ty"))
-    off = F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"))
-    pairs = points.select(point, "x", "y").join(t, F.lit(True))
-    best = pairs.groupBy(point).agg(F.min(F.struct(off.alias("distance"), F.col(target))).alias("best"))
-    return best.select(point, F.col(f"best.{target}"), F.col("best.distance"))
+def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, cap: float | None = None) -> DataFrame:
+    """The nearest target point of each point, the smaller id on ties, within ``cap`` if it is given.
+
+    The search radius starts where a cell holds about four targets and grows fourfold
+    for the points that found none, until it spans the map: each round is an equality
+    join on cells, and later rounds have few points. Points without coordinates and,
+    with ``cap``, those too far from all targets have no row."""
+    p, t = written(points.select(point, "x", "y"), "points"), written(targets.select(target, "x", "y"), "targets")
+    box = p.select("x", "y").union(t.select("x", "y")).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max))).first()
+    n = t.count()
+    width, height = (box["max_x"] or 0) - (box["min_x"] or 0), (box["max_y"] or 0) - (box["min_y"] or 0)
+    whole = math.hypot(width, height) * 1.0001 or 1.0
+    whole = min(cap, whole) if cap else whole
+    radius = min(whole, max(2 * math.sqrt(width * height / max(1, n)), whole / 2**20))
+    return _growing(p, radius, whole, point, lambda open_, r: nearest_by_cells(open_, t, point, target, r))
+
+
+def _growing(points: DataFrame, radius: float, whole: float, point: str, search) -> DataFrame:
+    """``search(points, radius)`` for ever larger radii, each for the points not found before."""
+    found = []
+    while True:
+        hit = search(points, radius)
+        if radius >= whole:
+            return reduce(DataFrame.union, [*found, hit])
+        found.append(written(hit, "nearest"))
+        points = written(points.join(found[-1], point, "left_anti"), "open-points")
+        if points.isEmpty():
+            return reduce(DataFrame.union, found)
+        radius = min(whole, 4 * radius)
+
+
+def nearest_line(points: DataFrame, edge_table: DataFrame, point: str, line: str, cap: float, start: float | None = None) -> DataFrame:
+    """(point, line, distance, fraction): the line nearest to each point within ``cap``, and
+    where on it (0 to 1 of its length) it is nearest; ties go to the smaller line and then
+    to its earlier edge. The radius grows from ``start`` as in ``nearest``."""
+    e = written(edge_table.select(line, "i", "ax", "ay", "bx", "by", "length", "start"), "edges")
+    lengths = e.groupBy(line).agg(F.sum("length").alias("whole"))
+
+    def search(open_: DataFrame, radius: float) -> DataFrame:
+        ends = tuple(map(F.col, ("ax", "ay", "bx", "by")))
+        p = open_.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)})
+        met = p.join(_dealt(e, radius, line, "i", "length", "start"), ["cx", "cy"])
+        off = geometry.segment_distance(F.col("x"), F.col("y"), *ends)
+        along = F.col("start") + geometry.edge_fraction(F.col("x"), F.col("y"), *ends) * F.col("length")
+        best = met.withColumns({"off": off, "along": along}).where(F.col("off") <= radius).groupBy(point).agg(F.min(F.struct(F.round("off", 9).alias("at"), line, "i", "off", "along")).alias("best"))
+        return best.select(point, F.col(f"best.{line}"), F.col("best.off").alias("distance"), F.col("best.along").alias("along"))
+
+    found = _growing(written(points.select(point, "x", "y"), "points"), min(start or cap / 64, cap), cap, point, search)
+    share = F.when(F.col("whole") > 0, F.col("along") / F.col("whole")).otherwise(0.0)
+    return found.join(lengths, line).select(point, line, "distance", share.alias("fraction"))
+
+
+def seaward_side(points: DataFrame, edge_table: DataFrame, point: str, line: str, facing: str, reach: float) -> DataFrame:
+    """(point, line): points within ``reach`` of a line and further than half of it from the
+    line moved landward by ``reach``. ``facing`` is the line's bearing towards the sea, in ``edge_table``."""
+    dx, dy = (f(F.radians(F.col(facing) + 180)) * reach for f in (F.sin, F.cos))
+    moved = edge_table.withColumns({"lx": F.col("ax") + dx, "ly": F.col("ay") + dy, "mx": F.col("bx") + dx, "my": F.col("by") + dy})
+    p = points.select(point, "x", "y", F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy"))
+    # Both the line and its landward copy lie within twice the reach of a point that counts.
+    met = p.join(_dealt(moved, 2 * reach, line, "lx", "ly", "mx", "my", cell=reach), ["cx", "cy"])
+    near = F.min(geometry.segment_distance(F.col("x"), F.col("y"), *map(F.col, ("ax", "ay", "bx", "by"))))
+    land = F.min(geometry.segment_distance(F.col("x"), F.col("y"), *map(F.col, ("lx", "ly", "mx", "my"))))
+    return met.groupBy(point, line).agg(near.alias("near"), land.alias("land")).where((F.col("near") <= reach) & (F.col("land") > reach / 2)).select(point, line)
+
+
+def depth_profile(points: DataFrame, raster: DataFrame, point: str, low: tuple[float, float], step: tuple[float, float], shape: tuple[int, int], cells: int = 5) -> DataFrame:
+    """(point, n_wet, slope): of the ``cells`` raster cells from the one nearest to each point
+    (lon, lat) to the north, those under water, and the slope between the first and the
+    last of them over 500 m a cell; null with fewer than two.
+
+    ``raster`` (iy, ix, elevation) starts at ``low`` (lon, lat) with ``step`` and has ``shape``
+    (columns, rows); cells beyond its edge are its last ones, once for each that is beyond."""
+    index = lambda c, k: F.greatest(F.lit(0), F.least(F.ceil((F.col(c) - low[k]) / step[k] - 0.5), F.lit(shape[k] - 1)))
+    at = points.select(point, index("lon", 0).alias("ix"), index("lat", 1).alias("y0"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("k"))
+    at = at.select(point, "ix", "k", F.least(F.col("y0") + F.col("k"), F.lit(shape[1] - 1)).alias("iy"))
+    met = at.join(raster, ["iy", "ix"], "left").withColumn("depth", F.when(F.col("elevation") < 0, -F.col("elevation")))
+    wet = F.when(F.col("depth").isNotNull(), F.col("k"))
+    n = F.count("depth")
+    slope = (F.max_by("depth", wet) - F.min_by("depth", wet)) / (n * 500)
+    return met.groupBy(point).agg(n.alias("n_wet"), F.when(n >= 2, slope).alias("slope"))
 
 
 def nearest_by_cells(points: DataFrame, targets: DataFrame, point: str, target: str, radius: float) -> DataFrame:
@@ -101,12 +175,13 @@ def annulus_length(points: DataFrame, edge_table: DataFrame, point: str, inner:
     return met.where("part > 0").groupBy(point).agg(F.sum("part").alias("ring_length"))
 
 
-def _dealt(edge_table: DataFrame, radius: float) -> DataFrame:
-    """Edges in every cell from which one can be within ``radius`` of them: a point in
-    one of these cells meets the edge once."""
+def _dealt(edge_table: DataFrame, radius: float, *others: str, cell: float | None = None) -> DataFrame:
+    """Edges in every cell (of side ``cell``, by default ``radius``) from which one can be within
+    ``radius`` of them: a point in one of these cells meets the edge once."""
     ax, ay, bx, by = map(F.col, ("ax", "ay", "bx", "by"))
     low, high = (lambda a, b: F.least(a, b) - radius), (lambda a, b: F.greatest(a, b) + radius)
-    return edge_table.select("ax", "ay", "bx", "by", F.explode(cells_of(low(ax, bx), high(ax, bx), low(ay, by), high(ay, by), radius)).alias("c")).select("ax", "ay", "bx", "by", "c.cx", "c.cy")
+    kept = [*others, "ax", "ay", "bx", "by"]
+    return edge_table.select(*kept, F.explode(cells_of(low(ax, bx), high(ax, bx), low(ay, by), high(ay, by), cell or radius)).alias("c")).select(*kept, "c.cx", "c.cy")
 
 
 def seaward_normal(origins: DataFrame, edge_table: DataFrame, origin: str, bearing: str, reach: float, step: float = 200.0) -> DataFrame:

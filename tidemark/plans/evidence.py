@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import labels, scores
+from tidemark.functions import geometry, labels, scores
 from tidemark.functions.rounding import rounded
 from tidemark.operators import profiles, ranking, spatial
 from tidemark.plans.registry import query
@@ -271,8 +271,6 @@ def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def swell_exposure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.functions import geometry
-
     s = adapters.segments(spark, sf_dir)
     return s.select("segment_id", rounded(geometry.swell_exposure(F.col("orientation_deg"), F.col("exposure_arc_deg")), 1).alias("swell_exposure_score"))
 
@@ -285,50 +283,55 @@ def swell_exposure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def road_access_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.functions import geometry
-
     distance = (F.col("segment_id") * 31 % 6000).cast("double")
     return adapters.segments(spark, sf_dir).select("segment_id", rounded(geometry.road_access(distance), 1).alias("road_access_score"))
 
 
-@query(
-    with_views(
-        "seg",
-        """, e AS (SELECT segment_id, unnest(range(5)) AS k FROM seg), d AS (SELECT segment_id, k, -CAST((segment_id * 13 + k * 29) % 60 - 5 AS DOUBLE) AS depth FROM e)
-        SELECT segment_id, CASE WHEN count(*) FILTER (depth < 0) < 2 THEN 5.0 ELSE
-            round(least((arg_min(depth, k) FILTER (depth < 0) - arg_max(depth, k) FILTER (depth < 0)) / (count(*) FILTER (depth < 0) * 500) / 0.05, 1) * 20 + 1e-9, 1) END AS bathymetry_score
-        FROM d GROUP BY segment_id""",
-    )
-)
+TRANSECT_SQL = """, cell AS (SELECT segment_id, greatest(0, least(63, CAST(ceil((lon + 67) / 0.116 - 0.5) AS INT))) AS ix, greatest(0, least(499, CAST(ceil((lat - 43.3) / 0.0076 - 0.5) AS INT))) AS y0 FROM seg),
+    deep AS (SELECT segment_id, k, -elevation AS depth FROM (SELECT *, least(499, y0 + k) AS iy FROM (SELECT *, unnest(range(5)) AS k FROM cell)) JOIN elev USING (iy, ix) WHERE elevation < 0),
+    bath AS (SELECT segment_id, count(depth) AS n_wet, CASE WHEN count(depth) >= 2 THEN (arg_max(depth, k) - arg_min(depth, k)) / (count(depth) * 500) END AS slope FROM cell LEFT JOIN deep USING (segment_id) GROUP BY segment_id)"""
+SLOPE_TEXT_SQL = "CASE WHEN n_wet < 2 THEN 'Shallow nearshore area' ELSE 'Nearshore gradient: ' || printf('%.3f', slope) || ' m/m' END"
+BATHYMETRY_SQL = "CASE WHEN n_wet >= 2 THEN round(least(slope / 0.05, 1) * 20 + 1e-9, 1) ELSE 5.0 END"
+
+
+def _depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = adapters.segments(spark, sf_dir)
+    return spatial.depth_profile(segments, adapters.elevations(spark, sf_dir), "segment_id", (-67.0, 43.3), (0.116, 0.0076), (64, 500))
+
+
+@query(with_views("seg elev", TRANSECT_SQL + f" SELECT segment_id, n_wet, {BATHYMETRY_SQL} AS bathymetry_score, {SLOPE_TEXT_SQL} AS text FROM bath"))
 def bathymetry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slope over the underwater cells of a five-cell transect; 5 points with fewer than two."""
-    cells = adapters.segments(spark, sf_dir).select("segment_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
-    depth = -((F.col("segment_id") * 13 + F.col("k") * 29) % 60 - 5).cast("double")
-    under = cells.withColumn("depth", depth)
-    wet = F.col("depth") < 0
-    order = F.when(wet, F.col("k"))
-    n = F.count(F.when(wet, 1))
-    slope = (F.min_by("depth", order) - F.max_by("depth", order)) / (F.when(n > 0, n) * 500)
-    score = F.when(n < 2, 5.0).otherwise(rounded(F.least(slope / 0.05, F.lit(1.0)) * 20, 1))
-    return under.groupBy("segment_id").agg(score.alias("bathymetry_score"))
+    """Slope of the sea bed over the cells under water of a five-cell transect, as points and as text."""
+    n, slope = F.col("n_wet"), F.col("slope")
+    return _depths(spark, sf_dir).select("segment_id", "n_wet", rounded(geometry.bathymetry(n, slope), 1).alias("bathymetry_score"), labels.slope_text(n, slope).alias("text"))
 
 
 @query(
     with_views(
-        "seg",
-        """ SELECT segment_id, 'ns-seg-' || lpad(CAST(segment_id AS VARCHAR), 5, '0') AS code,
-        array_to_string(list_filter([CASE WHEN exposure_arc_deg >= 120 THEN 'wide open' END, CASE WHEN total_score >= 70 THEN 'high score' END], lambda x: x IS NOT NULL), '; ') AS highlights,
-        array_to_string(list_filter([CASE WHEN exposure_arc_deg < 30 THEN 'sheltered' END, CASE WHEN total_score < 20 THEN 'low score' END], lambda x: x IS NOT NULL), '; ') AS caveats FROM seg""",
+        "seg elev",
+        TRANSECT_SQL
+        + f""", f AS (SELECT *, CASE WHEN o <= 30 THEN 1.0 WHEN o <= 60 THEN 1 - (o - 30) / 30 WHEN o <= 90 THEN 0.5 * (1 - (o - 60) / 30) ELSE 0 END AS share FROM (SELECT *, abs(((orientation_deg - 170 + 180) % 360 + 360) % 360 - 180) AS o FROM seg)),
+        s AS (SELECT f.*, round(share * least(exposure_arc_deg / 120, 1) * 40 + 1e-9, 1) AS swell, total_score / 4 AS shape, {BATHYMETRY_SQL} AS bathymetry,
+            CASE WHEN d <= 200 THEN 15.0 WHEN d >= 5000 THEN 0 ELSE 15 * (1 - (d - 200) / 4800) END AS road
+            FROM (SELECT *, CAST(segment_id * 31 % 6000 AS DOUBLE) AS d FROM f) AS f JOIN bath USING (segment_id))
+        SELECT segment_id, 'ns-seg-' || lpad(CAST(segment_id AS VARCHAR), 5, '0') AS code,
+        'Faces ' || CAST(CAST(round_even(orientation_deg, 0) AS BIGINT) AS VARCHAR) || '° — ' || CASE WHEN share >= 0.8 THEN 'directly into Atlantic swell window' WHEN share >= 0.4 THEN 'oblique to primary swell' ELSE 'poor alignment with Atlantic swell' END AS facing,
+        concat_ws('; ', CASE WHEN swell >= 30 THEN 'Excellent swell exposure' WHEN swell >= 20 THEN 'Good swell alignment' END, CASE WHEN shape >= 15 THEN 'Favorable coastal geometry' END, CASE WHEN road >= 10 THEN 'Good road access' END) AS highlights,
+        concat_ws('; ', CASE WHEN bathymetry = 0 THEN 'No bathymetry data available' END, CASE WHEN road = 0 THEN 'Remote — no nearby road access' END, CASE WHEN exposure_arc_deg < 60 THEN 'Limited ocean exposure' END) AS caveats FROM s""",
     )
 )
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arc, total = F.col("exposure_arc_deg"), F.col("total_score")
-    texts = lambda *pairs: F.array_join(F.array_compact(F.array(*(F.when(c, t) for c, t in pairs))), "; ")
-    return adapters.segments(spark, sf_dir).select(
+    """What the scores of each segment rest on, in words."""
+    s = adapters.segments(spark, sf_dir).join(_depths(spark, sf_dir), "segment_id")
+    swell = rounded(geometry.swell_exposure(F.col("orientation_deg"), F.col("exposure_arc_deg")), 1)
+    road = geometry.road_access((F.col("segment_id") * 31 % 6000).cast("double"))
+    bathymetry = rounded(geometry.bathymetry(F.col("n_wet"), F.col("slope")), 1)
+    return s.select(
         "segment_id",
         F.format_string("ns-seg-%05d", "segment_id").alias("code"),
-        texts((arc >= 120, "wide open"), (total >= 70, "high score")).alias("highlights"),
-        texts((arc < 30, "sheltered"), (total < 20, "low score")).alias("caveats"),
+        labels.facing_text(F.col("orientation_deg"), geometry.facing_share(F.col("orientation_deg"))).alias("facing"),
+        F.array_join(labels.highlights(swell, F.col("total_score") / 4, road), "; ").alias("highlights"),
+        F.array_join(labels.caveats(bathymetry, road, F.col("exposure_arc_deg")), "; ").alias("caveats"),
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import geometry
+from tidemark.functions import geometry, labels
+from tidemark.functions.rounding import rounded
 from tidemark.operators import atlas, spatial
 from tidemark.plans.registry import query
 from tidemark.sources import adapters
@@ -67,16 +68,17 @@ ORIGIN_SQL = ", origin AS (SELECT line_id AS origin, x, y, CAST(line_id * 37 % 3
         "poly",
         EDGE_SQL
         + ORIGIN_SQL
-        + """, short AS (SELECT * FROM edge WHERE i % 8 = 0), ray AS (SELECT *, x + sin(radians(facing + turn)) * 500 AS qx, y + cos(radians(facing + turn)) * 500 AS qy FROM (SELECT *, unnest(range(-90, 91, 5)) AS turn FROM origin)),
-        c AS (SELECT origin, turn, x, y, qx - x AS rx, qy - y AS ry, ax, ay, bx - ax AS sx, yb - ay AS sy FROM ray, short),
+        + """, met AS (SELECT origin, facing, x, y, ax, ay, bx, yb FROM origin, edge WHERE least(ax, bx) <= x + 500 AND greatest(ax, bx) >= x - 500 AND least(ay, yb) <= y + 500 AND greatest(ay, yb) >= y - 500),
+        ray AS (SELECT *, x + sin(radians(facing + turn)) * 500 AS qx, y + cos(radians(facing + turn)) * 500 AS qy FROM (SELECT *, unnest(range(-90, 91, 5)) AS turn FROM met)),
+        c AS (SELECT origin, turn, x, y, qx - x AS rx, qy - y AS ry, ax, ay, bx - ax AS sx, yb - ay AS sy FROM ray),
         h AS (SELECT DISTINCT origin, turn FROM (SELECT *, rx * sy - ry * sx AS det FROM c) WHERE abs(det) > 1e-12 AND ((ax - x) * sy - (ay - y) * sx) / det * 500 > 1 AND ((ax - x) * sy - (ay - y) * sx) / det <= 1
             AND ((ax - x) * ry - (ay - y) * rx) / det BETWEEN 0 AND 1)
         SELECT o.origin, CAST((37 - count(turn)) * 5 AS BIGINT) AS exposure_arc_deg FROM origin o LEFT JOIN h USING (origin) GROUP BY o.origin""",
     )
 )
 def exposure_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """37 rays of 500 m from the head of each line against every eighth edge of all lines."""
-    return spatial.exposure_arc(_origins(spark, sf_dir), _edges(spark, sf_dir).where("i % 8 = 0"), "origin", "facing", 500.0)
+    """37 rays of 500 m from the head of each line against the edges of all lines."""
+    return spatial.exposure_arc(_origins(spark, sf_dir), _edges(spark, sf_dir), "origin", "facing", 500.0)
 
 
 @query(
@@ -84,14 +86,14 @@ def exposure_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "poly",
         EDGE_SQL
         + ORIGIN_SQL
-        + """, c AS (SELECT origin, line_id, x, y, ax, ay, bx, yb, greatest(0, least(1, coalesce(((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / nullif(length * length, 0), 0))) AS t FROM origin, edge WHERE i % 8 = 0),
+        + """, c AS (SELECT origin, line_id, x, y, ax, ay, bx, yb, greatest(0, least(1, coalesce(((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / nullif(length * length, 0), 0))) AS t FROM origin, edge),
         d AS (SELECT origin, line_id, min(sqrt((x - ax - t * (bx - ax)) * (x - ax - t * (bx - ax)) + (y - ay - t * (yb - ay)) * (y - ay - t * (yb - ay)))) AS d FROM c GROUP BY ALL)
         SELECT origin, line_id, round(d, 3) AS distance FROM d WHERE d <= 40""",
     )
 )
 def grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines within 40 m of the heads of lines."""
-    found = spatial.within(_origins(spark, sf_dir), _edges(spark, sf_dir).where("i % 8 = 0"), "origin", "line_id", 40.0)
+    found = spatial.within(_origins(spark, sf_dir), _edges(spark, sf_dir), "origin", "line_id", 40.0)
     return found.withColumn("distance", F.round("distance", 3))
 
 
@@ -100,7 +102,7 @@ def grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "poly",
         EDGE_SQL
         + ORIGIN_SQL
-        + """, q AS (SELECT origin, (bx - ax) * (bx - ax) + (yb - ay) * (yb - ay) AS a, 2 * ((ax - x) * (bx - ax) + (ay - y) * (yb - ay)) AS b, (ax - x) * (ax - x) + (ay - y) * (ay - y) AS c FROM origin, edge WHERE i % 8 = 0),
+        + """, q AS (SELECT origin, (bx - ax) * (bx - ax) + (yb - ay) * (yb - ay) AS a, 2 * ((ax - x) * (bx - ax) + (ay - y) * (yb - ay)) AS b, (ax - x) * (ax - x) + (ay - y) * (ay - y) AS c FROM origin, edge),
         r AS (SELECT origin, a, """
         + ", ".join(
             f"CASE WHEN b * b - 4 * a * (c - {r * r}) > 0 THEN greatest(0, least(1, (-b + sqrt(greatest(b * b - 4 * a * (c - {r * r}), 0))) / (2 * a)) - greatest(0, (-b - sqrt(greatest(b * b - 4 * a * (c - {r * r}), 0))) / (2 * a))) * sqrt(a) ELSE 0 END AS in_{r}"
@@ -111,7 +113,7 @@ def grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def ring_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spatial.annulus_length(_origins(spark, sf_dir), _edges(spark, sf_dir).where("i % 8 = 0"), "origin", 50.0, 100.0)
+    r = spatial.annulus_length(_origins(spark, sf_dir), _edges(spark, sf_dir), "origin", 50.0, 100.0)
     score = geometry.shape_score(F.col("ring_length"), F.lit(0.1))
     return r.select("origin", F.round("ring_length", 2).alias("ring_length"), F.round(score, 3).alias("shape_score"))
 
@@ -122,27 +124,102 @@ def ring_length(spark: SparkSession, sf_dir: str) -> DataFrame:
         EDGE_SQL
         + ORIGIN_SQL
         + """, t AS (SELECT origin, facing, turn, x + sin(radians(facing + turn)) * 200 AS x, y + cos(radians(facing + turn)) * 200 AS y FROM (SELECT *, unnest([90, -90]) AS turn FROM origin)),
-        c AS (SELECT origin, facing, turn, x, y, ax, ay, bx, yb, greatest(0, least(1, coalesce(((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / nullif(length * length, 0), 0))) AS u FROM t, edge WHERE i % 8 = 0),
+        c AS (SELECT origin, facing, turn, x, y, ax, ay, bx, yb, greatest(0, least(1, coalesce(((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / nullif(length * length, 0), 0))) AS u FROM t, edge),
         d AS (SELECT origin, facing, turn, min(sqrt((x - ax - u * (bx - ax)) * (x - ax - u * (bx - ax)) + (y - ay - u * (yb - ay)) * (y - ay - u * (yb - ay)))) AS d FROM c GROUP BY ALL)
         SELECT origin, (facing + turn + 360) % 360 AS normal_deg FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY CASE WHEN d <= 100 THEN round(d, 6) ELSE 1e9 END DESC, turn DESC) AS r FROM d) WHERE r = 1""",
     )
 )
 def seaward_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.seaward_normal(_origins(spark, sf_dir), _edges(spark, sf_dir).where("i % 8 = 0"), "origin", "facing", 100.0)
+    return spatial.seaward_normal(_origins(spark, sf_dir), _edges(spark, sf_dir), "origin", "facing", 100.0)
 
 
 @query(
     with_views(
         "seg known",
         """, d AS (SELECT segment_id, spot_id, sqrt((s.lon - k.lon) * (s.lon - k.lon) + (s.lat - k.lat) * (s.lat - k.lat)) AS d FROM seg s, known k)
-        SELECT segment_id, arg_min(spot_id, round(d, 9) * 1000 + spot_id / 1e9) AS spot_id, round(min(d), 6) AS distance FROM d WHERE d <= 0.5 GROUP BY segment_id""",
+        SELECT segment_id, arg_min(spot_id, (round(d, 9), spot_id)) AS spot_id, round(min(d), 6) AS distance FROM d WHERE d <= 0.5 GROUP BY segment_id""",
     )
 )
 def nearest_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest known spot within half a degree of each segment, through cells."""
+    """The nearest known spot within half a degree of each segment."""
     points = adapters.segments(spark, sf_dir).select("segment_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     spots = adapters.known_spots(spark, sf_dir).select("spot_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return spatial.nearest_by_cells(points, spots, "segment_id", "spot_id", 0.5).withColumn("distance", F.round("distance", 6))
+    return spatial.nearest(points, spots, "segment_id", "spot_id", 0.5).withColumn("distance", F.round("distance", 6))
+
+
+DISTANCE_SQL = "sqrt((x - ax - t * (bx - ax)) * (x - ax - t * (bx - ax)) + (y - ay - t * (yb - ay)) * (y - ay - t * (yb - ay)))"
+ALONG_SQL = "greatest(0, least(1, coalesce(((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / nullif(length * length, 0), 0)))"
+
+
+@query(
+    with_views(
+        "poly",
+        EDGE_SQL
+        + ORIGIN_SQL
+        + f""", c AS (SELECT origin, line_id, i, x, y, ax, ay, bx, yb, length, start, {ALONG_SQL} AS t FROM (SELECT origin, x + 37 AS x, y + 53 AS y FROM origin), edge),
+        d AS (SELECT *, {DISTANCE_SQL} AS d FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY round(d, 9), line_id, i) AS r FROM d WHERE d <= 100),
+        f AS (SELECT origin, line_id, d, (start + t * length) / total AS fraction FROM n JOIN (SELECT line_id, sum(length) AS total FROM edge GROUP BY line_id) USING (line_id) WHERE r = 1)
+        SELECT origin, line_id, round(d, 3) AS distance, round(fraction, 6) AS fraction, row_number() OVER (PARTITION BY line_id ORDER BY round(fraction, 6), origin) AS place FROM f""",
+    )
+)
+def chain_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line nearest to a place beside the head of each line, within 100 m, and the places' order along it."""
+    places = _origins(spark, sf_dir).select("origin", (F.col("x") + 37).alias("x"), (F.col("y") + 53).alias("y"))
+    found = spatial.nearest_line(places, _edges(spark, sf_dir), "origin", "line_id", 100.0)
+    found = found.withColumns({"distance": F.round("distance", 3), "fraction": F.round("fraction", 6)})
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("line_id").orderBy("fraction", "origin")))
+
+
+ROAD_SQL = f""", c AS (SELECT origin, x, y, ax, ay, bx, yb, {ALONG_SQL} AS t FROM (SELECT origin, x - 90 AS x, y - 2000 AS y FROM origin), edge),
+    near AS (SELECT origin, min(d) AS d FROM (SELECT origin, {DISTANCE_SQL} AS d FROM c) WHERE d <= 5000 GROUP BY origin)"""
+
+
+@query(
+    with_views(
+        "poly",
+        EDGE_SQL
+        + ORIGIN_SQL
+        + ROAD_SQL
+        + """ SELECT origin, round(d, 3) AS distance, round(CASE WHEN d IS NULL OR d >= 5000 THEN 0 WHEN d <= 200 THEN 15.0 ELSE 15 * (1 - (d - 200) / 4800) END + 1e-9, 1) AS road_access_score,
+        CASE WHEN d IS NULL THEN 'No road within 5km' WHEN d <= 200 THEN 'Road access within ' || CAST(CAST(round_even(d, 0) AS BIGINT) AS VARCHAR) || 'm' ELSE 'Road ' || CAST(CAST(round_even(d, 0) AS BIGINT) AS VARCHAR) || 'm away' END AS text
+        FROM origin LEFT JOIN near USING (origin)""",
+    )
+)
+def road_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of a place south of each line's head to the nearest line, as a road, within 5 km, its score and text."""
+    heads = _origins(spark, sf_dir)
+    places = heads.select("origin", (F.col("x") - 90).alias("x"), (F.col("y") - 2000).alias("y"))
+    near = spatial.nearest_line(places, _edges(spark, sf_dir), "origin", "line_id", 5000.0, 500.0).select("origin", "distance")
+    joined = heads.select("origin").join(near, "origin", "left")
+    return joined.select("origin", F.round("distance", 3).alias("distance"), rounded(geometry.road_access(F.col("distance")), 1).alias("road_access_score"), labels.road_text(F.col("distance")).alias("text"))
+
+
+@query(
+    with_views(
+        "poly",
+        EDGE_SQL
+        + ORIGIN_SQL
+        + f""", p AS (SELECT origin * 8 + k AS point, x + sin(radians(facing + 180 * (k % 2))) * (30 + 60 * (k // 2)) AS x, y + cos(radians(facing + 180 * (k % 2))) * (30 + 60 * (k // 2)) AS y FROM (SELECT *, unnest(range(8)) AS k FROM origin)),
+        m AS (SELECT e.*, sin(radians(o.facing + 180)) * 200 AS dx, cos(radians(o.facing + 180)) * 200 AS dy FROM edge e JOIN origin o ON o.origin = e.line_id),
+        n AS (SELECT point, line_id, min({DISTANCE_SQL}) AS near FROM (SELECT point, line_id, x, y, ax, ay, bx, yb, {ALONG_SQL} AS t FROM p, m) GROUP BY ALL),
+        l AS (SELECT point, line_id, min({DISTANCE_SQL}) AS land FROM (SELECT point, line_id, x, y, ax, ay, bx, yb, {ALONG_SQL} AS t FROM (SELECT point, line_id, x, y, length, ax + dx AS ax, ay + dy AS ay, bx + dx AS bx, yb + dy AS yb FROM p, m)) GROUP BY ALL)
+        SELECT point, line_id FROM n JOIN l USING (point, line_id) WHERE near <= 200 AND land > 100""",
+    )
+)
+def seaward_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places before and behind the head of each line that lie in a line's seaward buffer of 200 m."""
+    heads = _origins(spark, sf_dir)
+    k = heads.select("origin", "x", "y", "facing", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    px, py = geometry.ray_end(F.col("x"), F.col("y"), 30 + 60 * F.floor(F.col("k") / 2), F.col("facing") + 180 * (F.col("k") % 2))
+    points = k.select((F.col("origin") * 8 + F.col("k")).alias("point"), px.alias("x"), py.alias("y"))
+    faced = _edges(spark, sf_dir).join(heads.select(F.col("origin").alias("line_id"), "facing"), "line_id")
+    return spatial.seaward_side(points, faced, "point", "line_id", "facing", 200.0)
+
+
+@query(with_views("seg", " SELECT segment_id, round(200 / (111000 * cos(radians(44.6::DOUBLE))) * sin(radians((orientation_deg + 180) % 360)), 9) AS east, round(200 / 111000::DOUBLE * cos(radians((orientation_deg + 180) % 360)), 9) AS north FROM seg"))
+def landward_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    east, north = geometry.landward_offset(F.col("orientation_deg"))
+    return adapters.segments(spark, sf_dir).select("segment_id", F.round(east, 9).alias("east"), F.round(north, 9).alias("north"))
 
 
 _TM = """SELECT segment_id, lon, lat, radians(lat) AS phi, radians(lon + 63) AS lam FROM seg"""

@@ -13,15 +13,15 @@ from tidemark.sources.adapters import table, with_views
 
 KEYS = ["spot_id", "scene_date"]
 SCENE_SQL = """, sf AS (SELECT spot_id, scene_date, count(*) AS segment_count, count(foam) AS valid_segments, round(max(foam), 4) AS max_foam, round(avg(foam) + 1e-9, 4) AS mean_foam,
-        list_sort(list(foam) FILTER (foam IS NOT NULL))[count(foam) // 2 + 1] AS median_foam, arg_min(swell_height_m, pos) AS swell_height_m, coalesce(nullif(first(swell_period_s ORDER BY pos), 0), 8) AS swell_period_s,
-        arg_min(swell_direction_deg, pos) AS swell_direction_deg, first(quality_score ORDER BY pos) AS quality_score
-        FROM (SELECT *, CASE WHEN coalesce(water_pixel_count, 0) >= 50 THEN foam_fraction END AS foam FROM scene) GROUP BY spot_id, scene_date HAVING count(foam) > 0 AND first(swell_height_m ORDER BY pos) IS NOT NULL)"""
+        list_sort(list(foam) FILTER (foam IS NOT NULL))[count(foam) // 2 + 1] AS median_foam, arg_min(swell_height_m, (pos, segment_id, supplier_id)) AS swell_height_m, coalesce(nullif(first(swell_period_s ORDER BY pos, segment_id, supplier_id), 0), 8) AS swell_period_s,
+        arg_min(swell_direction_deg, (pos, segment_id, supplier_id)) AS swell_direction_deg, first(quality_score ORDER BY pos, segment_id, supplier_id) AS quality_score
+        FROM (SELECT *, CASE WHEN coalesce(water_pixel_count, 0) >= 50 THEN foam_fraction END AS foam FROM scene) GROUP BY spot_id, scene_date HAVING count(foam) > 0 AND first(swell_height_m ORDER BY pos, segment_id, supplier_id) IS NOT NULL)"""
 GALLERY_SQL = "CASE " + " ".join(f"WHEN swell_height_m >= {a} AND swell_height_m < {b} THEN '{n}'" for a, b, n in zip(labels.GALLERY_EDGES, labels.GALLERY_EDGES[1:], labels.GALLERY_LABELS, strict=False)) + " END"
 LONG_SQL = "CASE WHEN coalesce(swell_period_s, 0) >= 8 THEN 0 ELSE 1 END"
 
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenes.scene_foam(adapters.scenes(spark, sf_dir), KEYS, "pos")
+    return scenes.scene_foam(adapters.scenes(spark, sf_dir), KEYS, F.struct(*adapters.ORDER))
 
 
 @query(with_views("det scene", SCENE_SQL + " SELECT * FROM sf"))
@@ -97,13 +97,13 @@ def tide_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS target FROM orders WHERE o_orderkey % 10 = 0), c AS (SELECT o_orderkey AS scene_id, o_orderdate AS ts, o_totalprice AS cloud FROM orders WHERE o_totalprice < 100000)
+    """WITH t AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS target FROM orders), c AS (SELECT o_orderkey AS scene_id, o_orderdate AS ts, o_totalprice AS cloud FROM orders WHERE o_totalprice < 100000)
     SELECT CAST(target AS DATE) AS target, scene_id, cloud FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY cloud, scene_id) AS r FROM t JOIN c ON ts >= target - INTERVAL 3 DAY AND ts < target + INTERVAL 3 DAY) WHERE r = 1"""
 )
 def scene_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least cloudy scene within three days of a target day."""
+    """Least cloudy scene within three days of each day that has a scene."""
     orders = table(spark, sf_dir, "orders")
-    targets = orders.where("o_orderkey % 10 = 0").select(F.to_date("o_orderdate").alias("target")).distinct()
+    targets = orders.select(F.to_date("o_orderdate").alias("target")).distinct()
     candidates = orders.where("o_totalprice < 100000").select(F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("cloud"))
     return series.asof_best(targets, candidates, "target", "ts", 3, ["cloud", "scene_id"], []).select("target", "scene_id", "cloud")
 

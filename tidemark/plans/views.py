@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import labels
 from tidemark.functions.rounding import rounded
-from tidemark.operators import profiles, views
+from tidemark.operators import profiles, series, views
+from tidemark.operators.scenes import top_in_group
 from tidemark.plans.evidence import COMPOSITE_SQL, PROFILE_SQL, scored_segments
 from tidemark.plans.registry import query
 from tidemark.plans.scene_plans import SCENE_SQL, _scenes
-from tidemark.sources import adapters
+from tidemark.sources import adapters, documents
 from tidemark.sources.adapters import table, with_views
 
 
@@ -156,7 +157,71 @@ def detections_with_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("segment_id", "spot_id", "scene_date", "pos", "turn_on_threshold_m", (F.col("swell_height_m") >= F.col("turn_on_threshold_m")).alias("above"))
 
 
-@query(with_views("det", " SELECT segment_id, scene_date, swell_height_m, round(avg(foam_fraction) OVER (PARTITION BY segment_id ORDER BY scene_date, pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) + 1e-9, 4) AS recent_foam FROM det"))
+@query(with_views("det", " SELECT segment_id, scene_date, swell_height_m, round(avg(foam_fraction) OVER (PARTITION BY segment_id ORDER BY scene_date, pos, supplier_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) + 1e-9, 4) AS recent_foam FROM det"))
 def recent_foam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("segment_id").orderBy("scene_date", "pos").rowsBetween(-2, 0)
+    w = Window.partitionBy("segment_id").orderBy("scene_date", "pos", "supplier_id").rowsBetween(-2, 0)
     return adapters.detections(spark, sf_dir).select("segment_id", "scene_date", "swell_height_m", rounded(F.avg("foam_fraction").over(w), 4).alias("recent_foam"))
+
+
+@query(
+    with_views(
+        "det daily",
+        """, d AS (SELECT spot_id, scene_date, dayofyear(scene_date) AS doy, count(*) AS n, round(avg(foam_fraction) + 1e-9, 4) AS mean_foam FROM det GROUP BY ALL)
+        SELECT spot_id, scene_date, n, mean_foam, m.value AS marine, w.value AS weather FROM d LEFT JOIN (SELECT * FROM daily WHERE kind = 'click') m USING (doy) LEFT JOIN (SELECT * FROM daily WHERE kind = 'view') w USING (doy)""",
+    )
+)
+def conditions_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes with the marine and the weather reading of their day of the year; days without one are null.
+    A dimension has one row a day of the year, so Spark broadcasts it."""
+    scenes = adapters.detections(spark, sf_dir).groupBy("spot_id", "scene_date").agg(F.count("*").alias("n"), rounded(F.avg("foam_fraction"), 4).alias("mean_foam"))
+    keyed = scenes.withColumn("doy", F.dayofyear("scene_date"))
+    for name, kind in (("marine", "click"), ("weather", "view")):
+        keyed = keyed.join(adapters.daily(spark, sf_dir, kind).withColumnRenamed("value", name), "doy", "left")
+    return keyed.select("spot_id", "scene_date", "n", "mean_foam", "marine", "weather")
+
+
+@query("""WITH d AS (SELECT user_id AS station, CAST(ts AS DATE) AS day FROM events), s AS (SELECT *, CASE WHEN day < DATE '2024-01-25' - INTERVAL 5 DAY THEN 'archive' ELSE 'forecast' END AS source FROM d)
+    SELECT station, source, strftime(day, '%Y-%m') AS month, min(day) AS first_day, max(day) AS last_day, count(DISTINCT day) AS n_days FROM s GROUP BY ALL""")
+def weather_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request a station, source and month: days older than five days come from the archive."""
+    days = table(spark, sf_dir, "events").select(F.col("user_id").alias("station"), F.to_date("ts").alias("day"))
+    return series.request_batches(days, "station", "day", F.to_date(F.lit("2024-01-25")))
+
+
+@query(
+    with_views(
+        "seg",
+        """, t AS (SELECT chain, list(segment_id ORDER BY segment_id) AS ids FROM seg GROUP BY chain), s AS (SELECT *, len(ids) AS n FROM t)
+        SELECT chain, n, array_to_string(ids[:3], ', ') || CASE WHEN n > 3 THEN ' +' || (n - 3) || ' more' ELSE '' END AS head FROM s""",
+    )
+)
+def section_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three segments of each chain and how many more it has; only those are kept, whatever its size."""
+    seg = adapters.segments(spark, sf_dir).select("chain", "segment_id")
+    sizes = seg.groupBy("chain").agg(F.count("*").alias("n"))
+    first = top_in_group(seg, ["chain"], [F.col("segment_id")], 3).groupBy("chain").agg(F.sort_array(F.collect_list("segment_id")).alias("ids"))
+    return first.join(sizes, "chain").select("chain", "n", labels.head_of(F.col("ids").cast("array<string>"), 3, F.col("n")).alias("head"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'undated' WHEN o_orderkey % 11 = 0 THEN '2024-13-45' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, o_orderdate, o_orderkey % 83 AS h, o_orderkey % 4 AS state FROM orders)
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN day ELSE strftime(o_orderdate, '%B %-d, %Y') END AS long_date, o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AS is_date,
+    'spot-' || (o_orderkey % 20) || '_' || strftime(o_orderdate, '%Y-%m-%d') || '_' || printf('%.1f', h / 10) || 'm_rgb_annotated.png' AS file, CASE state WHEN 1 THEN '▲' WHEN 2 THEN '▼' WHEN 3 THEN '◆' ELSE '' END AS tide,
+    'spot-' || (o_orderkey % 20) AS slug FROM o"""
+)
+def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, file names, slugs and tide signs as they are shown."""
+    key = F.col("o_orderkey")
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.when(key % 7 == 0, "undated").when(key % 11 == 0, "2024-13-45").otherwise(iso)
+    slug = F.concat(F.lit("spot-"), (key % 20).cast("string"))
+    state = F.get(F.array(*map(F.lit, ("unknown", "high", "low", "mid"))), (key % 4).cast("int"))
+    path = F.concat(F.lit("out/"), slug, F.lit("_foam_detections.json"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        labels.long_date(day).alias("long_date"),
+        views.is_date(day).alias("is_date"),
+        labels.scene_name(slug, F.col("o_orderdate"), (key % 83) / 10, "rgb", "_annotated").alias("file"),
+        labels.tide_glyph(state).alias("tide"),
+        documents.slug_of(path, "_foam_detections").alias("slug"),
+    )

@@ -31,9 +31,14 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_orderkey") % 50 == 0, None).otherwise(100.0 - 6 * F.round(F.col("l_tax") * 100)).alias("quality_score"),
         (F.floor("l_extendedprice") % 200).alias("water_pixel_count"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.col("l_suppkey").alias("supplier_id"),
     )
 
 
+# What tells detections apart: numbers of order and line repeat in ``lineitem``.
+ORDER = ("pos", "segment_id", "supplier_id")
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     return part.select(
@@ -48,7 +53,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = table(spark, sf_dir, "supplier").where("s_suppkey <= 14")
+    supplier = table(spark, sf_dir, "supplier")
     return supplier.select(
         F.col("s_suppkey").alias("spot_id"),
         F.col("s_name").alias("name"),
@@ -83,10 +88,27 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One open line for each vector: vertex i is (1000 x, 1000 y) of its i-th pair, in metres."""
-    vec = table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0")
+    """One open line for each vector: vertex i is (1000 x, 1000 y) of its i-th pair, in
+    metres, around a place of its own on a grid of 400 m, so that lines crowd no more on
+    a large table than on a small one."""
+    vec = table(spark, sf_dir, "embeddings")
     at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.element_at("embedding", i * 2 + 1).alias("x"), F.element_at("embedding", i * 2 + 2).alias("y"))))
-    return vec.select(F.col("vec_id").alias("line_id"), at.alias("i", "v")).select("line_id", "i", (F.col("v.x").cast("double") * 1000).alias("x"), (F.col("v.y").cast("double") * 1000).alias("y"))
+    east, north = F.col("line_id") % 1000 * 400, F.floor(F.col("line_id") / 1000) * 400
+    return vec.select(F.col("vec_id").alias("line_id"), at.alias("i", "v")).select("line_id", "i", (F.col("v.x").cast("double") * 1000 + east).alias("x"), (F.col("v.y").cast("double") * 1000 + north).alias("y"))
+
+
+def elevations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raster of 500 rows (0.0076 degrees apart) by 64 columns (0.116 degrees apart), in
+    metres; of the vectors of a row the last one counts."""
+    vec = table(spark, sf_dir, "embeddings")
+    cell = vec.select("vec_id", (F.col("vec_id") % 500).alias("iy"), F.posexplode("embedding").alias("ix", "v"))
+    return cell.groupBy("iy", "ix").agg((F.round(F.max_by("v", "vec_id").cast("double") * 400) - 20).alias("elevation"))
+
+
+def daily(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Reading of each day of the year: the last event of one kind on it."""
+    rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    return rows.groupBy(F.dayofyear("ts").alias("doy")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
 CTE = {
@@ -96,7 +118,7 @@ CTE = {
                CAST((l_suppkey * 37 + l_linenumber * 11) % 360 AS DOUBLE) AS swell_direction_deg,
                CAST(round(l_discount * 100) AS INT) * CAST(round(l_discount * 100) AS INT) * 9 / 1000 AS foam_fraction,
                CASE WHEN l_orderkey % 50 = 0 THEN NULL ELSE 100.0 - 6 * round(l_tax * 100) END AS quality_score,
-               CAST(floor(l_extendedprice) AS BIGINT) % 200 AS water_pixel_count, l_orderkey * 10 + l_linenumber AS pos
+               CAST(floor(l_extendedprice) AS BIGINT) % 200 AS water_pixel_count, l_orderkey * 10 + l_linenumber AS pos, l_suppkey AS supplier_id
         FROM lineitem)""",
     "seg": """seg AS (
         SELECT p_partkey AS segment_id, p_brand AS chain, CAST(p_partkey * 137 % 360 AS DOUBLE) AS orientation_deg,
@@ -105,9 +127,9 @@ CTE = {
         FROM part)""",
     "known": """known AS (
         SELECT s_suppkey AS spot_id, s_name AS name, 43.3::DOUBLE + (s_suppkey * 271 % 3800) / 1000 AS lat, -67.0::DOUBLE + (s_suppkey * 523 % 7400) / 1000 AS lon
-        FROM supplier WHERE s_suppkey <= 14)""",
+        FROM supplier)""",
     "scene": """scene AS (
-        SELECT segment_id, spot_id, scene_date, swell_direction_deg, foam_fraction, quality_score, water_pixel_count, pos,
+        SELECT segment_id, spot_id, scene_date, swell_direction_deg, foam_fraction, quality_score, water_pixel_count, pos, supplier_id,
                ((datediff('day', DATE '1970-01-01', scene_date) * 37 + spot_id * 7) % 60) / 10 AS swell_height_m,
                CAST(4 + (datediff('day', DATE '1970-01-01', scene_date) + spot_id) % 9 AS DOUBLE) AS swell_period_s
         FROM det)""",
@@ -117,8 +139,13 @@ CTE = {
         FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings))""",
     "hourly": "hourly AS (SELECT event_id, user_id AS station, ts, event_type, value, props FROM events)",
     "poly": """poly AS (
-        SELECT vec_id AS line_id, i, CAST(embedding[i * 2 + 1] AS DOUBLE) * 1000 AS x, CAST(embedding[i * 2 + 2] AS DOUBLE) * 1000 AS y
-        FROM (SELECT vec_id, embedding, unnest(range(32)) AS i FROM embeddings WHERE vec_id % 5 = 0))""",
+        SELECT vec_id AS line_id, i, CAST(embedding[i * 2 + 1] AS DOUBLE) * 1000 + vec_id % 1000 * 400 AS x, CAST(embedding[i * 2 + 2] AS DOUBLE) * 1000 + vec_id // 1000 * 400 AS y
+        FROM (SELECT vec_id, embedding, unnest(range(32)) AS i FROM embeddings))""",
+    "elev": """elev AS (
+        SELECT iy, ix, round(CAST(arg_max(v, vec_id) AS DOUBLE) * 400) - 20 AS elevation
+        FROM (SELECT vec_id, vec_id % 500 AS iy, unnest(range(len(embedding))) AS ix, unnest(embedding) AS v FROM embeddings) GROUP BY iy, ix)""",
+    "daily": """daily AS (
+        SELECT event_type AS kind, dayofyear(ts) AS doy, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL)""",
 }
 
 
