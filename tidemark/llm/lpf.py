@@ -12,8 +12,9 @@ Equal windows have the same anchor at the same offset, so a suffix only needs
 to meet suffixes with its anchor, about one place in 16 bytes. Documents are
 dealt into blocks of about ``BLOCK_BYTES`` and three rounds follow.
 
-1. Each block sends its distinct anchor hashes, one row each, and Spark groups them by
-   hash: those in two documents or more are told to the blocks that have them.
+1. Each block sends the keys (hashes of 48 bits) of its anchors, one row of two numbers
+   for each, and Spark groups them: those in two blocks, or two documents of one, are
+   told to the blocks that have them.
 2. Each block sends the surroundings of such anchors, each distinct one once with
    its smallest document: copies collapse before the shuffle. Grouped by anchor, the
    suffixes are sorted and their previous factors computed. An anchor in more
@@ -56,6 +57,8 @@ SIDE = LENGTH + SPREAD  # bytes around an anchor that its windows cover
 BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 128 << 10
 HOT = 4096
+KEY_BITS = 48
+PLACES = (1 << 15) - 1  # what fits beside the block in a row of round 1
 LAST = np.iinfo(np.int64).max
 _P = np.array([0x9E3779B97F4A7C15], np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -154,14 +157,18 @@ class Block:
                 got |= (padded[here + SPREAD - o] == h[here]).astype(np.uint32) << np.uint32(o)
             bits.append(got)
 
-    def unique_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct hashes, smallest and largest document id of each, and its places."""
-        distinct, which = np.unique(self.hash, return_inverse=True)
+    def keys(self) -> np.ndarray:
+        """KEY_BITS of each anchor's hash. More anchors than stand elsewhere may seem to: round 2 compares bytes."""
+        return (self.hash >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys, and for each 2 * places (as far as PLACES) and 1 if in several documents."""
+        distinct, which = np.unique(self.keys(), return_inverse=True)
         low = np.full(len(distinct), LAST, np.int64)
         high = np.full(len(distinct), np.iinfo(np.int64).min, np.int64)
         np.minimum.at(low, which, self.doc_ids[self.doc])
         np.maximum.at(high, which, self.doc_ids[self.doc])
-        return distinct, low, high, np.bincount(which, minlength=len(distinct))
+        return distinct, 2 * np.minimum(np.bincount(which, minlength=len(distinct)), PLACES) + (low < high)
 
     def surroundings(self, at: np.ndarray) -> np.ndarray:
         """SIDE bytes from SPREAD before each place; zeros outside the document."""
@@ -243,7 +250,7 @@ def previous_factors(heads: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-_ANCHORS = "hash long, block int, low long, high long, places int"
+_ANCHORS = "key long, at long"
 _TOLD = "block long, kind int, item long, bits int"
 _SENT = "kind int, hash long, block int, item int, around binary, mask int, low long"
 _OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -273,8 +280,8 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
 def _anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     block = Block(table)
     block.anchors(masks=False)
-    distinct, low, high, places = block.unique_hashes()
-    return _table(_ANCHORS, [distinct.view(np.int64), np.full(len(distinct), key[0].as_py(), np.int32), low, high, places])
+    distinct, found = block.distinct_keys()
+    return _table(_ANCHORS, [distinct, key[0].as_py() * 2 * (PLACES + 1) + found])
 
 
 class Asked:
@@ -284,13 +291,13 @@ class Asked:
         block.anchors(masks=True)
         self.block = block
         rows = told.filter(pa.compute.equal(told.column("kind"), TOLD))
-        known = rows.column("item").to_numpy().view(np.uint64)
+        known = rows.column("item").to_numpy()
         order = np.argsort(known)
-        known, hot = known[order], rows.column("bits").to_numpy()[order]
-        flag = np.zeros(len(block.hash), np.int64)
+        known, hot, keys = known[order], rows.column("bits").to_numpy()[order], block.keys()
+        flag = np.zeros(len(keys), np.int64)
         if len(known):
-            near = np.minimum(np.searchsorted(known, block.hash), len(known) - 1)
-            flag = np.where(known[near] == block.hash, 1 + hot[near], 0)
+            near = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            flag = np.where(known[near] == keys, 1 + hot[near], 0)
         # Surroundings of the anchors that stand elsewhere too, each distinct one once.
         self.at = np.flatnonzero(flag > 0)
         self.docs = block.doc_ids[block.doc[self.at]]
@@ -471,9 +478,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _shared(anchors: DataFrame, hot: int) -> DataFrame:
-    """The anchors that stand in two documents or more, for each of their blocks."""
-    # A hash has at most one row a block, of a few bytes; Spark spills a long run of them.
-    same = Window.partitionBy("hash")
-    found = anchors.select("hash", "block", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.sum("places").over(same).alias("places"))
-    found = found.where("low < high")
-    return found.select(F.col("block").cast("long").alias("block"), F.lit(TOLD).alias("kind"), F.col("hash").alias("item"), (F.col("places") >= hot).cast("int").alias("bits"))
+    """The anchors that stand in two blocks, or documents of one, or more, for each of their blocks."""
+    # A key has at most one row of two numbers a block; Spark spills a long run of them.
+    same = Window.partitionBy("key")
+    found = F.col("at") % (2 * (PLACES + 1))
+    rows = anchors.select("key", "at", F.count("*").over(same).alias("n"), F.max(found % 2).over(same).alias("several"), F.sum(F.floor(found / 2)).over(same).alias("places"))
+    rows = rows.where((F.col("n") > 1) | (F.col("several") > 0))
+    return rows.select(F.floor(F.col("at") / (2 * (PLACES + 1))).cast("long").alias("block"), F.lit(TOLD).alias("kind"), F.col("key").alias("item"), (F.col("places") >= hot).cast("int").alias("bits"))
