@@ -111,6 +111,17 @@ ORACLE_SQL = {
             coalesce(array_to_string(lists, ','), '') AS lists, coalesce(array_to_string(keys, ','), '') AS matched_keys
         FROM p LEFT JOIN f USING (page_id)
     """,
+    "op2_repeated_passages": """
+        WITH d AS (SELECT doc_id, octet_length(b) AS n, b FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)),
+        w AS (SELECT doc_id, k, b[k + 1 : k + 50] AS win FROM (SELECT doc_id, b, unnest(range(n - 49)) AS k FROM d WHERE n >= 50)),
+        m AS (SELECT win, min(doc_id) AS low FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+        h AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS prev FROM w JOIN m USING (win) WHERE doc_id > low),
+        g AS (SELECT doc_id, k, sum(CASE WHEN prev IS NULL OR k > prev + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM h),
+        s AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM g GROUP BY doc_id, run),
+        p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+        r AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(p.b - a) AS BIGINT) AS n_removed, string_agg(CASE WHEN a > since THEN hex(d.b[since + 1 : a]) ELSE '' END, '' ORDER BY a) AS kept, max(p.b) AS last FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN kept IS NULL THEN hex(b) ELSE kept || CASE WHEN last < n THEN hex(b[last + 1 : n]) ELSE '' END END)) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+    """,
     "op3_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         b AS (SELECT item_id, iw, least(10, len(iw)) AS n FROM (SELECT item_id, {_WORDS} AS iw FROM benchmark) WHERE len(iw) > 0),
@@ -130,6 +141,26 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op7_line_templates": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+        x AS (SELECT *, array_to_string(list_transform(string_split(trim(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' '), ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ') AS masked FROM t),
+        l AS (SELECT DISTINCT doc_id, masked FROM x WHERE masked <> ''),
+        v0 AS (SELECT masked, string_split(masked, ' ') AS ws, count(*) AS n FROM l GROUP BY masked),
+        v1 AS (SELECT *, len(ws) AS c, ws[1:3] AS head FROM v0),
+        busy AS (SELECT c, head FROM v1 JOIN l USING (masked) GROUP BY c, head HAVING count(DISTINCT doc_id) >= 8),
+        v AS (SELECT * FROM v1 SEMI JOIN busy USING (c, head)),
+        u AS (SELECT masked, c, head, n, unnest(ws) AS w, unnest(range(c)) AS pos FROM v),
+        k AS (SELECT c, head, pos, w, sum(n) AS held FROM u GROUP BY ALL),
+        z AS (SELECT c, head, sum(n) AS every FROM v GROUP BY ALL),
+        f AS (SELECT masked, c, head, share, list(CASE WHEN held >= greatest(8, share * every) THEN w END ORDER BY pos) AS shape
+            FROM u JOIN k USING (c, head, pos, w) JOIN z USING (c, head), (VALUES (0.5::DOUBLE), (0.125::DOUBLE), (0.03125::DOUBLE), (0::DOUBLE)) AS q(share) GROUP BY ALL),
+        of AS (SELECT DISTINCT masked, c, head, shape FROM f WHERE len(list_filter(shape, lambda e: e IS NOT NULL)) >= 0.7::DOUBLE * c UNION SELECT masked, c, head, ws FROM v),
+        common AS (SELECT c, head, shape FROM of JOIN l USING (masked) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 8),
+        gone AS (SELECT DISTINCT masked, true AS gone FROM of SEMI JOIN common USING (c, head, shape))
+        SELECT doc_id, CASE WHEN any_value(text) = '' THEN 0 ELSE count(*) END AS n_lines, count(gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '')) AS kept_sha256
+        FROM x LEFT JOIN gone USING (masked) GROUP BY doc_id
+    """,
 }
 
 
