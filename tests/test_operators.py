@@ -303,3 +303,17 @@ def test_scratch_is_cleared(spark):
     assert scratch.made(spark) == since
     with pytest.raises(Exception, match="."):
         spark.read.parquet(path).count()
+
+
+def test_distribution_interpolates(spark):
+    rng = random.Random(4)
+    for scores_ in ([3.0], [1.0, 2.0], [rng.choice([rng.uniform(-5, 120), 7.0]) for _ in range(333)]):
+        r = ranking.distribution(spark.createDataFrame([(v,) for v in [*scores_, None]], "v double"), "v").first()
+        srt = sorted(scores_)
+        for p in (50, 75, 90, 95, 99):
+            at = p / 100 * (len(srt) - 1)
+            low, high = srt[math.floor(at)], srt[math.ceil(at)]
+            assert r[f"p{p}"] == pytest.approx(low + (high - low) * (at % 1), abs=1e-4)
+        assert (r["n"], r["min_score"], r["max_score"]) == (len(srt), pytest.approx(srt[0], abs=1e-4), pytest.approx(srt[-1], abs=1e-4))
+    none = ranking.distribution(spark.createDataFrame([], "v double"), "v").collect()
+    assert len(none) == 1 and none[0]["n"] == 0 and none[0]["p50"] is None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,11 +74,24 @@ def percentile_of_rank(rank: Column, n: Column) -> Column:
     return F.round((1 - rank / n) * 100, 1)
 
 
-def distribution(df: DataFrame, score: str) -> DataFrame:
-    """Exact, interpolated percentiles and moments of a score."""
-    points = F.percentile(score, F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95, 0.99))))
-    agg = df.agg(F.count("*").alias("n"), F.round(F.min(score), 4).alias("min_score"), F.round(F.max(score), 4).alias("max_score"), F.round(F.avg(score), 4).alias("mean_score"), points.alias("p"))
-    return agg.select("n", "min_score", "max_score", "mean_score", *(F.round(F.get("p", F.lit(i)), 4).alias(f"p{k}") for i, k in enumerate((50, 75, 90, 95, 99))))
+def distribution(df: DataFrame, score: str, points: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """Exact, interpolated percentiles and moments of a score; one row.
+
+    Rows are ranked in cells and not held together: only the two rows on either side of
+    each percentile are read. Null scores do not count; without any, all but n is null."""
+    known = df.where(F.col(score).isNotNull()).select(F.col(score).alias("s"))
+    moments = known.agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"), F.avg("s").alias("mean"))
+    n, low, high, mean = moments.first()
+    wanted = {k: (math.floor(p * (n - 1)), math.ceil(p * (n - 1)), p * (n - 1) % 1) for k, p in enumerate(points)} if n else {}
+    rows = ranked(known, "s", [], low, max(high, low + 1e-9)) if n else known.withColumns({"rank": F.lit(None).cast("long")})
+    # Ranks fall with the score: place 0 is the lowest score, of rank n.
+    at = rows.where(F.col("rank").isin(sorted({n - i for a, b, _ in wanted.values() for i in (a, b)})))
+    value = lambda place: F.max(F.when(F.col("rank") == n - place, F.col("s")))
+    cut = [(value(wanted[k][0]) * (1 - wanted[k][2]) + value(wanted[k][1]) * wanted[k][2] if n else F.lit(None).cast("double")) for k in range(len(points))]
+    names = [f"p{round(p * 100)}" for p in points]
+    found = at.agg(*(F.round(c, 4).alias(name) for c, name in zip(cut, names, strict=True)))
+    known_ones = [F.round(F.lit(v).cast("double"), 4).alias(f"{name}_score") for name, v in (("min", low), ("max", high), ("mean", mean))]
+    return found.select(F.lit(n).cast("long").alias("n"), *known_ones, *names)
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

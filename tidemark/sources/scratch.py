@@ -44,14 +44,14 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, since: int = 0) -> None:
-    """Remove this application's intermediate tables but the first ``since``: for
-    callers that have consumed (written, collected) the results built on them."""
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Remove this application's intermediate tables but the first ``since`` and those in
+    ``keep``: for callers that have consumed (written, collected) what reads them."""
     paths = _made.get(spark.sparkContext.applicationId, [])
-    for path in paths[since:]:
+    for path in [p for p in paths[since:] if p not in keep]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del paths[since:]
+        paths.remove(path)
 
 
 def made(spark: SparkSession) -> int:
