@@ -74,8 +74,11 @@ def breaks_or_point(configs: DataFrame) -> DataFrame:
 
 
 def preferred_slugs(configs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted slug the exact configuration, else the first that contains it; null if none."""
-    c = configs.select(F.col("slug").alias("found"))
-    pairs = wanted.join(c, F.col("found").contains(F.col("slug")), "left")
-    best = F.min(F.when(F.col("found").isNotNull(), F.struct((F.col("found") != F.col("slug")).alias("partial"), F.col("found"))))
-    return pairs.groupBy("slug").agg(best.alias("best")).select("slug", F.col("best.found").alias("found"))
+    """For each wanted slug the exact configuration, else the first that contains it; null if none.
+    Names meet wanted ones on their substrings, by equality."""
+    n = F.length("slug")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda size: F.substring(F.col("slug"), i, size))))
+    held = configs.where(n > 0).select(F.col("slug").alias("found"), F.explode(F.array_distinct(parts)).alias("slug"))
+    best = held.withColumn("of", F.struct((F.col("found") != F.col("slug")).alias("partial"), F.col("found")))
+    pairs = wanted.distinct().join(best, "slug", "left")
+    return pairs.groupBy("slug").agg(F.min(F.when(F.col("found").isNotNull(), F.col("of"))).alias("best")).select("slug", F.col("best.found").alias("found"))
