@@ -44,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -290,7 +290,7 @@ class Asked:
     def __init__(self, block: Block, told: pa.Table):
         block.anchors(masks=True)
         self.block = block
-        rows = told.filter(pa.compute.equal(told.column("kind"), TOLD))
+        rows = told.filter(pc.equal(told.column("kind"), TOLD))
         known = rows.column("item").to_numpy()
         order = np.argsort(known)
         known, hot, keys = known[order], rows.column("bits").to_numpy()[order], block.keys()
@@ -322,10 +322,10 @@ class Asked:
     def earlier(self, told: pa.Table) -> np.ndarray:
         """Offsets (bits), for each place in ``at``, whose windows an earlier document has."""
         entries = np.zeros(len(self.low), np.uint32)
-        answer = told.filter(pa.compute.equal(told.column("kind"), COLD))
+        answer = told.filter(pc.equal(told.column("kind"), COLD))
         entries[self.cold[answer.column("item").to_numpy()]] = answer.column("bits").to_numpy().view(np.uint32)
         seen = np.zeros(len(self.windows), bool)
-        seen[told.filter(pa.compute.equal(told.column("kind"), WINDOW)).column("item").to_numpy()] = True
+        seen[told.filter(pc.equal(told.column("kind"), WINDOW)).column("item").to_numpy()] = True
         known = seen[self.window] | (self.low[self.hot_entry] > self.window_low[self.window])
         np.bitwise_or.at(entries, self.hot_entry[known], np.uint32(1) << self.offset[known].astype(np.uint32))
         return np.where(self.docs > self.low[self.entry], self.mask[self.entry], entries[self.entry])
