@@ -22,11 +22,6 @@ def dates_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0))
 
 
-def ordered_distinct(dates: DataFrame, value: str, position: str) -> DataFrame:
-    """Distinct values with their first position."""
-    return dates.groupBy(value).agg(F.min(position).alias(position))
-
-
 def is_date(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text).isNotNull(), F.lit(False))
 
