@@ -28,7 +28,8 @@ number grows with the texts and with nothing else: an anchor hash a round 1 row,
 distinct surrounding a round 2 row. No step needs more partitions, or larger
 ones, as blocks grow in number.
 
-Memory: a task holds one block, about 12 times its bytes. A document longer than
+Memory: a task holds one block: measured, 7 times its bytes where a fifth of it is
+repeated elsewhere and 25 times where all of it is. A document longer than
 BLOCK_BYTES is a block's part of its own size: its digest needs all its bytes in order.
 
 Defined results: null texts are empty, texts shorter than LENGTH stay whole; a null
