@@ -225,3 +225,23 @@ def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels.tide_glyph(state).alias("tide"),
         documents.slug_of(path, "_foam_detections").alias("slug"),
     )
+
+
+@query(
+    with_views(
+        "det",
+        """, seg_of AS (SELECT DISTINCT spot_id, segment_id FROM det), scene_of AS (SELECT DISTINCT spot_id, scene_date FROM det),
+        pair AS (SELECT s.spot_id, s.scene_date, g.segment_id FROM scene_of s JOIN seg_of g USING (spot_id)),
+        met AS (SELECT spot_id, scene_date, segment_id, max(foam_fraction) AS foam FROM det GROUP BY ALL)
+        SELECT spot_id, scene_date, count(*) AS n_pairs, count(met.segment_id) AS n_seen, count(*) FILTER (foam > 0.05) AS n_foam FROM pair LEFT JOIN met USING (spot_id, scene_date, segment_id) GROUP BY ALL""",
+    )
+)
+def scene_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the pairs of a scene and a segment of its place were seen, and seen with foam.
+
+    A scene has as many pairs as its place has segments: no pair has to be formed to be counted."""
+    det = adapters.detections(spark, sf_dir)
+    seen = det.groupBy("spot_id", "scene_date", "segment_id").agg(F.max("foam_fraction").alias("foam"))
+    scenes = seen.groupBy("spot_id", "scene_date").agg(F.count("*").alias("n_seen"), F.count(F.when(F.col("foam") > 0.05, 1)).alias("n_foam"))
+    places = det.groupBy("spot_id").agg(F.countDistinct("segment_id").alias("n_pairs"))
+    return scenes.join(places, "spot_id").select("spot_id", "scene_date", "n_pairs", "n_seen", "n_foam")
