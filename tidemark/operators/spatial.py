@@ -75,20 +75,23 @@ def _growing(points: DataFrame, radius: float, whole: float, point: str, search)
 def nearest_line(points: DataFrame, edge_table: DataFrame, point: str, line: str, cap: float, start: float | None = None) -> DataFrame:
     """(point, line, distance, fraction): the line nearest to each point within ``cap``, and
     where on it (0 to 1 of its length) it is nearest; ties go to the smaller line and then
-    to its earlier edge. The radius grows from ``start`` as in ``nearest``."""
+    to its earlier edge. The radius grows from ``start`` (the mean edge, if that is not
+    given) as in ``nearest``; cells are never smaller than the mean edge, so that an edge is
+    dealt into a few of them."""
     e = written(edge_table.select(line, "i", "ax", "ay", "bx", "by", "length", "start"), "edges")
     lengths = e.groupBy(line).agg(F.sum("length").alias("whole"))
+    mean = e.agg(F.avg("length")).first()[0] or cap
 
     def search(open_: DataFrame, radius: float) -> DataFrame:
-        ends = tuple(map(F.col, ("ax", "ay", "bx", "by")))
-        p = open_.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)})
-        met = p.join(_dealt(e, radius, line, "i", "length", "start"), ["cx", "cy"])
+        ends, cell = tuple(map(F.col, ("ax", "ay", "bx", "by"))), max(radius, mean)
+        p = open_.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+        met = p.join(_dealt(e, radius, line, "i", "length", "start", cell=cell), ["cx", "cy"])
         off = geometry.segment_distance(F.col("x"), F.col("y"), *ends)
         along = F.col("start") + geometry.edge_fraction(F.col("x"), F.col("y"), *ends) * F.col("length")
         best = met.withColumns({"off": off, "along": along}).where(F.col("off") <= radius).groupBy(point).agg(F.min(F.struct(F.round("off", 9).alias("at"), line, "i", "off", "along")).alias("best"))
         return best.select(point, F.col(f"best.{line}"), F.col("best.off").alias("distance"), F.col("best.along").alias("along"))
 
-    found = _growing(written(points.select(point, "x", "y"), "points"), min(start or cap / 64, cap), cap, point, search)
+    found = _growing(written(points.select(point, "x", "y"), "points"), min(start or mean, cap), cap, point, search)
     share = F.when(F.col("whole") > 0, F.col("along") / F.col("whole")).otherwise(0.0)
     return found.join(lengths, line).select(point, line, "distance", share.alias("fraction"))
 
