@@ -15,8 +15,8 @@ dealt into blocks of about ``BLOCK_BYTES`` and three rounds follow.
 1. Each block sends the keys (hashes of 48 bits) of its anchors, one row of two numbers
    for each, and Spark groups them: those in two blocks, or two documents of one, are
    told to the blocks that have them.
-2. Each block sends the surroundings of such anchors, each distinct one once with
-   its smallest document: copies collapse before the shuffle. Grouped by anchor, the
+2. Each block sends the surroundings of such anchors, as far as their windows reach,
+   each distinct one once with its smallest document: copies collapse before the shuffle. Grouped by anchor, the
    suffixes are sorted and their previous factors computed. An anchor in more
    than ``HOT`` places sends its distinct windows instead, grouped by the window
    itself and sorted by document: the first row of each is the earliest, so
@@ -302,7 +302,7 @@ class Asked:
         # Surroundings of the anchors that stand elsewhere too, each distinct one once.
         self.at = np.flatnonzero(flag > 0)
         self.docs = block.doc_ids[block.doc[self.at]]
-        around = np.concatenate([block.surroundings(self.at), block.mask[self.at].reshape(-1, 1).view(np.uint8).reshape(-1, 4)], axis=1)
+        around = np.concatenate([_clipped(block.surroundings(self.at), block.mask[self.at]), block.mask[self.at].reshape(-1, 1).view(np.uint8).reshape(-1, 4)], axis=1)
         first, self.entry = _distinct(around)
         self.around = around[first]
         self.mask = block.mask[self.at][first]
@@ -342,6 +342,14 @@ def _bits(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(offset)
 
 
+def _clipped(around: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Surroundings with zeros where none of their windows reaches: that does not tell them apart."""
+    first, last = np.floor(np.log2(masks & -masks.astype(np.int64))), np.floor(np.log2(masks))
+    place = np.arange(SIDE)
+    within = (place >= (SPREAD - last)[:, None]) & (place < (SPREAD - first + LENGTH)[:, None])
+    return np.where(within, around, np.uint8(0))
+
+
 def _send(key: tuple[pa.Scalar, ...], texts: pa.Table, told: pa.Table) -> pa.Table:
     if not texts.num_rows or not told.num_rows:
         return _table(_SENT, [[]] * 7)
