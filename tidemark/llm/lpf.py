@@ -475,9 +475,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = spark.table(name)
     anchors = texts.groupBy("block").applyInArrow(_anchors, _ANCHORS)
     told = written(_shared(anchors, hot), "shared-anchors")
-    # Both are written: Spark drops their shuffle files once the driver has collected the handles.
-    del rows, dealt, anchors
-    spark._jvm.System.gc()
     sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send, _SENT)
     sent = sent.repartition("hash").sortWithinPartitions("kind", "hash", "around", "mask", "low")
     answers = sent.mapInArrow(_answer, _TOLD)
