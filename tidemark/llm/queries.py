@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact, lpf, mixing, pii, quality, sharding, simhash, templates, url_lists
+from tidemark.llm import decontaminate, exact, language, lpf, mixing, pii, quality, sharding, simhash, templates, url_lists
 from tidemark.llm.common import read_table
 
 
@@ -84,8 +84,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_lists, op2_repeated_passages, op3_decontamination, op4_exact_dedup, op5_sharding, op6_mixing, op7_line_templates, op8_quality, op9_personal_data, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_lists, op2_repeated_passages, op3_decontamination, op4_exact_dedup, op5_sharding, op6_mixing, op7_line_templates, op8_quality, op9_personal_data, op10_simhash, op11_language)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
