@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, decontaminate, exact, language, lpf, mixing, pii, quality, sharding, simhash, templates, url_lists
+from tidemark.llm import alignment, decontaminate, exact, language, lpf, mixing, phrases, pii, quality, sharding, simhash, templates, url_lists
 from tidemark.llm.common import read_table
 
 
@@ -90,12 +90,16 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_lists, op2_repeated_passages, op3_decontamination, op4_exact_dedup, op5_sharding, op6_mixing, op7_line_templates, op8_quality, op9_personal_data, op10_simhash, op11_language, op13_alignment)}
+    return {f.__name__: f for f in (op1_url_lists, op2_repeated_passages, op3_decontamination, op4_exact_dedup, op5_sharding, op6_mixing, op7_line_templates, op8_quality, op9_personal_data, op10_simhash, op11_language, op12_phrases, op13_alignment)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -171,6 +175,18 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '')) AS kept_sha256
         FROM x LEFT JOIN gone USING (masked) GROUP BY doc_id
     """,
+    "op12_phrases": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM documents),
+        g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 6) AS t(k) WHERE len(ws) >= k)),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+        c AS (SELECT lang, k, phrase, a, j, array_to_string(ws[1 : j], ' ') AS first, array_to_string(ws[j + 1 : k], ' ') AS rest FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j FROM f WHERE k >= 2)),
+        s AS (SELECT c.lang, c.k, c.phrase, c.a, j, x.a AS l, y.a AS r, n, 1000::HUGEINT * c.a * n // (x.a::HUGEINT * y.a) AS score FROM c JOIN f x ON x.lang = c.lang AND x.phrase = first JOIN f y ON y.lang = c.lang AND y.phrase = rest JOIN n ON n.lang = c.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        i AS (SELECT lang, a, array_to_string(ws[x : x + m - 1], ' ') AS phrase FROM (SELECT lang, a, ws, m, unnest(range(1, k - m + 2)) AS x FROM (SELECT lang, k, a, string_split(phrase, ' ') AS ws, unnest(range(2, k)) AS m FROM b WHERE k > 2))),
+        o AS (SELECT b.* FROM b ANTI JOIN i ON i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o QUALIFY rank <= 2000
+    """,
 }
 
 
