@@ -11,7 +11,7 @@ that list with its counts. Spark sums the counts of the pairs, takes each id's m
 joins both back to the lists, and each chunk adds up its documents. What is shuffled
 are distinct pairs of chunks, not links, and then once the documents' rows by chunk.
 
-Bounds: a chunk holds 3 million links or one document; a document is tokenized whole and needs
+Bounds: a chunk holds about a million links or one document; a document is tokenized whole and needs
 about 60 times its bytes. Maxima are broadcast: one row for each id of a vocabulary.
 
 Defined results: null and empty texts, texts that are not UTF-8, and texts that the joined
@@ -40,9 +40,9 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import ship, written
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 60_000
-WORDS = 400_000
+WORDS = 200_000
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 # How a byte-level BPE cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
