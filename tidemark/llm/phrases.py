@@ -39,7 +39,7 @@ MAX_WORDS = 5
 MIN_COUNT = 100
 PERCENT = 100
 TOP = 2000
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 ROWS = 2
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 28
 BLOCK = 1 << 18
