@@ -317,3 +317,64 @@ def test_distribution_interpolates(spark):
         assert (r["n"], r["min_score"], r["max_score"]) == (len(srt), pytest.approx(srt[0], abs=1e-4), pytest.approx(srt[-1], abs=1e-4))
     none = ranking.distribution(spark.createDataFrame([], "v double"), "v").collect()
     assert len(none) == 1 and none[0]["n"] == 0 and none[0]["p50"] is None
+
+
+def _ring(points):
+    return [(*p, *q) for p, q in zip(points, points[1:] + points[:1], strict=True)]
+
+
+def _inside(x, y, edges):
+    return sum((ay <= y < by or by <= y < ay) and x < ax + (y - ay) / (by - ay) * (bx - ax) for ax, ay, bx, by in edges) % 2 == 1
+
+
+def test_polygon_runs_are_the_pixels_inside(spark):
+    from tidemark.operators import raster
+
+    shapes = {
+        1: _ring([(1.2, 1.1), (18.7, 2.3), (17.1, 14.9), (9.0, 6.2), (2.2, 17.3)]),
+        2: _ring([(0.0, 0.0), (12.0, 0.0), (12.0, 12.0), (0.0, 12.0)]) + _ring([(4.0, 4.0), (8.0, 4.0), (8.0, 8.0), (4.0, 8.0)]),  # a hole
+        3: _ring([(-5.5, -5.5), (-5.4, -5.5), (-5.4, -5.4)]),  # between the centres
+    }
+    edges = spark.createDataFrame([(k, *e) for k, es in shapes.items() for e in es], "zone int, ax double, ay double, bx double, by double")
+    runs = raster.polygon_runs(edges, "zone", 1.0)
+    found = {(r["zone"], r["row"], c) for r in runs.collect() for c in range(r["low"], r["high"] + 1)}
+    assert found == {(k, r, c) for k, es in shapes.items() for r in range(-8, 25) for c in range(-8, 25) if _inside(c + 0.5, r + 0.5, es)}
+
+
+def test_buffer_runs_are_the_pixels_by_distance(spark):
+    from math import cos, hypot, radians, sin
+
+    from tidemark.operators import raster
+
+    lines = {1: (0.0, [(0, 0), (100, 30), (150, 200), (150, 200), (90, 260)]), 2: (137.0, [(-300, 10), (-300, 10)]), 3: (250.0, [(400, 0), (430, 0)])}
+    rows = [(k, facing, float(ax), float(ay), float(bx), float(by)) for k, (facing, ps) in lines.items() for (ax, ay), (bx, by) in zip(ps, ps[1:], strict=False)]
+    runs = raster.buffer_runs(spark.createDataFrame(rows, "zone int, facing double, ax double, ay double, bx double, by double"), "zone", "facing", 60.0, 10.0).collect()
+
+    def off(x, y, ax, ay, bx, by):
+        square = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / square)) if square else 0
+        return hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    want = set()
+    for k, (facing, ps) in lines.items():
+        dx, dy = sin(radians(facing + 180)) * 60, cos(radians(facing + 180)) * 60
+        for r in range(-20, 50):
+            for c in range(-60, 70):
+                x, y = (c + 0.5) * 10, (r + 0.5) * 10
+                pairs = list(zip(ps, ps[1:], strict=False))
+                if min(off(x, y, *a, *b) for a, b in pairs) <= 60 and min(off(x, y, a[0] + dx, a[1] + dy, b[0] + dx, b[1] + dy) for a, b in pairs) > 30:
+                    want.add((k, r, c))
+    found = [(r["zone"], r["row"], c) for r in runs for c in range(r["low"], r["high"] + 1)]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_zonal_join_meets_runs_over_strips_and_leaves_out_dry_pairs(spark):
+    from tidemark.operators import raster
+
+    runs = spark.createDataFrame([(1, 0, 3, 130), (2, 0, 100, 101), (3, 5, 0, 0)], "zone int, row int, low long, high long")
+    pixels = spark.createDataFrame([(s, 0, c, 700 + 3 * c, 6 if (c + s) % 2 else 8) for s in (0, 1) for c in range(140)], "scene int, row int, col int, b8 int, scl int")
+    got = {(r["scene"], r["zone"]): r for r in raster.zonal_join(pixels, runs, "scene", "zone").collect()}
+    assert got.keys() == {(0, 1), (1, 1), (0, 2), (1, 2)}
+    cols = [c for c in range(3, 131) if c % 2]
+    assert (got[0, 1]["water_pixel_count"], got[0, 1]["max_nir"], got[0, 1]["mean_nir"]) == (len(cols), 700 + 3 * cols[-1], sum(700 + 3 * c for c in cols) / len(cols))
+    assert got[0, 1]["foam_pixel_count"] == sum(3 * c > 100 for c in cols)

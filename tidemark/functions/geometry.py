@@ -61,6 +61,28 @@ def edge_fraction(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
 
 
+def capsule_span(y: Column, ax: Column, ay: Column, bx: Column, by: Column, radius: Column | float) -> tuple[Column, Column]:
+    """The interval of x in which a point at height ``y`` lies within ``radius`` of the edge a-b;
+    null where there is none. It is the hull of both ends' discs and of the band between."""
+    dx, dy = bx - ax, by - ay
+    size = F.hypot(dx, dy)
+    nx, ny = -dy / F.when(size > 0, size) * radius, dx / F.when(size > 0, size) * radius
+
+    def disc(x: Column, at: Column) -> tuple[Column, Column]:
+        square = radius * radius - (y - at) * (y - at)
+        half = F.when(square >= 0, F.sqrt(square))
+        return x - half, x + half
+
+    def side(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        t = (y - y0) / F.when(y1 != y0, y1 - y0)
+        return F.when((t >= 0) & (t <= 1), x0 + t * (x1 - x0))
+
+    corners = ((ax + nx, ay + ny), (bx + nx, by + ny), (bx - nx, by - ny), (ax - nx, ay - ny))
+    band = [side(*corners[k], *corners[(k + 1) % 4]) for k in range(4)]
+    first, last = disc(ax, ay), disc(bx, by)
+    return F.least(first[0], last[0], *band), F.greatest(first[1], last[1], *band)
+
+
 def length_inside(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column, radius: float) -> Column:
     """Length of the part of the edge a-b that lies within ``radius`` of a point."""
     dx, dy, fx, fy = bx - ax, by - ay, ax - px, ay - py

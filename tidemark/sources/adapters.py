@@ -83,6 +83,23 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four scenes over one map of pixels of 50 m: each vector is a patch of 8 by 8 pixels around the
+    place of its line (see ``polylines``); scene s reads the vector from element 16 s on."""
+    vec = table(spark, sf_dir, "embeddings")
+    cell = vec.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("k"))
+    pos = (F.col("k") % 64).cast("int")
+    scene = F.floor(F.col("k") / 64).cast("int")
+    v = F.element_at("embedding", ((pos + scene * 16) % 64 + 1).cast("int")).cast("double")
+    return cell.select(
+        scene.alias("scene"),
+        (F.floor(F.col("vec_id") / 1000) * 8 - 4 + F.floor(pos / 8)).alias("row"),
+        (F.col("vec_id") % 1000 * 8 - 4 + pos % 8).alias("col"),
+        (1000 + F.round(v * 2000).cast("int")).alias("b8"),
+        F.element_at(F.array(*map(F.lit, SCL)), (F.pmod(pos * 7 + F.col("vec_id") + scene, F.lit(7)) + 1).cast("int")).alias("scl"),
+    )
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("station"), "ts", "event_type", "value", "props")
 
@@ -137,6 +154,10 @@ CTE = {
         SELECT vec_id AS scene_id, pos % 8 AS px, CAST(pos // 8 AS INT) AS py, 1000 + CAST(round(CAST(v AS DOUBLE) * 2000) AS INT) AS b8,
                900 + CAST(round(CAST(v AS DOUBLE) * 1000) AS INT) AS b3, [0, 3, 6, 8, 9, 10, 11][(pos * 7 + vec_id) % 7 + 1] AS scl
         FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings))""",
+    "spix": """spix AS (
+        SELECT CAST(scene AS INT) AS scene, vec_id // 1000 * 8 - 4 + pos // 8 AS row, vec_id % 1000 * 8 - 4 + pos % 8 AS col,
+               1000 + CAST(round(CAST(embedding[(pos + scene * 16) % 64 + 1] AS DOUBLE) * 2000) AS INT) AS b8, [0, 3, 6, 8, 9, 10, 11][(pos * 7 + vec_id + scene) % 7 + 1] AS scl
+        FROM (SELECT vec_id, embedding, k // 64 AS scene, k % 64 AS pos FROM (SELECT vec_id, embedding, unnest(range(256)) AS k FROM embeddings)))""",
     "hourly": "hourly AS (SELECT event_id, user_id AS station, ts, event_type, value, props FROM events)",
     "poly": """poly AS (
         SELECT vec_id AS line_id, i, CAST(embedding[i * 2 + 1] AS DOUBLE) * 1000 + vec_id % 1000 * 400 AS x, CAST(embedding[i * 2 + 2] AS DOUBLE) * 1000 + vec_id // 1000 * 400 AS y
