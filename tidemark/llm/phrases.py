@@ -6,12 +6,12 @@ in blocks of ``BLOCK`` cells, and a tree of groups of about ``FAN`` of them adds
 (sums stop at the threshold: only that is asked). A sketch never counts too little,
 so a phrase with a cell under the threshold isn't frequent. The second pass drops
 those (and phrases that hold a dropped one), counts the others exactly, by their words
-and not by hashes, within its chunk, and Spark sums the chunks' counts. What is shuffled
-there are the distinct survivors of a chunk. Frequent phrases then meet the counts of their
+and not by hashes, in pieces of ``PIECE_BYTES`` of text, and Spark sums these counts, combined
+before the shuffle. What is shuffled there are the distinct survivors of a partition. Frequent phrases then meet the counts of their
 parts by joins in which hot parts and languages are broadcast.
 
 The sketch has ``ROWS`` rows of a power of two of cells, so many that a cell holds half
-the threshold on the mean, up to ``MOST_CELLS``: what each task reads of it, a bit a cell,
+the threshold on the mean, from ``LEAST_CELLS`` up to ``MOST_CELLS``: what each task reads of it, a bit a cell,
 is at most 64 MB. Beyond about 10 GB of text at a threshold of 100 it fills up, filters less and
 the second pass sends more; results stay whole. Thresholds that grow with the corpus
 keep it sharp.
@@ -40,8 +40,9 @@ MIN_COUNT = 100
 PERCENT = 100
 TOP = 2000
 CHUNK_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 ROWS = 2
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 28
+LEAST_CELLS, MOST_CELLS = 1 << 24, 1 << 28
 BLOCK = 1 << 18
 FAN = 64
 UNKNOWN = "und"
@@ -161,8 +162,8 @@ def survivors(w: Words, max_words: int, cells: int, bits: list[np.ndarray]) -> I
         yield names, counts
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Words]]:
-    """The words of a partition, about CHUNK_BYTES at a time, by language."""
+def _chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[Words]]:
+    """The words of a partition, about ``most`` bytes at a time, by language."""
     held: dict[str, list[bytes]] = {}
     size = 0
     for batch in batches:
@@ -170,7 +171,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Words]]:
             if text:
                 held.setdefault(lang, []).append(text)
                 size += len(text)
-            if size >= CHUNK_BYTES:
+            if size >= most:
                 yield [Words(k, v) for k, v in held.items()]
                 held, size = {}, 0
     if held:
@@ -185,7 +186,7 @@ def heavy_cells(rows: DataFrame, cells: int, max_words: int, min_count: int) ->
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        for words in _chunked(batches):
+        for words in _chunked(batches, CHUNK_BYTES):
             found = list(sketched(words, max_words, cells, min_count))
             if found:
                 r, b, data = zip(*found, strict=True)
@@ -233,7 +234,7 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mi
     bits = spark.sparkContext.broadcast(heavy_cells(rows, cells, max_words, min_count))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in _chunked(batches):
+        for words in _chunked(batches, PIECE_BYTES):
             for w in words:
                 for names, counts in [([b""], np.array([w.total])), *survivors(w, max_words, cells, bits.value)]:
                     yield pa.RecordBatch.from_arrays([pa.array([w.lang] * len(names), pa.string()), pa.array(names, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
