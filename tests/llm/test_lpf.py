@@ -53,6 +53,13 @@ def test_matches_brute_force(spark, seed, hot):
     assert found == brute(rows)
 
 
+def test_more_blocks_than_buckets(spark):
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lpf.remove_repeats(df, block_bytes=200, most_buckets=3, with_text=False)  # some hundred blocks
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
 def test_long_text_in_pieces(spark):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))

@@ -58,6 +58,7 @@ SIDE = LENGTH + SPREAD  # bytes around an anchor that its windows cover
 BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 128 << 10
 HOT = 4096
+MOST_BUCKETS = 1 << 16  # Spark refuses more than 100,000
 KEY_BITS = 48
 PLACES = (1 << 15) - 1  # what fits beside the block in a row of round 1
 LAST = np.iinfo(np.int64).max
@@ -460,7 +461,7 @@ def _finish(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT, with_text: bool = True, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, if
     asked for, ``kept``: the remaining bytes."""
     spark = docs.sparkSession
@@ -471,7 +472,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Rows of one id are spread by their text, too.
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(blocks)).cast("long"))
     name = f"tidemark_blocks_{uuid.uuid4().hex}"
-    dealt.repartition(blocks, "block").write.option("path", new_path(spark, "blocks")).option("compression", "zstd").bucketBy(blocks, "block").format("parquet").saveAsTable(name)
+    # A bucket is one block, or beyond ``most_buckets`` several, which are groups within it.
+    buckets = min(blocks, most_buckets)
+    dealt.repartition(buckets, "block").write.option("path", new_path(spark, "blocks")).option("compression", "zstd").bucketBy(buckets, "block").format("parquet").saveAsTable(name)
     texts = spark.table(name)
     anchors = texts.groupBy("block").applyInArrow(_anchors, _ANCHORS)
     told = written(_shared(anchors, hot), "shared-anchors")
