@@ -378,3 +378,140 @@ def test_zonal_join_meets_runs_over_strips_and_leaves_out_dry_pairs(spark):
     cols = [c for c in range(3, 131) if c % 2]
     assert (got[0, 1]["water_pixel_count"], got[0, 1]["max_nir"], got[0, 1]["mean_nir"]) == (len(cols), 700 + 3 * cols[-1], sum(700 + 3 * c for c in cols) / len(cols))
     assert got[0, 1]["foam_pixel_count"] == sum(3 * c > 100 for c in cols)
+
+
+def _crowd():
+    import random
+
+    rng = random.Random(7)
+    crowd = [(5.0 + rng.random() / 50, 5.0 + rng.random() / 50) for _ in range(1500)]
+    same = [(-3.0, 2.0)] * 120  # cannot be told apart
+    return [(i, x, y) for i, (x, y) in enumerate(crowd + same + [(rng.uniform(-20, 20), rng.uniform(-20, 20)) for _ in range(300)])]
+
+
+def test_quadtree_splits_crowds_and_leaves_the_rest(spark):
+    from tidemark.operators import quadtree
+
+    rows = _crowd()
+    points = spark.createDataFrame([*rows, (9999, None, 1.0)], "p int, x double, y double")
+    tree = quadtree.build(points, 4.0, 100)
+    assert len(tree.split) == quadtree.DEPTH  # down to the equal points
+    leaves = tree.place(points).where("cx is not null").groupBy(*quadtree.CELL).count().collect()
+    size = {tuple(r[c] for c in quadtree.CELL): r["count"] for r in leaves}
+    assert sum(size.values()) == len(rows)
+    assert max(n for (level, _, _), n in size.items() if level < quadtree.DEPTH) <= 100  # of 1,500 in one root cell
+    assert sum(level == 0 for level, _, _ in size) > 20  # sparse places stay as they began
+    # Every box touches each of its points' leaves once.
+    boxes = spark.createDataFrame([(k, x - 0.7, x + 0.7, y - 0.7, y + 0.7) for k, x, y in rows[::37]], "b int, x0 double, x1 double, y0 double, y1 double")
+    dealt = tree.deal(boxes, *(boxes[c] for c in ("x0", "x1", "y0", "y1")))
+    assert dealt.columns == [*boxes.columns, *quadtree.CELL] and dealt.count() == dealt.distinct().count()
+    met = tree.place(points).join(dealt, list(quadtree.CELL)).where("x between x0 and x1 and y between y0 and y1").select("b", "p")
+    want = {(k, p) for k, bx, by in rows[::37] for p, x, y in rows if abs(x - bx) <= 0.7 and abs(y - by) <= 0.7}
+    found = [(r["b"], r["p"]) for r in met.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_quadtree_of_few_points_is_a_plain_grid(spark):
+    from tidemark.operators import quadtree
+
+    assert quadtree.build(spark.createDataFrame([(1.0, 2.0)] * 100, "x double, y double"), 1.0, 100).split == []
+
+
+def test_spatial_joins_on_split_cells_equal_brute_force(spark):
+    from math import hypot
+
+    rows = _crowd()
+    points = spark.createDataFrame(rows[::9], "p int, x double, y double")
+    lines = spark.createDataFrame([(k, i, x + i * dx, y + i * dx / 2) for k, (x, y, dx) in enumerate([(5.0, 5.0, 0.004), (-3.2, 1.9, 0.1), (-20.0, -20.0, 8.0)]) for i in range(6)], "line int, i int, x double, y double")
+    edges = spatial.edges(lines, "line", "i")
+    plain = {(r["p"], r["line"]): r["distance"] for r in spatial.within(points, edges, "p", "line", 1.5).collect()}
+    split = {(r["p"], r["line"]): r["distance"] for r in spatial.within(points, edges, "p", "line", 1.5, capacity=10).collect()}
+    assert plain == split and len(plain) > 100
+    far = spark.createDataFrame([(-1, 400.0, -300.0), (-2, 5.01, 5.01), (-3, 12.0, 12.0)], "p int, x double, y double")
+    targets = spark.createDataFrame(rows, "t int, x double, y double")
+    for capacity in (20, 10**6):
+        got = {r["p"]: (r["t"], r["distance"]) for r in spatial.nearest(far, targets, "p", "t", capacity=capacity).collect()}
+        for p, x, y in ((-1, 400.0, -300.0), (-2, 5.01, 5.01), (-3, 12.0, 12.0)):
+            best = min((hypot(tx - x, ty - y), t) for t, tx, ty in rows)
+            assert got[p] == (best[1], pytest.approx(best[0]))
+
+
+def test_exposure_by_arcs_equals_rays(spark):
+    from math import cos, hypot, radians, sin
+
+    import random
+
+    rng = random.Random(11)
+    origins = [(k, rng.uniform(-5, 5), rng.uniform(-5, 5), rng.uniform(-400, 400)) for k in range(40)]
+    edges = [(rng.uniform(-9, 9), rng.uniform(-9, 9), rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(12)]
+    edges += [(x, y, x + 3.3, y + 1.7) for _, x, y, _ in origins[:3]] + [(1.0, 1.0, 1.0, 1.0)]  # from an origin on, and without length
+
+    def hits(x, y, direction, radius, skip, edge):
+        ax, ay, bx, by = edge
+        rx, ry, sx, sy = radius * sin(radians(direction)), radius * cos(radians(direction)), bx - ax, by - ay
+        det = rx * sy - ry * sx
+        if abs(det) < 1e-12:
+            return False
+        t, u = ((ax - x) * sy - (ay - y) * sx) / det, ((ax - x) * ry - (ay - y) * rx) / det
+        return t * radius > skip and t <= 1 and 0 <= u <= 1
+
+    table = spark.createDataFrame(edges, "ax double, ay double, bx double, by double")
+    for step, radius, skip, capacity in ((5, 4.0, 0.5, 10**6), (1, 4.0, 0.5, 5)):  # 181 rays are several words
+        found = spatial.exposure_arc(spark.createDataFrame(origins, "o int, x double, y double, facing double"), table, "o", "facing", radius, step, skip, capacity)
+        got = {r["o"]: r["exposure_arc_deg"] for r in found.collect()}
+        for k, x, y, facing in origins:
+            open_ = sum(not any(hits(x, y, facing + turn, radius, skip, e) for e in edges) for turn in range(-90, 91, step))
+            assert got[k] == open_ * step, (k, step)
+
+
+def test_scratch_folder_where_the_setting_is_unset(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.sources import scratch
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, key, value):
+            raise AssertionError("spark.checkpoint.dir cannot be set at run time")
+
+    local = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="local[2]", applicationId="unset-1"))
+    path = scratch.shared_dir(local)
+    assert path and scratch.shared_dir(local) == path
+    cluster = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="unset-2"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(cluster)
+
+
+def test_medians_by_narrowing_equal_sorted_lists(spark):
+    import random
+
+    from tidemark.operators import ranking
+
+    rng = random.Random(2)
+    rows = [("wide", rng.uniform(-1e6, 1e6)) for _ in range(1500)] + [("near", 5 + rng.random() * 1e-9) for _ in range(600)] + [("ties", float(v)) for v in [1, 1, 1, 2, 2, 7] * 50]
+    rows += [("skewed", 10.0 ** rng.uniform(-9, 9)) for _ in range(800)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    want = {}
+    for k, x in rows:
+        if x is not None and k is not None:
+            want.setdefault(k, []).append(x)
+    want = {k: sorted(v)[len(v) // 2] for k, v in want.items()}
+    for buckets, most in ((1024, 65_536), (8, 40)):
+        got = {r["k"]: r["m"] for r in ranking.upper_median(df.where("k is not null"), ["k"], "x", "m", buckets, most).collect()}
+        assert got == want
+    assert ranking.upper_median(df.limit(0), ["k"], "x", "m").count() == 0
+
+
+def test_scene_foam_has_no_sort_aggregate_and_counts_missing_quality_as_zero(spark):
+    from tidemark.operators import scenes
+
+    rows = [(1, "a", 0.1, 60, 2.0, 9.0, 10.0, None), (2, "a", 0.3, 60, 1.0, 8.0, 20.0, 95.0), (3, "a", 0.9, 10, 1.0, 8.0, 20.0, 95.0), (4, "b", 0.2, 60, None, 8.0, 20.0, 95.0), (5, "c", 0.2, 10, 1.0, 8.0, 20.0, 95.0), (6, "d", 0.5, 50, 1.5, 0.0, None, 80.0)]
+    df = spark.createDataFrame(rows, "pos long, day string, foam_fraction double, water_pixel_count int, swell_height_m double, swell_period_s double, swell_direction_deg double, quality_score double")
+    found = scenes.scene_foam(df, ["day"], "pos")
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["day"]: r for r in found.collect()}
+    assert got.keys() == {"a", "d"}
+    assert (got["a"]["segment_count"], got["a"]["valid_segments"], got["a"]["median_foam"], got["a"]["swell_height_m"], got["a"]["quality_score"]) == (3, 2, 0.3, 2.0, 0.0)
+    assert (got["d"]["swell_period_s"], got["d"]["swell_direction_deg"], got["d"]["quality_score"]) == (8.0, None, 80.0)

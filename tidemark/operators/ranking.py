@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores
 from tidemark.functions.rounding import rounded
+from tidemark.sources.scratch import written
 
 FLAT_SWELL, FLAT_FOAM, PENALTY = 0.5, 0.2, 5.0
 
@@ -94,8 +95,32 @@ def distribution(df: DataFrame, score: str, points: tuple[float, ...] = (0.5, 0.
     return found.select(F.lit(n).cast("long").alias("n"), *known_ones, *names)
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Element n div 2 of the sorted values of each key (groups are ranked, not collected)."""
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return rows.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(*keys, F.col(value).alias(name))
+def upper_median(df: DataFrame, keys: list[str], value: str, name: str, buckets: int = 1024, most: int = 65_536) -> DataFrame:
+    """Element n div 2 of the sorted values of each key."""
+    return at_place(df, keys, value, lambda n: F.floor(n / 2), name, buckets, most)
+
+
+def at_place(df: DataFrame, keys: list[str], value: str, place, name: str, buckets: int = 1024, most: int = 65_536) -> DataFrame:
+    """(keys, name): the value at ``place`` (of the number of values, from 0) in each key's order.
+
+    Equal values are counted as one row. While a key has more than ``most`` different values
+    in question, a histogram of ``buckets`` ranges between its least and its greatest one tells which
+    range holds the place, and only that one stays; each round is one aggregate
+    combined before the shuffle. No task orders more than ``most`` rows of a key."""
+    open_ = written(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n")), "values")
+    total = open_.groupBy(*keys).agg(F.sum("n").alias("__all"))
+    asked = written(total.select(*keys, place(F.col("__all")).alias("__place"), F.lit(0).cast("long").alias("__before")), "places")
+    while (open_.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > most:
+        ends = open_.groupBy(*keys).agg(F.min("v").alias("__low"), F.max("v").alias("__high"))
+        share = (F.col("v").cast("double") - F.col("__low")) / F.nullif(F.col("__high").cast("double") - F.col("__low"), F.lit(0.0))
+        at = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1))
+        bounds = ends.join(asked, keys)
+        counts = open_.join(ends, keys).groupBy(*keys, at.alias("__at")).agg(F.sum("n").alias("__c"), F.min("v").alias("__from"), F.max("v").alias("__to"))
+        upto = Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        known = counts.withColumn("__upto", F.sum("__c").over(upto)).join(bounds, keys).withColumn("__less", F.col("__before") + F.col("__upto") - F.col("__c"))
+        held = written(known.where((F.col("__less") <= F.col("__place")) & (F.col("__place") < F.col("__less") + F.col("__c"))).select(*keys, "__place", F.col("__less").alias("__before"), "__from", "__to"), "ranges")
+        asked = held.select(*keys, "__place", "__before")
+        open_ = written(open_.join(held.select(*keys, "__from", "__to"), keys).where(F.col("v").between(F.col("__from"), F.col("__to"))).select(*keys, "v", "n"), "values")
+    upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = open_.withColumn("__upto", F.sum("n").over(upto)).join(asked, keys).withColumn("__upto", F.col("__before") + F.col("__upto"))
+    return placed.where((F.col("__upto") - F.col("n") <= F.col("__place")) & (F.col("__place") < F.col("__upto"))).select(*keys, F.col("v").alias(name))

@@ -1,8 +1,8 @@
 """Spatial joins and linear referencing on edge tables.
 
 A polyline is rows (line, i, x, y); ``edges`` pairs neighbours. Spatial joins go
-through square cells: both sides are dealt into the cells they can meet in, so
-the join is on cell equality and spreads over the map."""
+through square cells, most of them leaves of a quadtree: both sides are dealt into the cells they
+can meet in, so the join is on cell equality and spreads over the map and over crowds."""
 
 from __future__ import annotations
 
@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry
+from tidemark.operators import quadtree
 from tidemark.sources.scratch import written
 
+WORD = 48
+
 
 def edges(vertices: DataFrame, line: str, order: str) -> DataFrame:
     """(line, i, ax, ay, bx, by, length, start): start is the length before the edge."""
@@ -31,31 +34,59 @@ def cells_of(x_low: Column, x_high: Column, y_low: Column, y_high: Column, size:
     return F.flatten(F.transform(span(x_low, x_high), lambda cx: F.transform(span(y_low, y_high), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def within(points: DataFrame, edge_table: DataFrame, point: str, line: str, radius: float) -> DataFrame:
+def within(points: DataFrame, edge_table: DataFrame, point: str, line: str, radius: float, capacity: int = quadtree.CAPACITY) -> DataFrame:
     """(point, line, distance) of every line within ``radius`` of a point: its nearest edge."""
-    p = points.select(point, "x", "y", F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
-    low, high = (lambda a, b: F.least(a, b) - radius), (lambda a, b: F.greatest(a, b) + radius)
+    tree = quadtree.build(points, radius, capacity)
+    met = tree.place(points.select(point, "x", "y")).join(_reaching(tree, edge_table, radius, line), list(quadtree.CELL))
+    near = met.withColumn("distance", geometry.segment_distance(F.col("x"), F.col("y"), *map(F.col, ("ax", "ay", "bx", "by")))).where(F.col("distance") <= radius)
+    return near.groupBy(point, line).agg(F.min("distance").alias("distance"))
+
+
+def _reaching(tree: quadtree.Quadtree, edge_table: DataFrame, radius: float, *others: str) -> DataFrame:
+    """Edges in every leaf in which a point can be within ``radius`` of them."""
     ax, ay, bx, by = map(F.col, ("ax", "ay", "bx", "by"))
-    e = edge_table.select(line, "ax", "ay", "bx", "by", F.explode(cells_of(low(ax, bx), high(ax, bx), low(ay, by), high(ay, by), radius)).alias("c")).select(line, "ax", "ay", "bx", "by", "c.cx", "c.cy")
-    met = p.join(e, ["cx", "cy"]).withColumn("distance", geometry.segment_distance(F.col("x"), F.col("y"), ax, ay, bx, by)).where(F.col("distance") <= radius)
-    return met.groupBy(point, line).agg(F.min("distance").alias("distance"))
+    return tree.deal(edge_table.select(*others, "ax", "ay", "bx", "by"), F.least(ax, bx) - radius, F.greatest(ax, bx) + radius, F.least(ay, by) - radius, F.greatest(ay, by) + radius)
 
 
-def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, cap: float | None = None) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, cap: float | None = None, capacity: int = 64) -> DataFrame:
     """The nearest target point of each point, the smaller id on ties, within ``cap`` if it is given.
 
-    The search radius starts where a cell holds about four targets and grows fourfold
-    for the points that found none, until it spans the map: each round is an equality
-    join on cells, and later rounds have few points. Points without coordinates and,
-    with ``cap``, those too far from all targets have no row."""
+    Targets are dealt into the leaves of a quadtree over the whole map, of which there are at
+    most some thousands whatever the table; each leaf has its targets' box, and these boxes
+    are broadcast. The search radius starts where a square of its side holds about four
+    targets and grows fourfold for the points that found none. In a round a point looks at the
+    boxes within the radius and keeps those that are no further than the far corner of
+    the best of them: only these leaves' targets are met, a few for each point, also for a
+    point far from all. Points without coordinates and, with ``cap``, those too far
+    from all targets have no row."""
     p, t = written(points.select(point, "x", "y"), "points"), written(targets.select(target, "x", "y"), "targets")
     box = p.select("x", "y").union(t.select("x", "y")).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max))).first()
     n = t.count()
     width, height = (box["max_x"] or 0) - (box["min_x"] or 0), (box["max_y"] or 0) - (box["min_y"] or 0)
     whole = math.hypot(width, height) * 1.0001 or 1.0
+    tree = quadtree.build(t, max(width, height) or 1.0, max(capacity, -(-n // 4096)))
     whole = min(cap, whole) if cap else whole
     radius = min(whole, max(2 * math.sqrt(width * height / max(1, n)), whole / 2**20))
-    return _growing(p, radius, whole, point, lambda open_, r: nearest_by_cells(open_, t, point, target, r))
+    t = written(tree.place(t), "targets")
+    sides = [f(c).alias(f"{name}_{c}") for c in "xy" for f, name in ((F.min, "low"), (F.max, "high"))]
+    leaves = written(t.where("cx is not null and cy is not null").groupBy(*quadtree.CELL).agg(*sides), "leaves")
+    return _growing(p, radius, whole, point, lambda open_, r: _nearest_in_leaves(tree, open_, t, leaves, point, target, r))
+
+
+def _nearest_in_leaves(tree: quadtree.Quadtree, points: DataFrame, targets: DataFrame, leaves: DataFrame, point: str, target: str, radius: float) -> DataFrame:
+    x, y = F.col("x"), F.col("y")
+    # A few thousand leaves at most: see ``nearest``.
+    seen = tree.deal(points, x - radius, x + radius, y - radius, y + radius).join(F.broadcast(leaves), list(quadtree.CELL))
+    near, far = (lambda v, c: F.greatest(F.col(f"low_{c}") - v, v - F.col(f"high_{c}"), F.lit(0.0))), (lambda v, c: F.greatest(F.col(f"high_{c}") - v, v - F.col(f"low_{c}")))
+    seen = seen.withColumns({"__near": F.hypot(near(x, "x"), near(y, "y")), "__far": F.hypot(far(x, "x"), far(y, "y"))}).where(F.col("__near") <= radius)
+    leaf = F.struct("__near", *quadtree.CELL)
+    asked = seen.groupBy(point, "x", "y").agg(F.min("__far").alias("__bound"), F.collect_list(leaf).alias("__leaves"))
+    close = F.filter("__leaves", lambda c: c["__near"] <= F.col("__bound") * (1 + 1e-9))
+    asked = asked.select(point, "x", "y", F.explode(close).alias("c")).select(point, "x", "y", *(f"c.{c}" for c in quadtree.CELL))
+    met = asked.join(targets.select(target, F.col("x").alias("tx"), F.col("y").alias("ty"), *quadtree.CELL), list(quadtree.CELL))
+    met = met.withColumn("distance", F.hypot(F.col("tx") - x, F.col("ty") - y)).where(F.col("distance") <= radius)
+    best = met.groupBy(point).agg(F.min(F.struct("distance", target)).alias("best"))
+    return best.select(point, F.col(f"best.{target}"), F.col("best.distance"))
 
 
 def _growing(points: DataFrame, radius: float, whole: float, point: str, search) -> DataFrame:
@@ -72,7 +103,7 @@ def _growing(points: DataFrame, radius: float, whole: float, point: str, search)
         radius = min(whole, 4 * radius)
 
 
-def nearest_line(points: DataFrame, edge_table: DataFrame, point: str, line: str, cap: float, start: float | None = None) -> DataFrame:
+def nearest_line(points: DataFrame, edge_table: DataFrame, point: str, line: str, cap: float, start: float | None = None, capacity: int = quadtree.CAPACITY) -> DataFrame:
     """(point, line, distance, fraction): the line nearest to each point within ``cap``, and
     where on it (0 to 1 of its length) it is nearest; ties go to the smaller line and then
     to its earlier edge. The radius grows from ``start`` (the mean edge, if that is not
@@ -83,9 +114,9 @@ def nearest_line(points: DataFrame, edge_table: DataFrame, point: str, line: str
     mean = e.agg(F.avg("length")).first()[0] or cap
 
     def search(open_: DataFrame, radius: float) -> DataFrame:
-        ends, cell = tuple(map(F.col, ("ax", "ay", "bx", "by"))), max(radius, mean)
-        p = open_.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-        met = p.join(_dealt(e, radius, line, "i", "length", "start", cell=cell), ["cx", "cy"])
+        ends = tuple(map(F.col, ("ax", "ay", "bx", "by")))
+        tree = quadtree.build(open_, max(radius, mean), capacity)
+        met = tree.place(open_).join(_reaching(tree, e, radius, line, "i", "length", "start"), list(quadtree.CELL))
         off = geometry.segment_distance(F.col("x"), F.col("y"), *ends)
         along = F.col("start") + geometry.edge_fraction(F.col("x"), F.col("y"), *ends) * F.col("length")
         best = met.withColumns({"off": off, "along": along}).where(F.col("off") <= radius).groupBy(point).agg(F.min(F.struct(F.round("off", 9).alias("at"), line, "i", "off", "along")).alias("best"))
@@ -126,15 +157,6 @@ def depth_profile(points: DataFrame, raster: DataFrame, point: str, low: tuple[f
     return met.groupBy(point).agg(n.alias("n_wet"), F.when(n >= 2, slope).alias("slope"))
 
 
-def nearest_by_cells(points: DataFrame, targets: DataFrame, point: str, target: str, radius: float) -> DataFrame:
-    """As ``nearest`` for many points, within ``radius``: an equality join on cells."""
-    p = points.select(point, "x", "y", F.explode(cells_of(F.col("x") - radius, F.col("x") + radius, F.col("y") - radius, F.col("y") + radius, radius)).alias("c")).select(point, "x", "y", "c.cx", "c.cy")
-    t = targets.select(target, F.col("x").alias("tx"), F.col("y").alias("ty"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
-    met = p.join(t, ["cx", "cy"]).withColumn("distance", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"))).where(F.col("distance") <= radius)
-    best = met.groupBy(point).agg(F.min(F.struct("distance", target)).alias("best"))
-    return best.select(point, F.col(f"best.{target}"), F.col("best.distance"))
-
-
 def pieces(edge_table: DataFrame, line: str, length: float, stride: float) -> DataFrame:
     """Windows of ``length`` along each line, one every ``stride``, the last partial one dropped.
 
@@ -152,21 +174,24 @@ def pieces(edge_table: DataFrame, line: str, length: float, stride: float) -> Da
     return placed.groupBy(line, "k").agg(pick("px", "a").alias("ax"), pick("py", "a").alias("ay"), pick("px", "b").alias("bx"), pick("py", "b").alias("by"))
 
 
-def exposure_arc(origins: DataFrame, edge_table: DataFrame, origin: str, direction: str, radius: float, step: int = 5, skip: float = 1.0) -> DataFrame:
-    """Degrees of open water: ``step`` for each ray within 90 degrees of the facing that meets no edge.
+def exposure_arc(origins: DataFrame, edge_table: DataFrame, origin: str, direction: str, radius: float, step: int = 5, skip: float = 1.0, capacity: int = quadtree.CAPACITY) -> DataFrame:
+    """Degrees of open water: ``step`` for each ray within 90 degrees of the facing that meets no edge
+    between ``skip`` and ``radius``.
 
-    Rays and edges meet in cells of the radius; an origin's rays are tested
-    against the edges of the cells around it."""
-    rays = origins.select(origin, "x", "y", direction, F.explode(F.sequence(F.lit(-90), F.lit(90), F.lit(step))).alias("turn"))
-    qx, qy = geometry.ray_end(F.col("x"), F.col("y"), radius, F.col(direction) + F.col("turn"))
-    rays = rays.withColumns({"qx": qx, "qy": qy, "cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)})
-    ax, ay, bx, by = map(F.col, ("ax", "ay", "bx", "by"))
-    reach = cells_of(F.least(ax, bx) - radius, F.greatest(ax, bx) + radius, F.least(ay, by) - radius, F.greatest(ay, by) + radius, radius)
-    near = edge_table.select("ax", "ay", "bx", "by", F.explode(reach).alias("c")).select("ax", "ay", "bx", "by", "c.cx", "c.cy")
-    hit = rays.join(near, ["cx", "cy"]).where(geometry.ray_hits(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"), ax, ay, bx, by, skip)).select(origin, "turn").distinct()
-    blocked = hit.groupBy(origin).agg(F.count("*").alias("n"))
+    An edge meets an origin once: what it hides are one or two intervals of directions,
+    those of its parts within the radius and beyond ``skip``. The rays in them are bits,
+    and the union over all edges is one ``bit_or`` for each ``WORD`` rays, combined before the shuffle."""
     most = len(range(-90, 91, step))
-    return origins.join(blocked, origin, "left").select(origin, ((most - F.coalesce("n", F.lit(0))) * step).cast("long").alias("exposure_arc_deg"))
+    tree = quadtree.build(origins, radius, capacity)
+    near = tree.place(origins.select(origin, "x", "y", direction)).join(_reaching(tree, edge_table, radius), list(quadtree.CELL))
+    near = geometry.hidden_arcs(near, skip, radius)
+    near = near.withColumns({f"__off{k}": F.pmod(F.col(f"__start{k}") - F.col(direction) + 90, F.lit(360.0)) for k in (1, 2)})
+    words = range(0, most, WORD)
+    rays = lambda k, w: geometry.rays_in(F.col(f"__off{k}"), F.col(f"__width{k}"), step, w, min(most, w + WORD))
+    masks = {f"__m{w}": rays(1, w).bitwiseOR(rays(2, w)) for w in words}
+    hidden = near.withColumns(masks).groupBy(origin).agg(*(F.bit_or(m).alias(m) for m in masks))
+    n = reduce(lambda a, b: a + b, [F.bit_count(F.coalesce(F.col(m), F.lit(0))) for m in masks])
+    return origins.join(hidden, origin, "left").select(origin, ((most - n) * step).cast("long").alias("exposure_arc_deg"))
 
 
 def annulus_length(points: DataFrame, edge_table: DataFrame, point: str, inner: float, outer: float) -> DataFrame:

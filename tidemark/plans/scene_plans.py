@@ -14,14 +14,14 @@ from tidemark.sources.adapters import table, with_views
 KEYS = ["spot_id", "scene_date"]
 SCENE_SQL = """, sf AS (SELECT spot_id, scene_date, count(*) AS segment_count, count(foam) AS valid_segments, round(max(foam), 4) AS max_foam, round(avg(foam) + 1e-9, 4) AS mean_foam,
         list_sort(list(foam) FILTER (foam IS NOT NULL))[count(foam) // 2 + 1] AS median_foam, arg_min(swell_height_m, (pos, segment_id, supplier_id)) AS swell_height_m, coalesce(nullif(first(swell_period_s ORDER BY pos, segment_id, supplier_id), 0), 8) AS swell_period_s,
-        arg_min(swell_direction_deg, (pos, segment_id, supplier_id)) AS swell_direction_deg, first(quality_score ORDER BY pos, segment_id, supplier_id) AS quality_score
+        arg_min(swell_direction_deg, (pos, segment_id, supplier_id)) AS swell_direction_deg, coalesce(first(quality_score ORDER BY pos, segment_id, supplier_id), 0) AS quality_score
         FROM (SELECT *, CASE WHEN coalesce(water_pixel_count, 0) >= 50 THEN foam_fraction END AS foam FROM scene) GROUP BY spot_id, scene_date HAVING count(foam) > 0 AND first(swell_height_m ORDER BY pos, segment_id, supplier_id) IS NOT NULL)"""
 GALLERY_SQL = "CASE " + " ".join(f"WHEN swell_height_m >= {a} AND swell_height_m < {b} THEN '{n}'" for a, b, n in zip(labels.GALLERY_EDGES, labels.GALLERY_EDGES[1:], labels.GALLERY_LABELS, strict=False)) + " END"
 LONG_SQL = "CASE WHEN coalesce(swell_period_s, 0) >= 8 THEN 0 ELSE 1 END"
 
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenes.scene_foam(adapters.scenes(spark, sf_dir), KEYS, F.struct(*adapters.ORDER))
+    return scenes.scene_foam(adapters.scenes(spark, sf_dir), KEYS, adapters.unique_order())
 
 
 @query(with_views("det scene", SCENE_SQL + " SELECT * FROM sf"))

@@ -6,7 +6,7 @@ DuckDB, so that both sides read one definition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Pixel classes that the pixel view cycles through.
@@ -39,6 +39,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER = ("pos", "segment_id", "supplier_id")
 
 
+def unique_order() -> Column:
+    """``ORDER`` as one number: the row's place, then its segment and supplier, 12 and 7 digits wide."""
+    wide = lambda c, digits: F.col(c).cast("decimal(19,0)") * F.lit("1" + "0" * digits).cast("decimal(20,0)")
+    return (wide("pos", 19) + wide("segment_id", 7) + F.col("supplier_id")).cast("decimal(38,0)")
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     return part.select(

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        # The setting cannot be changed in a running session, so that the folder is kept here.
+        path = _local.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="tidemark-")
+        _local[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
