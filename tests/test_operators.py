@@ -515,3 +515,40 @@ def test_scene_foam_has_no_sort_aggregate_and_counts_missing_quality_as_zero(spa
     assert got.keys() == {"a", "d"}
     assert (got["a"]["segment_count"], got["a"]["valid_segments"], got["a"]["median_foam"], got["a"]["swell_height_m"], got["a"]["quality_score"]) == (3, 2, 0.3, 2.0, 0.0)
     assert (got["d"]["swell_period_s"], got["d"]["swell_direction_deg"], got["d"]["quality_score"]) == (8.0, None, 80.0)
+
+
+def test_places_of_one_long_chain_over_many_ranges(spark):
+    import random
+
+    from tidemark.operators import ordered
+
+    rng = random.Random(4)
+    rows = [("long", rng.random(), k) for k in range(4000)] + [("short", rng.random(), k) for k in range(7)] + [(None, 1.0, 1), (None, 0.5, 2)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "chain string, at double, k int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        found = ordered.placed(df, ["chain"], ["at"], "pos", "n")
+        got = {(r["chain"], r["k"]): (r["pos"], r["n"]) for r in found.collect()}
+        total = [r["k"] for r in ordered.placed(df.where("chain = 'long'"), [], ["at", "k"]).orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for chain in ("long", "short", None):
+        own = sorted((at, k) for c, at, k in rows if c == chain)
+        want |= {(chain, k): (i, len(own)) for i, (_, k) in enumerate(own)}
+    assert got == want and found.columns == ["chain", "at", "k", "pos", "n"]
+    assert total == [k for _, k in sorted((at, k) for c, at, k in rows if c == "long")]
+    assert ordered.placed(df.limit(0), ["chain"], ["at"]).count() == 0
+
+
+def test_sections_do_not_break_at_the_borders_of_ranges(spark):
+    df = spark.createDataFrame([("a", k, 40.0 + k, 1.0 * k, float(k % 50)) for k in range(203)] + [("b", 1, 0.0, 0.0, 1.0)], "chain string, segment_id int, lat double, lon double, total_score double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["g"]: r["segment_ids"] for r in atlas.sections(atlas.tiled(df, "chain", ["segment_id"]), "chain").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {g: ",".join(str(k) for k in range(5 * g, min(203, 5 * g + 6))) for g in range(41) if 203 - 5 * g >= 2}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import rounded
 from tidemark.operators import graph, ranking
+from tidemark.operators import ordered as numbers
 from tidemark.sources.scratch import written
 
 SIZE, STRIDE = 6, 5
@@ -15,8 +16,7 @@ SIZE, STRIDE = 6, 5
 def tiled(ordered: DataFrame, chain: str, order: list[str], size: int = SIZE, stride: int = STRIDE) -> DataFrame:
     """Rows with their section number ``g``: groups of ``size`` every ``stride`` rows along a
     chain, groups of one dropped. A row in an overlap appears once for each section."""
-    w = Window.partitionBy(chain)
-    rows = ordered.withColumns({"pos": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count("*").over(w)})
+    rows = numbers.placed(ordered, [chain], order, "pos", "n")
     first = F.greatest(F.ceil((F.col("pos") - (size - 1)) / stride), F.lit(0))
     last = F.floor(F.col("pos") / stride)
     out = rows.withColumn("g", F.explode(F.sequence(first, last)))
@@ -42,15 +42,9 @@ def sections(rows: DataFrame, chain: str, pad: float = 0.005, frac: str | None =
     )
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "section_id", template: str = "atlas-%04d", group: str | None = None) -> DataFrame:
-    """Consecutive ids in order. Rows are numbered within ``group`` (the first of
-    ``order``) and shifted by the counts of the groups before."""
-    group = group or order[0]
-    sizes = df.groupBy(group).agg(F.count("*").alias("__c"))
-    before = sizes.select(group, (F.sum("__c").over(Window.partitionBy().orderBy(group)) - F.col("__c")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    out = df.withColumn("__n", within).join(before, group)
-    return out.withColumn(name, F.format_string(template, F.col("__before") + F.col("__n"))).drop("__n", "__before")
+def numbered(df: DataFrame, order: list[str], name: str = "section_id", template: str = "atlas-%04d") -> DataFrame:
+    """Consecutive ids in order."""
+    return numbers.placed(df, [], order, "__n").withColumn(name, F.format_string(template, F.col("__n") + 1)).drop("__n")
 
 
 def chains(edge_list: DataFrame) -> DataFrame:
