@@ -552,3 +552,25 @@ def test_sections_do_not_break_at_the_borders_of_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found == {g: ",".join(str(k) for k in range(5 * g, min(203, 5 * g + 6))) for g in range(41) if 203 - 5 * g >= 2}
+
+
+def test_names_in_reading_order(spark):
+    from tidemark.operators import scenes
+
+    df = spark.createDataFrame([(1, n) for n in ["Zed", "élan", "Eland", "apple", "Äpfel", "Banana", "eel"]] + [(2, None), (2, "b"), (2, "A")], "day int, name string")
+    got = {r["day"]: r["names"] for r in df.groupBy("day").agg(scenes.in_reading_order("name").alias("names")).collect()}
+    assert got[2] == "A, b" and got[1].split(", ") == ["Äpfel", "apple", "Banana", "eel", "élan", "Eland", "Zed"]
+
+
+def test_bad_rows_are_set_aside_in_one_pass(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import rows
+
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, -1.0), (4, 5.0), (None, 1.0)], "id int, value double")
+    rules = {"no id": F.col("id").isNotNull(), "no value": F.col("value").isNotNull(), "below zero": F.col("value") >= 0}
+    path = str(tmp_path / "run")
+    assert rows.isolate(df, rules, path) == {"rows": 5, "good": 2, "no id": 1, "no value": 1, "below zero": 1}
+    assert sorted(r["id"] for r in rows.good(spark, path).collect()) == [1, 4]
+    assert sorted((r["id"] or 0, r["error"]) for r in rows.rejected(spark, path).collect()) == [(0, "no id"), (2, "no value"), (3, "below zero")]
+    assert rows.isolate(df.limit(0), rules, path)["rows"] == 0

@@ -61,3 +61,10 @@ def compare_dates(scenes: DataFrame, spot: str, date: str) -> DataFrame:
         F.min_by("swell_direction_deg", F.when(F.col("swell_period_s").isNotNull(), F.col(spot))).alias("direction_deg"),
         F.array_join(F.array_sort(F.collect_list(F.col(spot).cast("string"))), ",").alias("spots"),
     )
+
+
+def in_reading_order(name: str, locale: str = "UNICODE") -> Column:
+    """Names of a group joined by commas, in the order of a locale's collation: accents and case
+    come after the letters, unlike their bytes. A group is the spots of one date."""
+    ordered = F.array_sort(F.transform(F.collect_list(name), lambda n: F.collate(n, locale)))
+    return F.array_join(F.transform(ordered, lambda n: F.collate(n, "UTF8_BINARY")), ", ")

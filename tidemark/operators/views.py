@@ -77,3 +77,9 @@ def preferred_slugs(configs: DataFrame, wanted: DataFrame) -> DataFrame:
     best = held.withColumn("of", F.struct((F.col("found") != F.col("slug")).alias("partial"), F.col("found")))
     pairs = wanted.distinct().join(best, "slug", "left")
     return pairs.groupBy("slug").agg(F.min(F.when(F.col("found").isNotNull(), F.col("of"))).alias("best")).select("slug", F.col("best.found").alias("found"))
+
+
+def discovered(manifests: DataFrame, configs: DataFrame, slug: str) -> DataFrame:
+    """``manifests`` with ``has_config``; several configs of one name count once."""
+    known = configs.select(slug).where(F.col(slug).isNotNull()).distinct().withColumn("has_config", F.lit(True))
+    return manifests.join(known, slug, "left").withColumn("has_config", F.coalesce("has_config", F.lit(False)))
