@@ -102,6 +102,8 @@ FACING = ((0.8, "directly into Atlantic swell window"), (0.4, "oblique to primar
 HIGHLIGHTS = {"swell": ((30, "Excellent swell exposure"), (20, "Good swell alignment")), "shape": ((15, "Favorable coastal geometry"),), "road": ((10, "Good road access"),)}
 CAVEATS = {"bathymetry": "No bathymetry data available", "road": "Remote — no nearby road access", "arc": "Limited ocean exposure"}
 LEAST_ARC = 60
+SLOPE_TEXTS = ("Bathymetry data not available (GEBCO not loaded)", "Shallow nearshore area", "Nearshore gradient: %.3f m/m")
+ROAD_TEXTS = ("No road within 5km", "Road access within ", "m", "Road ", "m away")
 
 
 def facing_text(orientation: Column, share: Column) -> Column:
@@ -110,12 +112,12 @@ def facing_text(orientation: Column, share: Column) -> Column:
 
 
 def slope_text(n_wet: Column, slope: Column) -> Column:
-    return F.when(n_wet.isNull(), "Bathymetry data not available (GEBCO not loaded)").when(n_wet < 2, "Shallow nearshore area").otherwise(F.format_string("Nearshore gradient: %.3f m/m", binary_rounded(slope, 3)))
+    return F.when(n_wet.isNull(), SLOPE_TEXTS[0]).when(n_wet < 2, SLOPE_TEXTS[1]).otherwise(F.format_string(SLOPE_TEXTS[2], binary_rounded(slope, 3)))
 
 
 def road_text(distance: Column) -> Column:
     metres = F.bround(distance).cast("long").cast("string")
-    return F.when(distance.isNull(), "No road within 5km").when(distance <= 200, F.concat(F.lit("Road access within "), metres, F.lit("m"))).otherwise(F.concat(F.lit("Road "), metres, F.lit("m away")))
+    return F.when(distance.isNull(), ROAD_TEXTS[0]).when(distance <= 200, F.concat(F.lit(ROAD_TEXTS[1]), metres, F.lit(ROAD_TEXTS[2]))).otherwise(F.concat(F.lit(ROAD_TEXTS[3]), metres, F.lit(ROAD_TEXTS[4])))
 
 
 def highlights(swell: Column, shape: Column, road: Column) -> Column:

@@ -7,4 +7,4 @@ __all__ = ["QUERIES", "SQL", "load"]
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tidemark.plans import evidence, lookups, places, scene_plans, views, zones  # noqa: F401
+    from tidemark.plans import evidence, lookups, places, scene_plans, trips, views, zones  # noqa: F401

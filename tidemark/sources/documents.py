@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fields of the stored documents.
 SPOT = "name string, slug string, region string, bbox array<double>, point struct<lat:double,lon:double>, breaks array<struct<name:string,lat:double,lon:double,type:string>>, date_range struct<start:string>, export struct<drive_folder:string>"
 ATLAS = SPOT + ", atlas_metadata struct<mean_score:double,max_score:double,segment_count:int,segment_ids:array<string>,coastline_length_m:double>"
 SEGMENT = "segment_id:string,centroid_lat:double,centroid_lon:double,orientation_deg:double,shore_bearing_deg:double,exposure_arc_deg:double,length_m:double,total_score:double"
@@ -42,9 +43,22 @@ def lines(feature_rows: DataFrame) -> DataFrame:
     return feature_rows.withColumn("line", F.explode(parts)).where(F.size("line") >= 2)
 
 
-def foam_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Detections of all manifests; broken files and rows without a segment are left out."""
-    raw = spark.read.schema(f"spot string, detections array<struct<{_nested(DETECTION)}>>, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def feature_lines(spark: SparkSession, path: str, properties: str = SEGMENT) -> DataFrame:
+    """As ``features`` from files of one feature a line, which Spark splits."""
+    raw = spark.read.schema(f"type string, properties struct<{properties}>, geometry struct<type:string,coordinates:string>").json(path)
+    return raw.where("type = 'Feature'").select("properties.*", F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"))
+
+
+def review(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of review sheets as texts; empty cells are null."""
+    from tidemark.sources.sinks import REVIEW
+
+    return spark.read.schema(", ".join(f"{c} string" for c in REVIEW)).option("header", True).option("escape", '"').csv(path)
+
+
+def foam_detections(spark: SparkSession, path: str, a_line: bool = False) -> DataFrame:
+    """Detections of all manifests, one a file or ``a_line``; broken ones and rows without a segment are left out."""
+    raw = spark.read.schema(f"spot string, detections array<struct<{_nested(DETECTION)}>>, _corrupt_record string").option("multiLine", not a_line).option("mode", "PERMISSIVE").json(path)
     rows = raw.where("_corrupt_record is null").select(F.input_file_name().alias("file"), F.explode("detections").alias("d")).select("file", "d.*")
     return rows.where("segment_id is not null and segment_id <> ''")
 
@@ -70,10 +84,10 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def hourly(spark: SparkSession, path: str, metrics: Sequence[str] = MARINE) -> DataFrame:
+def hourly(spark: SparkSession, path: str, metrics: Sequence[str] = MARINE, a_line: bool = False) -> DataFrame:
     """Parallel hourly arrays as rows; a metric that is missing or short is null."""
     arrays = ",".join(f"{m}:array<double>" for m in metrics)
-    raw = spark.read.schema(f"latitude double, longitude double, hourly struct<time:array<string>,{arrays}>").option("multiLine", True).json(path)
+    raw = spark.read.schema(f"latitude double, longitude double, hourly struct<time:array<string>,{arrays}>").option("multiLine", not a_line).json(path)
     none = F.array().cast("array<double>")  # a null array would make the whole zip null
     whole = raw.select("latitude", "longitude", F.col("hourly.time").alias("time"), *(F.coalesce(F.col(f"hourly.{m}"), none).alias(m) for m in metrics))
     rows = whole.select("latitude", "longitude", F.explode(F.arrays_zip("time", *metrics)).alias("h"))

@@ -42,7 +42,7 @@ def write_features(df: DataFrame, path: str, properties: list[str], x: str, y: s
 def write_review(df: DataFrame, path: str) -> None:
     """Review sheet with the fixed header; columns that are missing are empty."""
     have = set(df.columns)
-    df.select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in REVIEW)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in REVIEW)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def run_row(spark: SparkSession, run_id: str, script: str, parameters: dict[str, str], summary: dict[str, str], code_version: str | None = None) -> DataFrame:
