@@ -574,3 +574,31 @@ def test_bad_rows_are_set_aside_in_one_pass(spark, tmp_path):
     assert sorted(r["id"] for r in rows.good(spark, path).collect()) == [1, 4]
     assert sorted((r["id"] or 0, r["error"]) for r in rows.rejected(spark, path).collect()) == [(0, "no id"), (2, "no value"), (3, "below zero")]
     assert rows.isolate(df.limit(0), rules, path)["rows"] == 0
+
+
+def test_a_run_carries_on_after_a_stop(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import resume
+
+    path, asked = str(tmp_path), []
+
+    def make(todo):
+        asked.append(sorted(r["k"] for r in todo.collect()))
+        return todo.where("k <> 4").select("k", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("v"))
+
+    def broken(todo):
+        # Rows are written, the keys are not: the run stops in between.
+        make(todo).withColumn("run", F.lit("broken")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("k").parquet(f"{path}/data")
+        raise RuntimeError("stopped")
+
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    resume.run_missing(keys(1, 2, 2, None), "k", make, path, "a")
+    with pytest.raises(RuntimeError, match="stopped"):
+        resume.run_missing(keys(1, 2, 3), "k", broken, path, "b")
+    resume.run_missing(keys(1, 2, 3, 4), "k", make, path, "c")
+    resume.run_missing(keys(1, 2, 3, 4), "k", make, path, "d")
+    assert asked == [[1, 2], [3], [3, 4], []]
+    rows = sorted((r["k"], r["v"], r["run"]) for r in resume.made(spark, path, "v int, run string, k int").collect())
+    assert rows == [(1, 1, "a"), (2, 1, "a"), (2, 2, "a"), (3, 1, "c"), (3, 2, "c"), (3, 3, "c")]
+    assert sorted((r["k"], r["run"]) for r in resume.done(spark, path, "k", "int").collect()) == [(1, "a"), (2, "a"), (3, "c"), (4, "c")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import resume
 from tidemark.plans.registry import query
 from tidemark.sources import adapters, documents, sinks
 from tidemark.sources.adapters import table, with_views
@@ -84,3 +85,17 @@ def hourly_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_documents(days.select(F.col("station").cast("double").alias("latitude"), F.lit(0.0).alias("longitude"), hourly.alias("hourly")), path)
     back = documents.hourly(spark, path, a_line=True).where("wave_direction is null")
     return back.select(F.col("latitude").cast("long").alias("station"), "ts", "wave_height")
+
+
+@query(with_views("det", " SELECT spot_id, CASE WHEN spot_id < 12 THEN 'first' ELSE 'second' END AS run, count(*) AS n, round(max(foam_fraction), 3) AS max_foam FROM det GROUP BY spot_id"))
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over some spots, then one over all: the second makes only the spots that are missing."""
+    detections = adapters.detections(spark, sf_dir)
+    spots = detections.select("spot_id").distinct()
+    # Spots are few beside their rows, and one has a large part of these.
+    make = lambda todo: detections.join(F.broadcast(todo), "spot_id").select("spot_id", "segment_id", "foam_fraction")
+    path = new_path(spark, "resumed")
+    resume.run_missing(spots.where("spot_id < 12"), "spot_id", make, path, "first")
+    resume.run_missing(spots, "spot_id", make, path, "second")
+    rows = resume.made(spark, path, "segment_id long, foam_fraction double, run string, spot_id long")
+    return rows.groupBy("spot_id", "run").agg(F.count("*").alias("n"), F.round(F.max("foam_fraction"), 3).alias("max_foam"))
