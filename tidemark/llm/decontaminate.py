@@ -20,7 +20,8 @@ Defined results: null and wordless texts have no words and no hits; items withou
 text or words never occur; items without an id occur like others and count
 as one item, which the digest does not list; rows with one item id are one item; equal
 windows of several items count for each of them; repeated rows are independent;
-an empty benchmark marks nothing; input columns named like an added one are
+an empty benchmark marks nothing; very long texts are scanned whole, their words
+held as a list; input columns named like an added one are
 replaced.
 """
 

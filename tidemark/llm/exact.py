@@ -22,8 +22,8 @@ Main path: DataFrame functions only.
 Defined results: null counts as the empty text; the row with the largest id stays, a
 null id is smaller than every id; of rows with one text and one id (or without
 any), the first read stays, so every group keeps exactly one row; a group
-without ids has keep_id null; an empty table gives an empty result; extra columns
-are ignored.
+without ids has keep_id null; an empty table gives an empty result; very long texts are
+compared whole, one a row in memory; extra columns are ignored.
 """
 
 from __future__ import annotations

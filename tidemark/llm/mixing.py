@@ -25,8 +25,8 @@ Main path: DataFrame functions only.
 Defined results: a null text has size 0 and takes 0; the null source is a source,
 last in order; all sizes 0 gives targets 0; draws are hashes of id, text and
 level, so reruns agree; repeated rows are documents of their own, and those equal in
-source, id and text are rounded by their number, so they never gather; extra
-columns are ignored.
+source, id and text are rounded by their number, so they never gather; an empty table
+gives an empty result; very long texts are counted whole; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ shuffle of documents, one pass over whole texts.
 Defined results: null, empty and wordless texts get the share of label 1; with no
 usable labels every score is 0.5; rows with another label than 0 or 1 are not
 learned; of texts with one id the smallest is learned; an id with both labels
-is learned with both; repeated rows are scored alike; input columns named like an added one
-are replaced.
+is learned with both; repeated rows are scored alike; an empty table gives an empty result; very
+long texts are counted whole, in pieces; input columns named like an added one are replaced.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ numbered in pieces.
 Main path: DataFrame functions only.
 
 Defined results: a null text has size ``OVERHEAD`` and the CRC of no bytes; a null
-id is placed like any id; repeated ids land in one shard in slots of their own;
+id is placed like any id; repeated ids land in one shard in slots of their own; an empty
+table gives an empty result; of very long texts only the size and the CRC are kept;
 extra columns are kept, those named like an added one are replaced.
 """
 

@@ -34,8 +34,8 @@ other rule. Copies are one row a shingle set before anything meets by component.
 Defined results: null and wordless texts have fingerprint 0 and link like any
 other; texts of fewer words than a shingle are hashed whole; repeated doc_ids
 are separate rows with one component; a null id is larger than every id, and a
-component without any id has component_id null; an empty table gives an empty
-result; extra columns are ignored, whatever their names.
+component without any id has component_id null; texts with very many shingles are hashed
+whole, in blocks; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

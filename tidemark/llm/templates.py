@@ -18,7 +18,9 @@ many documents meet their templates by broadcast (there are few of them).
 
 Defined results: null texts have no lines and stay empty; lines without words
 stay; words are counted by the rows that hold their line; rows with one doc_id count as
-one document, rows without are documents of their own; extra columns are ignored.
+one document, rows without are documents of their own; an empty table gives an empty result; very
+long texts and lines are treated whole, a busy line as an array as long as it is; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ measuring them.
 Defined results: a null or unparsable URL falls under no key and is allowed; so is
 a null fetch time; of entries with equal list, key and time, 'remove' wins;
 entries with a null list, key, time or another action are ignored; repeated
-captures are rows of their own; empty tables work; input columns named like an
-added one are replaced.
+captures are rows of their own; empty tables work; a very long URL is read whole, and has a
+key for each label of its host, so that it costs the square of the host's length at most;
+input columns named like an added one are replaced.
 """
 
 from __future__ import annotations
