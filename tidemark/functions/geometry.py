@@ -95,38 +95,34 @@ def length_inside(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
 
 
 def hidden_arcs(met: DataFrame, skip: float, radius: float) -> DataFrame:
-    """``met`` (x, y, ax, ay, bx, by, ...) with __start1, __width1, __start2, __width2: the directions from
-    (x, y), in degrees, that the edge a-b hides, of its part on either side of the disc of ``skip``
-    around the point, within ``radius``; null where there is none. Each step is a
-    projection of its own, so that no expression is written out twice."""
+    """``met`` (x, y, ax, ay, bx, by, ...) once for each part of the edge a-b within ``radius`` of (x, y) on either
+    side of the disc of ``skip`` around it, with the directions that this part hides:
+    __start and __width in degrees. Each step is a projection of its own, and both parts take
+    the same ones, so that the compiled code stays short enough to be optimised."""
     c = F.col
     met = met.withColumns({"__dx": c("bx") - c("ax"), "__dy": c("by") - c("ay"), "__fx": c("ax") - c("x"), "__fy": c("ay") - c("y")})
-    met = met.withColumns({"__a": c("__dx") * c("__dx") + c("__dy") * c("__dy"), "__b": 2 * (c("__fx") * c("__dx") + c("__fy") * c("__dy")), "__c": c("__fx") * c("__fx") + c("__fy") * c("__fy")})
-    # Where on the edge's line (0 to 1 on the edge) its distance from the point is r; null if it never is.
-    root = lambda r: c("__b") * c("__b") - 4 * c("__a") * (c("__c") - r * r)
-    half = lambda r: F.when((c("__a") > 0) & (root(r) >= 0), F.sqrt(root(r)))
-    met = met.withColumns({"__out": half(radius), "__in": half(skip)}).where("__out is not null")
-    at = lambda sign, h: (-c("__b") + sign * c(h)) / (2 * c("__a"))
-    met = met.withColumns({"__low": F.greatest(at(-1, "__out"), F.lit(0.0)), "__high": F.least(at(1, "__out"), F.lit(1.0)), "__near": at(-1, "__in"), "__far": at(1, "__in")})
+    met = met.withColumns({"__a": 2 * (c("__dx") * c("__dx") + c("__dy") * c("__dy")), "__b": 2 * (c("__fx") * c("__dx") + c("__fy") * c("__dy")), "__c": c("__fx") * c("__fx") + c("__fy") * c("__fy")})
+    # Where on the edge's line (0 to 1 on the edge) its distance from the point is r: roots of a square equation.
+    met = met.where("__a > 0").withColumns({f"__q{k}": c("__b") * c("__b") - 2 * c("__a") * (c("__c") - r * r) for k, r in (("out", radius), ("in", skip))}).where("__qout >= 0")
+    met = met.withColumns({"__hout": F.sqrt("__qout"), "__hin": F.sqrt(F.greatest("__qin", F.lit(0.0)))})
+    met = met.withColumns({"__low": F.greatest((-c("__b") - c("__hout")) / c("__a"), F.lit(0.0)), "__high": F.least((c("__hout") - c("__b")) / c("__a"), F.lit(1.0))}).where("__low <= __high")
     # Without a crossing of the inner disc the first part is the whole edge and there is no second.
-    met = met.withColumns({"__last1": F.least("__near", "__high"), "__first2": F.when(c("__far").isNotNull(), F.greatest("__far", "__low"))})
-    ends = {"1": ("__low", "__last1"), "2": ("__first2", "__high")}
+    crossed = c("__qin") >= 0
+    met = met.withColumns({"__near": F.when(crossed, F.least((-c("__b") - c("__hin")) / c("__a"), c("__high"))).otherwise(c("__high")), "__far": F.when(crossed, F.greatest((c("__hin") - c("__b")) / c("__a"), c("__low"))).otherwise(F.lit(2.0))})
+    parts = F.explode(F.array(F.struct(c("__low").alias("first"), c("__near").alias("last")), F.struct(c("__far").alias("first"), c("__high").alias("last"))))
+    met = met.withColumn("__part", parts).where("__part.first <= __part.last")
     towards = lambda t: bearing(c("__fx") + c(t) * c("__dx"), c("__fy") + c(t) * c("__dy"))
-    met = met.withColumns({f"__{name}{k}": F.when(c(first) <= c(last), towards(t)) for k, (first, last) in ends.items() for name, t in (("from", first), ("to", last))})
-    met = met.withColumns({f"__turn{k}": F.pmod(c(f"__to{k}") - c(f"__from{k}") + 180, F.lit(360.0)) - 180 for k in ends})
-    arcs = {f"__start{k}": F.when(c(f"__turn{k}") >= 0, c(f"__from{k}")).otherwise(c(f"__to{k}")) for k in ends} | {f"__width{k}": F.abs(f"__turn{k}") for k in ends}
-    return met.withColumns(arcs).drop(*(x for x in met.columns if x.startswith("__")))
+    met = met.withColumns({"__from": towards("__part.first"), "__to": towards("__part.last")})
+    met = met.withColumn("__turn", F.pmod(c("__to") - c("__from") + 180, F.lit(360.0)) - 180)
+    met = met.withColumns({"__start": F.when(c("__turn") >= 0, c("__from")).otherwise(c("__to")), "__width": F.abs("__turn")})
+    return met.drop(*(x for x in met.columns if x.startswith("__") and x not in ("__start", "__width")))
 
 
-def rays_in(off: Column, width: Column, step: int, first: int, last: int) -> Column:
-    """Bits of the rays ``first`` to ``last`` - 1, ``step`` degrees apart, in an arc of less than 180
-    degrees that starts ``off`` (0 to 360) degrees from ray 0."""
-
-    def bits(at: Column) -> Column:
-        low, high = F.greatest(F.ceil(at / step), F.lit(first)), F.least(F.floor((at + width) / step), F.lit(last - 1))
-        return F.when(at.isNotNull() & (low <= high), (F.pow(F.lit(2.0), high - first + 1) - F.pow(F.lit(2.0), low - first)).cast("long")).otherwise(F.lit(0))
-
-    return bits(off).bitwiseOR(bits(off - 360))
+def rays_in(off: str, width: str, step: int, first: int, last: int) -> Column:
+    """Bits of the rays ``first`` to ``last`` - 1, ``step`` degrees apart over half a circle, in an arc of less
+    than 180 degrees that starts ``off`` (-180 to 180) degrees from ray 0."""
+    low, high = f"greatest(ceil({off} / {step}), {first})", f"least(floor(({off} + {width}) / {step}), {last - 1})"
+    return F.expr(f"case when {low} <= {high} then shiftleft(1L, cast({high} - {first - 1} as int)) - shiftleft(1L, cast({low} - {first} as int)) else 0L end")
 
 
 def swell_exposure(orientation: Column, arc: Column, main: float = 170.0) -> Column:

@@ -185,10 +185,9 @@ def exposure_arc(origins: DataFrame, edge_table: DataFrame, origin: str, directi
     tree = quadtree.build(origins, radius, capacity)
     near = tree.place(origins.select(origin, "x", "y", direction)).join(_reaching(tree, edge_table, radius), list(quadtree.CELL))
     near = geometry.hidden_arcs(near, skip, radius)
-    near = near.withColumns({f"__off{k}": F.pmod(F.col(f"__start{k}") - F.col(direction) + 90, F.lit(360.0)) for k in (1, 2)})
-    words = range(0, most, WORD)
-    rays = lambda k, w: geometry.rays_in(F.col(f"__off{k}"), F.col(f"__width{k}"), step, w, min(most, w + WORD))
-    masks = {f"__m{w}": rays(1, w).bitwiseOR(rays(2, w)) for w in words}
+    off = F.pmod(F.col("__start") - F.col(direction) + 90, F.lit(360.0))
+    near = near.withColumn("__off", off).withColumn("__off", F.when(F.col("__off") > 180, F.col("__off") - 360).otherwise(F.col("__off")))
+    masks = {f"__m{w}": geometry.rays_in("__off", "__width", step, w, min(most, w + WORD)) for w in range(0, most, WORD)}
     hidden = near.withColumns(masks).groupBy(origin).agg(*(F.bit_or(m).alias(m) for m in masks))
     n = reduce(lambda a, b: a + b, [F.bit_count(F.coalesce(F.col(m), F.lit(0))) for m in masks])
     return origins.join(hidden, origin, "left").select(origin, ((most - n) * step).cast("long").alias("exposure_arc_deg"))
