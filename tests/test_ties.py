@@ -20,7 +20,7 @@ def tables(spark, path, parts, spots):
     return str(path), duck
 
 
-@pytest.mark.parametrize("name", ["calibration_percentile"])
+@pytest.mark.parametrize("name", ["calibration_percentile", "calibration_summary"])
 def test_ties_of_calibration(spark, tmp_path, name):
     path, duck = tables(spark, tmp_path, PARTS, SPOTS)
     got = plans.QUERIES[name](spark, path)
