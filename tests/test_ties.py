@@ -27,3 +27,11 @@ def test_ties_of_calibration(spark, tmp_path, name):
     want = duck.execute(plans.SQL[name])
     order = [d[0] for d in want.description]
     assert sorted(tuple(r) for r in got.select(*order).collect()) == sorted(want.fetchall())
+
+
+def test_ties_of_capped_places(spark, tmp_path):
+    path, duck = tables(spark, tmp_path, [538, 4058, 5528], [2053, 3553, 423, 1923, 1693, 3193])
+    want = duck.execute(plans.SQL["nearest_capped"])
+    order = [d[0] for d in want.description]
+    got = plans.QUERIES["nearest_capped"](spark, path).select(*order)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
