@@ -602,3 +602,11 @@ def test_a_run_carries_on_after_a_stop(spark, tmp_path):
     rows = sorted((r["k"], r["v"], r["run"]) for r in resume.made(spark, path, "v int, run string, k int").collect())
     assert rows == [(1, 1, "a"), (2, 1, "a"), (2, 2, "a"), (3, 1, "c"), (3, 2, "c"), (3, 3, "c")]
     assert sorted((r["k"], r["run"]) for r in resume.done(spark, path, "k", "int").collect()) == [(1, "a"), (2, "a"), (3, "c"), (4, "c")]
+
+
+def test_readings_within_a_second(spark):
+    """Readings as many whole seconds away tie, and half a second beyond the hour is out of reach."""
+    rows = [("a", "2024-01-01 14:59:59.6", 1.0), ("a", "2024-01-01 15:00:00.2", 2.0), ("a", "2024-01-01 16:00:00.5", 9.0), ("a", "2024-01-01 14:00:00", 4.0)]
+    df = spark.createDataFrame(rows, "station string, t string, value double").withColumn("ts", F.to_timestamp("t"))
+    got = series.nearest_in_day(df, ["station"], "ts", "value").first()
+    assert (got["n"], got["value"], got["low"], got["high"]) == (3, 1.0, 1.0, 4.0)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def nearest_in_day(readings: DataFrame, keys: list[str], ts: str, value: str, hour: int = 15, reach_s: int = 3600, tie: str | None = None) -> DataFrame:
-    """Per key and day: the reading nearest to ``hour`` within ``reach_s``, the earliest on ties,
-    and the range of the day's readings in reach."""
+    """Per key and day: the reading nearest to ``hour`` within ``reach_s``, the earliest of those
+    as many whole seconds away, and the range of the day's readings in reach, which ends at
+    the microsecond."""
     centre = F.date_trunc("day", ts).cast("timestamp") + F.expr(f"INTERVAL {hour} HOURS")
-    off = F.abs(F.unix_timestamp(ts) - F.unix_timestamp(centre))
-    rows = readings.withColumn("day", F.to_date(ts)).withColumn("off_s", off).where(F.col("off_s") <= reach_s)
+    off = F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(centre))
+    rows = readings.withColumns({"day": F.to_date(ts), "off_s": F.floor(off / 1_000_000)}).where(off <= reach_s * 1_000_000)
     order = F.struct("off_s", ts, *([tie] if tie else []))
     return rows.groupBy(*keys, "day").agg(
         F.count("*").alias("n"),
