@@ -140,3 +140,11 @@ def test_near_duplicates_at_likeness(spark, tables, monkeypatch, block):
     assert len(want) < len(rows) - 20
     tight = simhash.keep_representatives(docs.where("doc_id is not null")).count()
     assert len(want) < tight
+
+
+def test_sets_meet_by_fingerprint(spark):
+    """Alike sets without a common band meet by fingerprints within the radius; unlike ones are not linked."""
+    words = lambda *n: b"".join(i.to_bytes(4, "little") for i in n)
+    rows = [(0, 10, 0, 10, [1], words(*range(10))), (1, 11, 1, 10, [2], words(*range(9), 99)), (2, 12, 3, 10, [3], words(*range(50, 60)))]
+    df = spark.createDataFrame(rows, "__row long, __node long, __fp long, __size long, __bands array<long>, __set binary")
+    assert [tuple(r) for r in simhash.like_links(df).collect()] == [(10, 11)]

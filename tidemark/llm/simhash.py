@@ -21,12 +21,13 @@ group of near copies costs what its size is.
 
 Fingerprints within 4 bits are a far tighter bond than likeness 0.8 of 5-word
 shingles. ``keep_unlike`` is the operator's mode for a pipeline's stage: distinct
-shingle sets meet on equal bands of MinHash values, buckets are compared by exact
+shingle sets meet where pigeonring filtering links their fingerprints, and, for pairs
+beyond its radius, on equal bands of MinHash values; what meets is compared by exact
 Jaccard likeness (again a spanning forest, again in blocks), and
 components follow as above. ``BANDS`` bands of ``BAND_ROWS`` values meet a pair of
 likeness 0.8 with probability 0.9998 and one of 0.85 with 0.999995; below 0.8 no
-pair is linked. Only the keys are grouped; sets move once to the documents that
-share one and once to their buckets. Buckets of the same members are compared once. Null and wordless
+pair is linked. Only the keys are grouped; sets that meet none, but for a few that a
+bit table of ``MEETING_BITS`` bits mistakes, do not move, others move to their buckets. Buckets of the same members are compared once. Null and wordless
 texts are alike; one row of each component stays, that of the smallest id, nulls
 last, then of the smallest running number, so repeated and missing ids need no
 other rule. Copies are one row a shingle set before anything meets by component.
@@ -63,6 +64,7 @@ BANDS = 16
 BAND_ROWS = 4
 SET_BLOCK = 1 << 18
 SET_ROWS = 1 << 9
+MEETING_BITS = 1 << 23
 _TURNS = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -86,6 +88,14 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
     return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of a set of shingle hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
     """(id, fp), or the columns ``keep`` with fp: the fingerprint as a signed long."""
 
@@ -285,21 +295,22 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def shingle_sets(docs: DataFrame, text_col: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` with __node (tells shingle sets apart), __size, __bands and __set:
-    the set as sorted distinct 32-bit parts of its hashes."""
+    """``docs`` with __node (tells shingle sets apart), __fp (its fingerprint), __size, __bands
+    and __set: the set as sorted distinct 32-bit parts of its hashes."""
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
-        out: dict[str, list] = {"__node": [], "__size": [], "__bands": [], "__set": []}
+        out: dict[str, list] = {"__node": [], "__fp": [], "__size": [], "__bands": [], "__set": []}
         for t in texts:
             hashes = shingle_hashes(t, words)
             short = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
             out["__node"].append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63))
+            out["__fp"].append(int(np.uint64(set_fingerprint(hashes)).view(np.int64)))
             out["__size"].append(len(short))
             out["__bands"].append(_bands(hashes))
             out["__set"].append(short.tobytes())
         return out
 
-    fields = [("__node", T.LongType()), ("__size", T.LongType()), ("__bands", T.ArrayType(T.LongType())), ("__set", T.BinaryType())]
+    fields = [("__node", T.LongType()), ("__fp", T.LongType()), ("__size", T.LongType()), ("__bands", T.ArrayType(T.LongType())), ("__set", T.BinaryType())]
     return with_arrow_columns(docs, text_col, T.StructType([T.StructField(*f) for f in fields]), run)
 
 
@@ -353,26 +364,47 @@ def _like_links(likeness: float):
     return run
 
 
+def _met_by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(key, node, row, size): a bucket for each link of fingerprints that pigeonring filtering finds,
+    and one for each fingerprint of several nodes."""
+    prints = written(nodes.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
+    pairs = links(prints.select("fp", F.col("fp").alias("node"))).union(prints.where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    asked = pairs.select(F.xxhash64(F.lit("fp"), "a", "b").alias("key"), F.explode(F.array_distinct(F.array("a", "b"))).alias("fp"))
+    return asked.join(nodes, "fp").select("key", "node", "row", "size")
+
+
+def _meeting(sets: DataFrame, asked: DataFrame, bits: int) -> DataFrame:
+    """``sets`` without most of those whose row is not in ``asked``: rows are marked in a table of
+    ``bits`` bits, at most ``bits`` / 32 rows, which is broadcast. The join that follows is exact."""
+    bit = F.pmod(F.xxhash64("row"), F.lit(bits))
+    word = F.floor(bit / 32).alias("__word")
+    mark = F.element_at(F.array(*(F.lit(1 << i).cast("long") for i in range(32))), (bit % 32 + 1).cast("int"))
+    marks = asked.select(word, mark.alias("__mark")).groupBy("__word").agg(F.bit_or("__mark").alias("__marks"))
+    found = sets.withColumns({"__word": F.floor(bit / 32), "__mark": mark}).join(F.broadcast(marks), "__word")
+    return found.where(F.col("__marks").bitwiseAND(F.col("__mark")) != 0).select(*sets.columns)
+
+
 def like_links(rows: DataFrame, likeness: float = 0.8, block: int = SET_BLOCK, block_rows: int = SET_ROWS) -> DataFrame:
-    """(a, b) with a < b: links that connect the same nodes as all pairs that share
-    a band and are at least ``likeness`` alike. ``rows``: __row and ``shingle_sets``."""
+    """(a, b) with a < b: links that connect the same nodes as all pairs that meet by
+    fingerprint or band and are at least ``likeness`` alike. ``rows``: __row and ``shingle_sets``."""
     ship(rows.sparkSession)
-    nodes = rows.groupBy("__node").agg(F.min("__row").alias("row"), F.first("__size").alias("size"), F.first("__bands").alias("bands"))
-    nodes = written(nodes.select(F.col("__node").alias("node"), "row", "size", "bands"), "nodes")
+    nodes = rows.groupBy("__node").agg(F.min("__row").alias("row"), F.first("__fp").alias("fp"), F.first("__size").alias("size"), F.first("__bands").alias("bands"))
+    nodes = written(nodes.select(F.col("__node").alias("node"), "row", "fp", "size", "bands"), "nodes")
     shared = nodes.select("node", F.explode("bands").alias("key")).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     shared = written(shared.select("key"), "shared-bands")
     keyed = nodes.select("node", "row", "size", F.explode("bands").alias("key"))
-    members = written(keyed.join(shared, "key").select("key", "node", "row", "size"), "band-members")
+    banded = keyed.join(shared, "key").select("key", "node", "row", "size")
+    members = written(banded.union(_met_by_fingerprint(nodes.drop("bands"))), "met-members")
     # Buckets of the same members are one: count and two digests tell members apart.
     found = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     chosen = found.groupBy("n", "total", "x", "y").agg(F.min("key").alias("key"))
     chosen = written(chosen.select("key", "n", F.ceil(F.greatest(F.col("total") / block, F.col("n") / block_rows)).cast("int").alias("blocks")), "buckets")
     members = written(join_by_size(members, chosen, ["key"], "n", members.count()).select("key", "node", "row", "size", "blocks"), "bucket-members")
-    # The sets of documents that share no band are as large as the texts: they are never broadcast.
-    sets = rows.select(F.col("__row").alias("row"), F.col("__set").alias("set")).hint("merge")
+    # The sets of all documents are as large as the texts: they are never broadcast.
+    sets = rows.select(F.col("__row").alias("row"), F.col("__set").alias("set"))
 
     def compare(asked: DataFrame) -> DataFrame:
-        dealt = asked.join(sets, "row").select("key", "pair", "node", "set")
+        dealt = asked.join(_meeting(sets, asked, MEETING_BITS).hint("merge"), "row").select("key", "pair", "node", "set")
         return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_like_links(likeness), "key long, a long, b long")
 
     return _meet(members, compare, block)
