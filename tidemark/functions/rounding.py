@@ -13,6 +13,17 @@ def rounded(value: Column | str, digits: int) -> Column:
     return F.round((F.col(value) if isinstance(value, str) else value) + NUDGE, digits)
 
 
+def exact_mean(value: Column | str, places: int) -> Column:
+    """Mean of values of at most ``places`` decimal places (below 10 million), summed as decimals: a mean
+    that lies on a half is rounded up whatever the order of the rows. Round it before it is cast."""
+    exact = (F.col(value) if isinstance(value, str) else value).cast(f"decimal({7 + places},{places})")
+    return F.sum(exact) / F.count(exact)
+
+
+def mean_rounded(value: Column | str, places: int, digits: int) -> Column:
+    return F.round(exact_mean(value, places), digits).cast("double")
+
+
 def _split(x: Column) -> tuple[Column, Column]:
     """Upper and lower half of a double's bits, whose sum it is."""
     scaled = x * 134_217_729.0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores
-from tidemark.functions.rounding import rounded
+from tidemark.functions.rounding import mean_rounded, rounded
 from tidemark.sources.scratch import written
 
 FLAT_SWELL, FLAT_FOAM, PENALTY = 0.5, 0.2, 5.0
@@ -75,13 +75,14 @@ def percentile_of_rank(rank: Column, n: Column) -> Column:
     return F.round((1 - rank / n) * 100, 1)
 
 
-def distribution(df: DataFrame, score: str, points: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Exact, interpolated percentiles and moments of a score; one row.
+def distribution(df: DataFrame, score: str, points: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99), places: int | None = None) -> DataFrame:
+    """Exact, interpolated percentiles and moments of a score; one row. The mean of scores
+    of at most ``places`` decimal places is exact.
 
     Rows are ranked in cells and not held together: only the two rows on either side of
     each percentile are read. Null scores do not count; without any, all but n is null."""
     known = df.where(F.col(score).isNotNull()).select(F.col(score).alias("s"))
-    moments = known.agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"), F.avg("s").alias("mean"))
+    moments = known.agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"), (F.round(F.avg("s"), 4) if places is None else mean_rounded("s", places, 4)).alias("mean"))
     n, low, high, mean = moments.first()
     wanted = {k: (math.floor(p * (n - 1)), math.ceil(p * (n - 1)), p * (n - 1) % 1) for k, p in enumerate(points)} if n else {}
     rows = ranked(known, "s", [], low, max(high, low + 1e-9)) if n else known.withColumns({"rank": F.lit(None).cast("long")})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry, labels, scores
-from tidemark.functions.rounding import rounded
+from tidemark.functions.rounding import mean_rounded, rounded
 from tidemark.operators import profiles, ranking, spatial
 from tidemark.plans.registry import query
 from tidemark.sources import adapters
@@ -197,7 +197,7 @@ def composite_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.distribution(adapters.segments(spark, sf_dir), "total_score")
+    return ranking.distribution(adapters.segments(spark, sf_dir), "total_score", places=1)
 
 
 @query(with_views("seg", " SELECT chain, list_sort(list(total_score))[count(*) // 2 + 1] AS upper_median FROM seg GROUP BY chain"))
@@ -208,7 +208,7 @@ def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("det seg", COMPOSITE_SQL + " SELECT confidence, count(*) AS n, count(*) FILTER (penalty > 0) AS n_penalised, round(avg(composite_score), 3) AS mean_score FROM scored GROUP BY confidence"))
 def confidence_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_segments(spark, sf_dir)
-    return s.groupBy("confidence").agg(F.count("*").alias("n"), F.count(F.when(F.col("penalty") > 0, 1)).alias("n_penalised"), F.round(F.avg("composite_score"), 3).alias("mean_score"))
+    return s.groupBy("confidence").agg(F.count("*").alias("n"), F.count(F.when(F.col("penalty") > 0, 1)).alias("n_penalised"), mean_rounded("composite_score", 1, 3).alias("mean_score"))
 
 
 NEAREST_SQL = """, pairs AS (SELECT k.spot_id, s.segment_id, sqrt((s.lon - k.lon) * (s.lon - k.lon) + (s.lat - k.lat) * (s.lat - k.lat)) AS d FROM known k, seg s),
@@ -256,7 +256,7 @@ def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _nearest(spark, sf_dir).join(adapters.segments(spark, sf_dir), "segment_id")
     return m.agg(
         F.count("*").alias("n_spots"),
-        F.round(F.avg("total_score"), 4).alias("mean_score"),
+        mean_rounded("total_score", 1, 4).alias("mean_score"),
         F.round(F.median("total_score"), 4).alias("median_score"),
         F.round(F.max("distance"), 6).alias("max_distance"),
         F.count(F.when(F.col("distance") <= 0.05, 1)).alias("n_close"),
@@ -343,5 +343,5 @@ def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.when(F.col("status") != "complete", 1)).alias("n_insufficient"),
         F.min("turn_on_threshold_m").alias("min_turn_on"),
         F.max("turn_on_threshold_m").alias("max_turn_on"),
-        F.round(F.avg("turn_on_threshold_m"), 4).alias("mean_turn_on"),
+        mean_rounded("turn_on_threshold_m", 2, 4).alias("mean_turn_on"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry, labels
-from tidemark.functions.rounding import rounded
+from tidemark.functions.rounding import mean_rounded, rounded
 from tidemark.operators import atlas, spatial
 from tidemark.plans.registry import query
 from tidemark.sources import adapters
@@ -281,7 +281,7 @@ def tile_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def atlas_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda k: F.count(F.when(F.col("mean_score") >= k, 1)).alias(f"at_{k}")
-    return _sections(spark, sf_dir).agg(F.count("*").alias("n_sections"), F.sum("segment_count").alias("n_covered"), F.round(F.avg("mean_score"), 3).alias("mean_score"), *map(at, (40, 50, 60, 70)), F.min("south").alias("south"), F.max("north").alias("north"))
+    return _sections(spark, sf_dir).agg(F.count("*").alias("n_sections"), F.sum("segment_count").alias("n_covered"), mean_rounded("mean_score", 1, 3).alias("mean_score"), *map(at, (40, 50, 60, 70)), F.min("south").alias("south"), F.max("north").alias("north"))
 
 
 CHAIN_SQL = """WITH RECURSIVE e AS (SELECT l_partkey AS edge, l_partkey AS u, (l_partkey * 7 + 3) % 1000003 AS v, CAST(min(l_quantity) AS DOUBLE) AS length FROM lineitem GROUP BY l_partkey),

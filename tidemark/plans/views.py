@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels
-from tidemark.functions.rounding import rounded
+from tidemark.functions.rounding import exact_mean, rounded
 from tidemark.operators import profiles, series, views
 from tidemark.operators.scenes import top_in_group
 from tidemark.plans.evidence import COMPOSITE_SQL, PROFILE_SQL, scored_segments
@@ -123,8 +123,8 @@ def anti_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("seg", " SELECT chain, round(avg(total_score), 4) AS mean_score, count(*) AS n FROM seg GROUP BY chain HAVING avg(total_score) >= 45"))
 def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = adapters.segments(spark, sf_dir).groupBy("chain").agg(F.avg("total_score").alias("mean_score"), F.count("*").alias("n"))
-    return s.where("mean_score >= 45").withColumn("mean_score", F.round("mean_score", 4))
+    s = adapters.segments(spark, sf_dir).groupBy("chain").agg(exact_mean("total_score", 1).alias("mean_score"), F.count("*").alias("n"))
+    return s.where("mean_score >= 45").withColumn("mean_score", F.round("mean_score", 4).cast("double"))
 
 
 @query(with_views("seg", " SELECT segment_id, CASE WHEN total_score >= 80 THEN '#14b8a6' WHEN total_score >= 60 THEN '#fb923c' WHEN total_score >= 40 THEN '#eab308' WHEN total_score >= 20 THEN '#64748b' ELSE '#475569' END AS colour, CASE WHEN total_score >= 70 THEN '#14b8a6' WHEN total_score >= 60 THEN '#2dd4bf' WHEN total_score >= 50 THEN '#fb923c' ELSE '#64748b' END AS section_colour, CAST(floor(total_score / 100 * 100 + 0.5) AS BIGINT) AS bar, CASE segment_id % 4 WHEN 3 THEN 'Satellite verified' WHEN 2 THEN 'Partial data' ELSE 'Geometry only' END AS badge FROM seg"))
