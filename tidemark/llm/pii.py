@@ -20,11 +20,14 @@ just repeat the naming rule: a key without a name is judged by its format.
 A fourth of the distinct values is held out. Thresholds, one for each generator, are the
 lowest ones that keep ``PRECISION`` on held-out candidates that no base span
 covers, which are the ones a threshold can add; a generator with fewer than
-``FIT_CLASS`` of them shares the threshold of all. Fitting is bounded to about
-``FIT_DOCS`` documents and ``FIT_ROWS`` of their distinct candidates, an equal share
-for each generator, in hash order; candidates of all documents are scored. With
-fewer than ``FIT_CLASS`` rows in a class nothing is fitted, and the witnesses
-themselves select. The fitted trees become one SQL expression, so that scoring is
+``FIT_CLASS`` of them shares the threshold of all. All distinct candidates of all documents are
+fitted or held out; equal features are one row with its number, and a row weighs this
+number by the square root of its generator's, so that frequent generators do not drown rare ones. With
+fewer than ``FIT_CLASS`` candidates in a class nothing is fitted, and the witnesses
+themselves select. The trees' bins come from all rows as well: MLlib samples rows for them
+only beyond the square of their number. Rows are dealt by hash into parts of about
+``PART_ROWS`` and sorted; one part gives the same trees in every run, of several the sums are added in any order, so that
+equally good splits may change places. The fitted trees become one SQL expression, so that scoring is
 a plain projection: nothing is shuffled, no document is split.
 
 Main path: DataFrame functions only.
@@ -41,7 +44,7 @@ named like an added one are replaced.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +53,8 @@ from tidemark.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = "other"
-FIT_ROWS = 20_000
-FIT_DOCS = 50_000
 FIT_CLASS = 10
+PART_ROWS = 200_000
 PRECISION = 0.95
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -119,12 +121,18 @@ def occurrences(text: Column, pattern: str, context: int = 0) -> Column:
     return F.when(F.size(found) > 0, _bound(blocks, moved)).otherwise(none)
 
 
-def _cells(base: Column, length: Column) -> tuple[Column, Column]:
-    """(width, cells): the spans that touch each of about as many equal parts of the text as the
-    square root of their number, so that a candidate looks at its own parts only."""
-    n = F.ceil(F.sqrt(F.size(base))).cast("int") + 1
-    width = F.greatest(F.ceil(length / n), F.lit(1)).cast("int")
-    return width, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(base, lambda b: (b["start"] < (i + 1) * F.col("__width")) & (b["end"] > i * F.col("__width"))))
+def _parts(base: Column) -> Column:
+    return F.ceil(F.sqrt(F.size(base))).cast("int") + 1
+
+
+def _width(base: Column, length: Column) -> Column:
+    return F.greatest(F.ceil(length / _parts(base)), F.lit(1)).cast("int")
+
+
+def _cells(base: Column, width: Column) -> Column:
+    """The spans that touch each of about as many equal parts of the text as the square root
+    of their number, so that a candidate looks at its own parts only."""
+    return F.transform(F.sequence(F.lit(0), _parts(base) - 1), lambda i: F.filter(base, lambda b: (b["start"] < (i + 1) * width) & (b["end"] > i * width)))
 
 
 def _digits(value: Column) -> Column:
@@ -217,8 +225,12 @@ CONTEXTUAL = ("assigned", "quoted", "plus", "sentence")
 FEATURES = ("length", "digits", "letters", "capitals", "separators", "hex", "groups", "luhn", "octets", "digit_share", "assigned", "quoted", "plus", "sentence")
 
 
-def _candidates(text: Column, cells: Column, width: Column, digit: Column, labelled: bool = True) -> Column:
-    """Array of candidates with their features and, if asked for, what the witnesses say."""
+def _candidates(text: Column, base: Column, digit: Column, labelled: bool = True, width: Column | None = None, cells: Column | None = None) -> Column:
+    """Array of candidates with their features and, if asked for, what the witnesses say.
+
+    ``width`` and ``cells`` may name columns that hold those of ``base``."""
+    width = _width(base, F.length(text)) if width is None else width
+    cells = _cells(base, width) if cells is None else cells
 
     def shaped(generator: str):
         def make(m: Column) -> Column:
@@ -229,12 +241,12 @@ def _candidates(text: Column, cells: Column, width: Column, digit: Column, label
             before = m["before"]
             end = m["start"] + length
             first = F.floor(m["start"] / width).cast("int")
-            base = F.flatten(F.slice(cells, first + 1, F.floor((end - 1) / width).cast("int") - first + 1))
+            near = F.flatten(F.slice(cells, first + 1, F.floor((end - 1) / width).cast("int") - first + 1))
             flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-            covered = F.exists(base, lambda b: (b["start"] <= m["start"]) & (b["end"] >= end) | (b["start"] >= m["start"]) & (b["end"] <= end) & (2 * (b["end"] - b["start"]) >= length))
+            covered = F.exists(near, lambda b: (b["start"] <= m["start"]) & (b["end"] >= end) | (b["start"] >= m["start"]) & (b["end"] <= end) & (2 * (b["end"] - b["start"]) >= length))
             label = F.lit(None).cast("double")
             if labelled:
-                touched = F.exists(base, lambda b: (b["start"] < end) & (b["end"] > m["start"]))
+                touched = F.exists(near, lambda b: (b["start"] < end) & (b["end"] > m["start"]))
                 witnessed = covered | before.rlike(_ASSIGNED) | _formed(generator, value)
                 label = F.when(witnessed, 1.0).when(~(touched | _unsure(generator, value)), 0.0)
             return F.struct(
@@ -307,37 +319,40 @@ class Booster:
         return F.coalesce(total >= least, F.lit(False))
 
 
-def fit(found: DataFrame, rows: int = FIT_ROWS, rounds: int = 8, depth: int = 3, precision: float = PRECISION) -> Booster:
-    """Fit on at most ``rows`` distinct labelled candidates of ``found`` (candidates: array):
-    an equal share for each generator, in hash order."""
+def fit(found: DataFrame, rounds: int = 8, depth: int = 3, precision: float = PRECISION) -> Booster:
+    """Fit on all distinct labelled candidates of ``found`` (candidates: array)."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     # The outer form: of the other Spark first filters by the size of the array, for which
     # it writes out and computes all candidates a second time.
     flat = found.select(F.explode_outer("candidates").alias("c")).select("c.generator", "c.value", "c.covered", "c.label", *(f"c.{f}" for f in FEATURES)).where("label is not null")
-    flat = written(flat.distinct(), "candidates")
-    order = ["value", "label", "covered", *FEATURES]
-    shares = [flat.where(F.col("generator") == g).orderBy(F.xxhash64(*order), *order).limit(rows // len(GENERATORS)) for g in GENERATORS]
-    picked = written(reduce(DataFrame.union, shares).withColumn("held", F.pmod("value", F.lit(4)) == 0), "picked")
-    counts = {r["label"]: r["count"] for r in picked.where("not held").groupBy("label").count().collect()}
-    if min(counts.get(1.0, 0), counts.get(0.0, 0)) < FIT_CLASS:
+    flat = written(flat.distinct(), "candidates").withColumn("held", F.pmod("value", F.lit(4)) == 0)
+    # The same candidates with no context, and as they would stand in prose.
+    bare = flat.withColumns({c: F.lit(0.0) for c in CONTEXTUAL})
+    views = flat.unionByName(bare).unionByName(bare.withColumn("sentence", F.lit(1.0)))
+    order = ["generator", "covered", "label", *FEATURES]
+    shapes = written(views.groupBy("held", *order).agg(F.count("*").alias("n")), "shapes")
+    # One row for each generator and class.
+    sizes = shapes.where("not held").groupBy("generator", "label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    if min(sum(r["n"] for r in sizes if r["label"] == c) for c in (0.0, 1.0)) < 3 * FIT_CLASS:
         return Booster([], {})
+    weight = F.lit(0.0)
+    for g in sorted({r["generator"] for r in sizes}):
+        weight = F.when(F.col("generator") == g, F.col("n") / math.sqrt(sum(r["n"] for r in sizes if r["generator"] == g))).otherwise(weight)
+    total = sum(r["rows"] for r in sizes)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    # The same rows with no context, and as they would stand in prose.
-    bare = picked.withColumns({c: F.lit(0.0) for c in CONTEXTUAL})
-    views = picked.unionByName(bare).unionByName(bare.withColumn("sentence", F.lit(1.0)))
-    # Bounded by three times ``rows``. One partition in one order: sums, and so trees, are the same in every run.
-    fitted = views.where("not held").repartition(1).sortWithinPartitions(*order)
-    data = vectors.transform(fitted).select("features", "label").cache()
+    fitted = shapes.where("not held").repartition(1 + total // PART_ROWS, *order).sortWithinPartitions(*order)
+    data = vectors.transform(fitted).select("features", "label", "n", weight.alias("weight")).cache()
     try:
-        model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, maxMemoryInMB=64).fit(data)
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=max(32, math.isqrt(total) + 1), stepSize=0.3, seed=7, maxMemoryInMB=64, weightCol="weight").fit(data)
     finally:
         data.unpersist()
     trees = [(t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
-    # Raw prediction 1 is the trees' sum. Only candidates that a threshold could add are counted.
-    scored = model.transform(vectors.transform(views.where("held and not covered"))).select("generator", "label", F.element_at(_to_array("rawPrediction"), 2).alias("raw"))
-    steps = scored.groupBy("generator", F.round("raw", 3).alias("m")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).limit(rows).collect()
+    # Raw prediction 1 is the trees' sum. Only candidates that a threshold could add are counted; sums of
+    # eight trees differ by few thousand thousandths, so that few rows are collected.
+    scored = model.transform(vectors.transform(shapes.where("held and not covered"))).select("generator", "label", "n", F.element_at(_to_array("rawPrediction"), 2).alias("raw"))
+    steps = scored.groupBy("generator", F.round("raw", 3).alias("m")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     common = _margin(steps, precision)
     margins = {g: [s for s in steps if s["generator"] == g] for g in GENERATORS}
     return Booster(trees, {g: _margin(mine, precision) if sum(s["n"] for s in mine) >= FIT_CLASS else common for g, mine in margins.items()})
@@ -386,16 +401,14 @@ def proposed(docs: DataFrame, columns: list[Column], text_col: str = "text", lab
     text = F.col("__text")
     based = docs.select(*columns, F.coalesce(text_col, F.lit("")).alias("__text")).withColumn("__digit", has_digit(text))
     based = based.withColumn("__base", F.array_sort(F.concat(*(_spans(text, k, F.col("__digit")) for k in KINDS))))
-    width, cells = _cells(F.col("__base"), F.length(text))
-    based = based.withColumn("__width", width).withColumn("__cells", cells)
-    return based.withColumn("candidates", _candidates(text, F.col("__cells"), F.col("__width"), F.col("__digit"), labelled)).drop("__text", "__digit", "__width", "__cells")
+    base, width = F.col("__base"), F.col("__width")
+    based = based.withColumn("__width", _width(base, F.length(text))).withColumn("__cells", _cells(base, width))
+    return based.withColumn("candidates", _candidates(text, base, F.col("__digit"), labelled, width, F.col("__cells"))).drop("__text", "__digit", "__width", "__cells")
 
 
-def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS, fit_docs: int = FIT_DOCS) -> Booster:
-    """Fit on the candidates of the documents whose hash falls in the share that ``fit_docs`` is of all."""
-    share = min(1.0, fit_docs / max(1, docs.count()))
-    part = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < share * (1 << 20))
-    return fit(proposed(part, [], text_col), fit_rows)
+def train(docs: DataFrame, text_col: str = "text") -> Booster:
+    """Fit on the candidates of all documents."""
+    return fit(proposed(docs, [], text_col))
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, booster: Booster | None = None) -> DataFrame:
