@@ -21,8 +21,7 @@ A fourth of the distinct values is held out. Thresholds, one for each generator,
 lowest ones that keep ``PRECISION`` on held-out candidates that no base span
 covers, which are the ones a threshold can add; a generator with fewer than
 ``FIT_CLASS`` of them shares the threshold of all. All distinct candidates of all documents are
-fitted or held out; equal features are one row with its number, and a row weighs this
-number by the square root of its generator's, so that frequent generators do not drown rare ones. With
+fitted or held out; equal features are one row that weighs as many as it stands for. With
 fewer than ``FIT_CLASS`` candidates in a class nothing is fitted, and the witnesses
 themselves select. The trees' bins come from all rows as well: MLlib samples rows for them
 only beyond the square of their number. Rows are dealt by hash into parts of about
@@ -337,13 +336,10 @@ def fit(found: DataFrame, rounds: int = 8, depth: int = 3, precision: float = PR
     sizes = shapes.where("not held").groupBy("generator", "label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
     if min(sum(r["n"] for r in sizes if r["label"] == c) for c in (0.0, 1.0)) < 3 * FIT_CLASS:
         return Booster([], {})
-    weight = F.lit(0.0)
-    for g in sorted({r["generator"] for r in sizes}):
-        weight = F.when(F.col("generator") == g, F.col("n") / math.sqrt(sum(r["n"] for r in sizes if r["generator"] == g))).otherwise(weight)
     total = sum(r["rows"] for r in sizes)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     fitted = shapes.where("not held").repartition(1 + total // PART_ROWS, *order).sortWithinPartitions(*order)
-    data = vectors.transform(fitted).select("features", "label", "n", weight.alias("weight")).cache()
+    data = vectors.transform(fitted).select("features", "label", "n", F.col("n").cast("double").alias("weight")).cache()
     try:
         model = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=max(32, math.isqrt(total) + 1), stepSize=0.3, seed=7, maxMemoryInMB=64, weightCol="weight").fit(data)
     finally:
